@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, simhash, token_counts, toxicity
-from .common import table
+from . import bpe_tree, packing, simhash, token_counts, toxicity, warc
+from .common import Written, table
 
 
 def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,11 +38,31 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the archive to the shared folder, then answers from what it reads there."""
+    path = f"{Written(spark).base}/archive"
+    pages = table(spark, sf_dir, "pages")
+    warc.write_archive(pages, path)
+    return warc.read_archive(spark, path, dict(pages.dtypes)["page_id"]).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_tree": op3_bpe_tree,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op6_simhash_vptree": op6_simhash_vptree,
     "op7_token_counts": op7_token_counts,
     "op8_toxicity": op8_toxicity,
+    "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+#: DuckDB twins of the queries that SQL can express on whole tables.
+ORACLES: dict[str, str] = {
+    "op10_warc": """
+        with p as (select page_id, coalesce(html, '') html from pages),
+        d as (select page_id, strlen(html)::bigint n, sha256(html) digest from p),
+        k as (select *, case when n >= 100 then min(page_id) over (partition by digest) end keeper from d)
+        select page_id, n payload_bytes, digest payload_digest,
+               case when keeper is null or keeper = page_id then 'response' else 'revisit' end record_type,
+               case when keeper <> page_id then keeper end refers_to
+        from k""",
+}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, packing, simhash, token_counts, toxicity, warc
+from . import bpe_tree, line_dedup, packing, simhash, token_counts, toxicity, warc
 from .common import Written, table
 
 
@@ -38,6 +38,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the archive to the shared folder, then answers from what it reads there."""
     path = f"{Written(spark).base}/archive"
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_vptree": op6_simhash_vptree,
     "op7_token_counts": op7_token_counts,
     "op8_toxicity": op8_toxicity,
+    "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
 }
 

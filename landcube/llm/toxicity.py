@@ -21,6 +21,7 @@ table are ignored. A null ``doc_id`` is never held out.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from dataclasses import dataclass
@@ -35,7 +36,7 @@ WORD = re.compile(r"[^\W\d_]+").findall
 
 @dataclass(frozen=True)
 class Params:
-    train_rows: int = 20_000  #: bound on the labelled rows that are fitted
+    train_rows: int = 12_000  #: bound on the labelled rows that are fitted
     max_terms: int = 4_096  #: bound on the terms that carry weights
     min_llr: float = 24.0
     rank: int = 4
@@ -97,13 +98,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> D
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
+    seen: set[bytes] = set()
+    x, y = [], []
     table = training_rows(docs, labels, p).toArrow()
-    seen: dict[bytes, int] = {}
-    for terms, y in zip(table.column("terms").to_pylist(), table.column("toxic").to_pylist()):
-        seen.setdefault(terms, y)  # copies of a text teach once
-    keys = sorted(seen)
-    x = [np.frombuffer(k, np.uint32) for k in keys]
-    return _fit(x, np.array([seen[k] for k in keys], float), p)
+    for terms, toxic in zip(table.column("terms"), table.column("toxic").to_pylist()):
+        data = terms.as_buffer()  # a view: the rows stay where Arrow has them
+        key = hashlib.blake2b(data, digest_size=16).digest()
+        if key not in seen:  # copies of a text teach once
+            seen.add(key)
+            x.append(np.frombuffer(data, np.uint32))
+            y.append(toxic)
+    order = sorted(range(len(x)), key=lambda i: (int(x[i].sum(dtype=np.uint64)), len(x[i])))  # the same from any row order
+    return _fit([x[i] for i in order], np.array([y[i] for i in order], float), p)
 
 
 def _fit(x: list[np.ndarray], y: np.ndarray, p: Params) -> Model:
@@ -111,18 +117,8 @@ def _fit(x: list[np.ndarray], y: np.ndarray, p: Params) -> Model:
     pos, neg = y.sum(), len(y) - y.sum()
     if not pos or not neg:
         return Model(6.0 if pos else -6.0, none, np.zeros(0), np.zeros((0, p.rank)))
-    row = np.repeat(np.arange(len(x)), [len(a) for a in x])
-    term = np.concatenate(x) if len(row) else none
-    names, at = np.unique(term, return_inverse=True)
-    n1 = np.bincount(at, y[row], len(names))
-    n = np.bincount(at, minlength=len(names))
-    llr = _llr(n1, n - n1, pos, neg)
-    chosen = np.argsort(-llr, kind="stable")[: p.max_terms]
-    chosen = np.sort(chosen[llr[chosen] >= p.min_llr])
-    to = np.full(len(names), -1)
-    to[chosen] = np.arange(len(chosen))
-    keep = to[at] >= 0
-    row, col, m = row[keep], to[at][keep], len(chosen)
+    row, col, names = _choose(x, y, pos, neg, p)
+    m = len(names)
     rng = np.random.default_rng(7)
     w0, w, v = np.log(pos / neg), np.zeros(m), rng.normal(0, 0.02, (m, p.rank))
     moments = [np.zeros(1), np.zeros(m), np.zeros((m, p.rank))], [np.zeros(1), np.zeros(m), np.zeros((m, p.rank))]
@@ -143,7 +139,39 @@ def _fit(x: list[np.ndarray], y: np.ndarray, p: Params) -> Model:
             b += 0.001 * g * g
             move.append(p.rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8))
         w0, w, v = w0 - move[0][0], w - move[1], v - move[2]
-    return Model(float(w0), names[chosen], w, v)
+    return Model(float(w0), names, w, v)
+
+
+def _choose(x: list[np.ndarray], y: np.ndarray, pos: float, neg: float, p: Params):
+    """(row, column) of the chosen terms' presences, and the terms.
+
+    Presences are first counted in 2**22 buckets, a few rows at a time, so that
+    memory follows the bound on the rows' chosen terms and not on all terms.
+    """
+    buckets = 1 << 22
+    n1, n = np.zeros(buckets, np.int32), np.zeros(buckets, np.int32)
+    for a, t in zip(x, y):
+        at = a & (buckets - 1)
+        np.add.at(n, at, 1)
+        if t:
+            np.add.at(n1, at, 1)
+    hopeful = np.zeros(buckets, bool)
+    for lo in range(0, buckets, 1 << 18):
+        part = slice(lo, lo + (1 << 18))
+        hopeful[part] = _llr(n1[part].astype(float), (n - n1)[part].astype(float), pos, neg) >= p.min_llr / 2
+    del n, n1
+    kept = [a[hopeful[a & (buckets - 1)]] for a in x]
+    row = np.repeat(np.arange(len(x)), [len(a) for a in kept])
+    term = np.concatenate(kept) if len(row) else np.zeros(0, np.uint32)
+    names, at = np.unique(term, return_inverse=True)
+    n1 = np.bincount(at, y[row], len(names))
+    llr = _llr(n1, np.bincount(at, minlength=len(names)) - n1, pos, neg)
+    chosen = np.argsort(-llr, kind="stable")[: p.max_terms]
+    chosen = np.sort(chosen[llr[chosen] >= p.min_llr])
+    to = np.full(len(names), -1)
+    to[chosen] = np.arange(len(chosen))
+    keep = to[at] >= 0 if len(at) else np.zeros(0, bool)
+    return row[keep], to[at][keep], names[chosen]
 
 
 def _llr(n1, n0, pos, neg):

@@ -20,59 +20,91 @@ table gives an empty result.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Written
+from .pretokens import parts
 
 CAPACITY = 4096
 END = 1
-CACHE = 300_000
-#: Texts of these letters alone are split here as the library would split them:
+END_BYTES = np.array([END], "<u4").tobytes()
+#: Words that one worker remembers beyond those in hand; when full, all are forgotten.
+CACHE = 1_000_000
+#: Texts of these characters alone are split here as the library would split them:
 #: their normal form is themselves, and their lower case needs no context.
-PLAIN = regex.compile("[\t\n\r -~¡-¬®-ÿ]*").fullmatch
-#: The library's split; a fixed value of the vocabulary file, read from it.
+PLAIN = re.compile("[\t\n\r -~¡-¬®-ÿ]*").fullmatch
+#: The library's split (a fixed value of the vocabulary file), and what it comes
+#: to for lower-case texts of those characters.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTERS, NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+PLAIN_SPLIT = f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+"
 SPLIT_KEY = ("pre_tokenizer", "pretokenizers", 0, "pattern", "Regex")
 
 
 class WordEncoder:
-    """The library's ids, remembering those of single words."""
+    """The library's ids, remembering those of single words.
 
-    def __init__(self, path: str):
-        import json
+    Words not yet known go to the library many at a time, apart by line ends,
+    which its split drops; a token that ends a word says where each stops.
+    """
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             at = json.load(f)
+        ending = at["model"]["end_of_word_suffix"]
+        vocab = self.lib.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if ending and t.endswith(ending)]] = True
         for k in SPLIT_KEY:
             at = at[k]
-        self.find = regex.compile(at).findall
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        if "<|" in text or not PLAIN(text):
-            return self.lib.encode(text, add_special_tokens=False).ids
-        words, known, ids = self.find(text.lower()), self.known, []
-        add, get = ids.extend, known.get
+        self.plain = at == SPLIT
+        self.find = re.compile(PLAIN_SPLIT).findall
+        self.words = Tokenizer.from_file(path)  # for words in normal form already
+        self.words.normalizer = None
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, fresh: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        for lo in range(0, len(fresh), 500):
+            some = fresh[lo : lo + 500]
+            ids = np.array(self.words.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(some):
+                data, at = ids.tobytes(), 0
+                for w, end in zip(some, (4 * stop).tolist()):
+                    out[w] = data[at:end]
+                    at = end
+            else:
+                out.update((w, self.whole(w)) for w in some)
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        words = [self.find(t.lower()) if self.plain and "<|" not in t and PLAIN(t) else None for t in texts]
+        used: set[str] = set()
         for w in words:
-            got = get(w)
-            if got is None:
-                if len(known) > CACHE:
-                    known.clear()
-                got = self.lib.encode(w, add_special_tokens=False).ids
-                if len(w) <= 64:
-                    known[w] = got
-            add(got)
-        return ids
+            used.update(w or ())
+        known = self.known
+        if len(known) + len(used) > CACHE:
+            known.clear()
+        known.update(self.learn(sorted(used.difference(known))))
+        get = known.__getitem__
+        return [self.whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -87,11 +119,10 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids:
     def run(batches):
         enc = encoder(vocabulary)
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            for part in parts(b):
                 row, piece, start, length, crc, data = [], [], [], [], [], []
-                for i, t in enumerate(part.column(1).to_pylist()):
-                    ids = np.array(enc.encode(t or "") + [END], "<u4")
+                for i, got in enumerate(enc.encode([t or "" for t in part.column(1).to_pylist()])):
+                    ids = np.frombuffer(got + END_BYTES, "<u4")
                     for p, at in enumerate(range(0, len(ids), capacity)):
                         cut = ids[at : at + capacity]
                         row.append(i)

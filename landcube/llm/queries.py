@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, lattice, license_scan, line_dedup, packing, simhash, token_counts, toxicity, warc
+from . import bpe_tree, lattice, license_scan, line_dedup, norm_topk, packing, simhash, token_counts, toxicity, warc
 from .common import Written, table
 
 
@@ -17,6 +17,10 @@ def op1_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe_tree.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -60,6 +64,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_near_dedup": op1_lattice_near_dedup,
+    "op2_norm_topk": op2_norm_topk,
     "op3_bpe_tree": op3_bpe_tree,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_license_scan": op5_license_scan,
@@ -72,6 +77,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB twins of the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {
+    "op2_norm_topk": """
+        with v as (select vec_id, [floor(256 * x::double)::bigint for x in embedding] x from embeddings
+                   where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::bigint score
+              from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(c.x) = len(q.x)),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id) "rank" from s)
+        select query_id, "rank"::int "rank", vec_id, score from r where "rank" <= 5""",
     "op10_warc": """
         with p as (select page_id, coalesce(html, '') html from pages),
         d as (select page_id, strlen(html)::bigint n, sha256(html) digest from p),

@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .pretokens import byte_letters, splitter
+from .pretokens import byte_letters, parts, splitter
 
 #: Pre-tokens that one worker remembers; when full, all are forgotten.
 CACHE = 600_000
@@ -145,7 +145,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, limit: int = 51
     def run(batches):
         m = merger(vocabulary)
         for b in batches:
-            for part in _parts(b):
+            for part in parts(b):
                 texts = part.column(1).to_pylist()
                 n = np.array(m.count(texts, pattern), np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -154,16 +154,3 @@ def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, limit: int = 51
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
-
-
-def _parts(batch: pa.RecordBatch, chars: int = 4 << 20):
-    """Slices of a batch of about so many bytes of text, one row at least."""
-    size = np.array([len(x.as_py() or "") for x in batch.column(1)], np.int64)
-    lo, total = 0, 0
-    for i, n in enumerate(size):
-        if total and total + n > chars:
-            yield batch.slice(lo, i - lo)
-            lo, total = i, 0
-        total += n
-    if lo < batch.num_rows:
-        yield batch.slice(lo)

@@ -17,9 +17,20 @@ from pyspark.sql import functions as F
 from ..functions import taxonomy as T
 
 
-def focal(df: DataFrame, value: str, radius: int, how: str = "mean", keys=("tile",)) -> DataFrame:
+def dense(df: DataFrame, keys=("tile",)) -> DataFrame:
+    """Every pixel of each tile's bounding box; those that were missing are NULL,
+    and ``_own`` says which were not."""
+    box = df.groupBy(*keys).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    full = box.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1"))).select(*keys, "row", "col")
+    return full.join(df.withColumn("_own", F.lit(True)), [*keys, "row", "col"], "left")
+
+
+def focal(df: DataFrame, value: str, radius: int, how: str = "mean", keys=("tile",), gaps: bool = False) -> DataFrame:
     """``df`` with ``{value}_{how}`` over the square of ``radius``; NULLs are
-    skipped, the border uses what there is. mean, sum, min or max."""
+    skipped, the border uses what there is. mean, sum, min or max. Tiles have
+    every pixel of their box, or ``gaps`` fills it."""
+    if gaps:
+        return focal(dense(df, keys), value, radius, how, keys).where("_own").drop("_own")
     along = Window.partitionBy(*keys, "row").orderBy("col").rangeBetween(-radius, radius)
     across = Window.partitionBy(*keys, "col").orderBy("row").rangeBetween(-radius, radius)
     if how in ("mean", "sum"):
@@ -30,10 +41,10 @@ def focal(df: DataFrame, value: str, radius: int, how: str = "mean", keys=("tile
     return df.withColumn("_a", f(value).over(along)).withColumn(f"{value}_{how}", f("_a").over(across)).drop("_a")
 
 
-def tpi(df: DataFrame, elev: str = "elev", radius: int = 6) -> DataFrame:
+def tpi(df: DataFrame, elev: str = "elev", radius: int = 6, gaps: bool = False) -> DataFrame:
     """Elevation against the mean of its surroundings, truncated."""
     d = F.col(elev) - F.col(f"{elev}_mean")
-    return focal(df, elev, radius).withColumn("tpi", F.when(d >= 0, F.floor(d)).otherwise(F.ceil(d)).cast("int")).drop(f"{elev}_mean")
+    return focal(df, elev, radius, gaps=gaps).withColumn("tpi", F.when(d >= 0, F.floor(d)).otherwise(F.ceil(d)).cast("int")).drop(f"{elev}_mean")
 
 
 def disk(df: DataFrame, value: str, radius: int, how: str = "min", keys=("tile",)) -> DataFrame:

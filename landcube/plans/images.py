@@ -215,9 +215,9 @@ def _(df):
     return rounded(C.reducers(clear(df), ["px"], ["nir"], ("median", "mean")), ["px"])
 
 
-@query("agg_06_collection_stats", OBS, "select px, round(avg(nir), 4) nir_mean, round(stddev_pop(nir), 4) \"nir_stdDev\", round(avg(swir1), 4) swir1_mean, round(stddev_pop(swir1), 4) \"swir1_stdDev\" from r group by px")
+@query("agg_06_collection_stats", OBS, "select px, round(avg(nir), 4) nir_mean, round(stddev_pop(nir), 4) \"nir_stdDev\", round(avg(tir / 7), 4) tir_mean, round(stddev_pop(tir / 7), 4) \"tir_stdDev\" from r group by px")
 def _(df):
-    return rounded(C.reducers(df, ["px"], ["nir", "swir1"], ("mean", "stdDev")), ["px"])
+    return rounded(C.reducers(df.withColumn("tir", F.col("tir") / 7), ["px"], ["nir", "tir"], ("mean", "stdDev")), ["px"])
 
 
 @query("agg_08_region_mean", OBS, "select yr as year, scene as image, round(avg(nir), 4) nir, round(avg(red), 4) red from r where px % 3 = 0 group by yr, scene")
@@ -346,7 +346,7 @@ def _(df):
 
 @query("ras_01_focal_mean_tpi", GRID, "select tile, row, col, cast(trunc(elev - (select avg(b.elev) from r b where b.tile = a.tile and b.row between a.row - 6 and a.row + 6 and b.col between a.col - 6 and a.col + 6)) as int) tpi from r a")
 def _(df):
-    return R.tpi(df).select("tile", "row", "col", "tpi")
+    return R.tpi(df, gaps=True).select("tile", "row", "col", "tpi")
 
 
 @query("ras_02_erosion", GRID, "select a.tile, a.row, a.col, min(b.value) v from r a join r b on a.tile = b.tile and (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col) <= 4 group by a.tile, a.row, a.col")
@@ -356,7 +356,7 @@ def _(df):
 
 @query("ras_03_dilation", GRID, "select a.tile, a.row, a.col, max(b.value) v from r a join r b on a.tile = b.tile and abs(a.row - b.row) <= 1 and abs(a.col - b.col) <= 1 group by a.tile, a.row, a.col")
 def _(df):
-    return R.focal(df, "value", 1, "max").select("tile", "row", "col", F.col("value_max").alias("v"))
+    return R.focal(df, "value", 1, "max", gaps=True).select("tile", "row", "col", F.col("value_max").alias("v"))
 
 
 @query("ras_04_entropy", GRID, """select tile, row, col, round(abs(sum(n / t * log2(n / t)) * 100), 6) h from (select *, sum(n) over (partition by tile, row, col) t from (select a.tile, a.row, a.col, b.value, count(*)::double n

@@ -71,9 +71,10 @@ def test_archive(spark, tmp_path):
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
-    base = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(30)]
+    word = lambda *n: "".join(chr(97 + int(d)) for k in n for d in f"{k:04d}")
+    base = [" ".join(word(i, j) for j in range(60)) for i in range(30)]
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(base)] + [(100, base[3], "en", "s", 1), (101, base[4] + "\nown line of this one", "en", "s", 1), (102, None, "en", "s", 0)]
-    rows += [(200 + i, f"insultword w{i}y " + " ".join(f"q{i}r{j}" for j in range(50)), "en", "s", 1) for i in range(40)]
+    rows += [(200 + i, "insultword " + " ".join(word(i + 500, j + 500) for j in range(50)), "en", "s", 1) for i in range(40)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, int(i >= 200)) for i, *_ in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()

@@ -154,12 +154,13 @@ def _of_dimension(store: Written, x: DataFrame, n: int, p: Params) -> DataFrame:
         .select("block", F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.col("norms").alias("q_norms"), F.col("longest").alias("q_longest")), "queries")
     names = [(r["bucket"], r["sub"], r["longest"]) for r in packed.select("bucket", "sub", "longest").orderBy("bucket", "sub").collect()]  # a few bytes for each bucket of vectors
     keys = ["bucket", "sub"]
-    first = names[0]
-    head = asked.withColumns({"bucket": F.lit(first[0]), "sub": F.lit(first[1]), "theta": F.lit(None).cast("array<double>")})
+    # the longest bucket is one row of about bucket_rows vectors, whatever the table: it goes to every query block
+    first = packed.where((F.col("bucket") == names[0][0]) & (F.col("sub") == names[0][1])).drop("longest", *keys)
+    head = asked.withColumn("theta", F.lit(None).cast("array<double>")).join(F.broadcast(first), F.lit(True))
     out = "query_id long, vec_id long, score long"
     columns = ["q_ids", "q_flat", "q_norms", "ids", "flat", "norms", "theta"]
     run = _products(p)
-    one = store.write(head.join(packed, keys).select(*columns).mapInPandas(run, out), "first")
+    one = store.write(head.select(*columns).mapInPandas(run, out), "first")
     if len(names) == 1:
         return _ranked(one, p)
     kth = one.groupBy("query_id").agg(F.array_sort(F.collect_list("score")).alias("s"))

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from landcube.llm import lattice, line_dedup, norm_topk, simhash
 from landcube.llm.common import connected_components
+from pyspark.sql import functions as F
 
 
 def partition(pairs, nodes):
@@ -103,6 +104,19 @@ def test_line_links_against_brute_force(spark):
     assert len(pairs) >= 50 and sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
 
 
+def test_lines_that_differ_past_their_start(spark):
+    """Different ids, links and lines without blanks stay; near ones still meet."""
+    text = ["order 100000001234", "order 100000005678", "今天天气很好我们去公园", "今天天气很好我们去学校", "https://aaa.org", "https://bbb.org", "short", "shore", "x" * 9, "y" + "x" * 8]
+    long_ = "日本語の長い文章がここにあります学校へ行く道で友達に会い図書館で本を読んだ"
+    docs = spark.createDataFrame([*enumerate(text), (90, long_), (91, long_ + "。")], "doc_id long, text string")
+    got = {r.doc_id: r.first_doc_id for r in line_dedup.duplicate_lines(docs).collect()}
+    assert got == {i: i for i in range(len(text))} | {90: 90, 91: 90}
+    plain = {t: {t[i : i + 8] for i in range(max(1, len(t) - 7))} for t in [*text, long_, "a\u0085b\u2028", "🙂" * 5 + "abcdefg"]}
+    norm = spark.createDataFrame([(t,) for t in plain], "norm string")
+    assert all(set(r.s) == {r2 for r2 in r.w} and len(r.s) == len(plain[r.norm]) for r in norm.select("norm", line_dedup.shingles(F.col("norm")).alias("s"), F.transform(
+        F.udf(lambda t: sorted(plain[t]), "array<string>")("norm"), lambda x: F.xxhash64(x)).alias("w")).collect())
+
+
 # --- vectors --------------------------------------------------------------------
 
 

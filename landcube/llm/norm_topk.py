@@ -86,7 +86,10 @@ def _best(q, qn, qid, x, xn, ids, theta, p: Params):
             share = q[i, f] / qn[i]
             if abs(share) >= p.focus_share:
                 spread = np.sqrt(max(0.0, 1 - t * t)) * np.sqrt(max(0.0, 1 - share * share))
-                live = np.flatnonzero((unit[:, f] >= share * t - spread - 1e-9) & (unit[:, f] <= (share * t + spread if t < abs(share) or spread else 1.0) + 1e-9 + 2 * (t < abs(share))))
+                # the angles to q and from q to its coordinate add up: past a half turn, or past none, nothing is ruled out
+                low = share * t - spread if t > -share else -1.0
+                high = share * t + spread if t > share else 1.0
+                live = np.flatnonzero((unit[:, f] >= low - 1e-9) & (unit[:, f] <= high + 1e-9))
             else:
                 # lengths fall along the bucket
                 live = np.arange(np.searchsorted(-xn, -(th / (qn[i] * loose)), "right"))

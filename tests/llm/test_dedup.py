@@ -170,3 +170,40 @@ def test_top_k(spark, bucket):
         want = sorted(((int(-(x[q] @ v)), i) for i, v in x.items() if i != q))[:5]
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
     assert norm_topk.top_k(spark.createDataFrame([], VECTORS), p).count() == 0
+
+
+@pytest.mark.parametrize("sign", [-1, 1])
+def test_top_k_with_a_dominant_coordinate(spark, sign):
+    rng = np.random.default_rng(11)
+    e = rng.standard_normal((400, 4)) * 0.5
+    e[:, 1] += sign * rng.choice([0.3, 1, 3], 400)
+    e *= rng.uniform(0.5, 1.5, (400, 1))
+    e = e.astype(np.float32)
+    x = np.floor(e.astype(float) * 256).astype(int)
+    rows = [(i, [float(v) for v in r], 0, 0) for i, r in enumerate(e)]
+    p = norm_topk.Params(bucket_rows=20, block_rows=3, query_every=4)
+    got = {}
+    for r in norm_topk.top_k(spark.createDataFrame(rows, VECTORS), p).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in range(0, 400, 4):
+        want = sorted((int(-(x[q] @ v)), i) for i, v in enumerate(x) if i != q)[:5]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
+@pytest.mark.parametrize("share", [-0.9, -0.6, 0.6, 0.9])
+def test_pruning_keeps_every_hit(share):
+    """Scores of a bucket that reach theta survive, wherever the query's length lies."""
+    rng = np.random.default_rng(12)
+    x = rng.integers(-1000, 1000, (3000, 3))
+    x[:500, 0] = -rng.integers(2000, 9000, 500)
+    xn = np.linalg.norm(x, axis=1)
+    x, xn = x[np.argsort(-xn)], np.sort(xn)[::-1]
+    rest = np.sqrt(1 - share * share) / np.sqrt(2)
+    q = np.floor(np.array([[share, rest, rest]]) * 5000).astype(int)
+    qn = np.linalg.norm(q, axis=1)
+    score = x @ q[0]
+    for t in (0.05, 0.3, 0.5, 0.8, 0.95):
+        th = t * qn[0] * xn[0]
+        want = sorted(score[score >= th].tolist(), reverse=True)
+        got = norm_topk._best(q, qn, np.array([-1]), x, xn, np.arange(len(x)), np.array([th]), norm_topk.Params(k=5000))[2]
+        assert got == want

@@ -117,6 +117,21 @@ def test_lines_that_differ_past_their_start(spark):
         F.udf(lambda t: sorted(plain[t]), "array<string>")("norm"), lambda x: F.xxhash64(x)).alias("w")).collect())
 
 
+@pytest.mark.parametrize("n", [9, 10, 18, 27, 60, 90, 100, 150, 200])
+def test_bands_meet_at_every_length(spark, n):
+    """Pairs of lines with n shingles each, just at the threshold, share a bucket."""
+    rng = np.random.default_rng(n)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    cut = max(c for c in range(n) if (n - c) >= 0.8 * (n + c))  # changed characters at the end change as many shingles
+    rows = []
+    for i in range(600):
+        a = "".join(rng.choice(letters, n + 7))
+        rows += [(2 * i, a), (2 * i + 1, a[: n + 7 - cut] + "".join(rng.choice(list("0123456789"), cut)))]
+    signed = line_dedup.signatures(spark.createDataFrame(rows, "id long, norm string"))
+    keys = {r.id: set(r["keys"]) for r in signed.collect()}
+    assert sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(600)) >= 0.98 * 600
+
+
 # --- vectors --------------------------------------------------------------------
 
 

@@ -132,6 +132,24 @@ def test_bands_meet_at_every_length(spark, n):
     assert sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(600)) >= 0.98 * 600
 
 
+def test_all_pairs_of_a_large_bucket(spark):
+    """Lines of one template are no copies; those that share most of their own part are."""
+    rng = np.random.default_rng(13)
+    draw = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), n))
+    template, text = draw(107), []
+    for _ in range(200):
+        own = draw(20)
+        text += [template + own, template + own[:7] + draw(13)]
+    order = rng.permutation(len(text))
+    text = [text[i] for i in order]
+    sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in text]
+    pairs = [(i, j) for i in range(len(text)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = partition(pairs, range(len(text)))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "doc_id long, text string")
+    got = {r.doc_id: r.first_doc_id for r in line_dedup.duplicate_lines(docs).collect()}
+    assert len(pairs) >= 200 and len(set(want.values())) >= 100 and got == want
+
+
 # --- vectors --------------------------------------------------------------------
 
 

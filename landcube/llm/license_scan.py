@@ -2,8 +2,9 @@
 
 Words are runs of ASCII letters, digits and characters beyond ASCII, with A-Z in
 lower case; a phrase stands where its words stand consecutively. The join finds
-every text block (a line of a text, as a set of words) that holds at least
-``threshold`` of a template's words:
+every text block that holds at least ``threshold`` of a template's words. A block
+is the set of words of a line and of those that follow it, in whatever lines, up to
+one word less than the template has, so that wrapped notices are found:
 
 * template words are ordered by their frequency in the whole corpus, rare first;
 * prefix filter: of a template with n words that needs o of them, a matching
@@ -38,6 +39,7 @@ PHRASES = {
 }
 #: What a word is made of, upper case included: the split needs no lowered copy.
 LETTER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Label and text of each template.
 TEMPLATES = [
@@ -116,7 +118,7 @@ def index(templates, frequency: dict[str, int], threshold: float = THRESHOLD) ->
     for label, text in templates:
         all_ = sorted(set(_words_of(text)), key=lambda w: (frequency.get(w, 0), w))
         need = max(1, math.ceil(threshold * len(all_) - 1e-9))
-        out.append({"label": label, "all": all_, "need": need, "prefix": all_[: len(all_) - need + 1]})
+        out.append({"label": label, "all": all_, "need": need, "words": len(_words_of(text)), "prefix": all_[: len(all_) - need + 1]})
     return out
 
 
@@ -126,10 +128,30 @@ def matches(text: Column, found: list[dict], frequency: dict[str, int]) -> Colum
     join needs no shuffle and knows no hot key."""
     strings = lambda xs: F.array(*map(F.lit, xs))
     order = strings(sorted({w for t in found for w in t["all"]}, key=lambda w: (frequency.get(w, 0), w)))
-    table = F.array(*(F.struct(F.lit(t["label"]).alias("label"), strings(t["all"]).alias("all"), F.lit(t["need"]).alias("need"), strings(t["prefix"]).alias("prefix")) for t in found))
+    table = F.array(*(F.struct(F.lit(t["label"]).alias("label"), strings(t["all"]).alias("all"), F.lit(t["need"]).alias("need"), F.lit(t["words"]).alias("words"), strings(t["prefix"]).alias("prefix")) for t in found))
     rare = "(?i)(?<!" + LETTER + ")(?:" + "|".join(sorted({w for t in found for w in t["prefix"]})) + ")(?!" + LETTER + ")"
-    near = F.filter(F.split(text, "\n"), lambda line: line.rlike(rare))
-    sets = F.transform(near, lambda line: F.array_intersect(order, words(ascii_lower(line))))  # the block's template words, rare first
+    reach = max(t["words"] for t in found) - 1  # words that a wrapped template can have past a block's first line
+    # only texts with such a word are split; a line without words takes no part
+    head = f"^{APART}*+(?:{LETTER}++{APART}*+){{0,{reach}}}"
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  evaluates value once, for all lines
+
+    def starts(near):
+        # a block begins at most ``reach`` lines before a rare word
+        return F.filter(F.transform(near, lambda _, i: F.when(F.exists(F.slice(near, i + 1, F.lit(reach + 1)), lambda x: x), i)), lambda i: i.isNotNull())
+
+    def block_of(ls, i):
+        after = F.transform(F.slice(ls, i + 2, F.lit(reach)), lambda line: F.regexp_extract(line, head, 0))
+        return F.struct(
+            F.array_intersect(order, words(ascii_lower(F.get(ls, i)))).alias("own"),
+            F.slice(words(ascii_lower(F.array_join(after, "\n"))), 1, reach).alias("after"))
+
+    # only texts with such a word are split; a line without words takes no part
+    ls = F.when(text.rlike(rare), F.filter(F.split(text, "\n"), lambda line: line.rlike(LETTER))).otherwise(F.array().cast("array<string>"))
+    blocks = once(ls, lambda ls: F.transform(once(F.transform(ls, lambda line: line.rlike(rare)), starts), lambda i: block_of(ls, i)))
+    # ``whole``: the block's template words for the longest template, rare first
+    sets = F.transform(blocks, lambda b: b.withField("whole", F.array_intersect(order, F.concat(b["own"], b["after"]))))
+    sets = F.filter(sets, lambda b: F.size(b["whole"]) >= min(t["need"] for t in found))
+    common = lambda b, t: F.size(F.array_intersect(t["all"], F.concat(b["own"], F.slice(b["after"], F.lit(1), t["words"] - 1))))
 
     def meets(block, t):
         first = F.get(F.array_intersect(t["prefix"], block), F.lit(0))  # prefix filter: null if there is none
@@ -141,9 +163,9 @@ def matches(text: Column, found: list[dict], frequency: dict[str, int]) -> Colum
             & (F.size(F.array_intersect(t["all"], block)) >= t["need"])
         )
 
-    return F.flatten(F.transform(sets, lambda block: F.transform(
-        F.filter(table, lambda t: meets(block, t)),
-        lambda t: F.struct(t["label"].alias("label"), (F.size(F.array_intersect(t["all"], block)) / F.size(t["all"])).alias("containment")))))
+    return F.flatten(F.transform(sets, lambda b: F.transform(
+        F.filter(table, lambda t: meets(b["whole"], t) & (common(b, t) >= t["need"])),
+        lambda t: F.struct(t["label"].alias("label"), (common(b, t) / F.size(t["all"])).alias("containment")))))
 
 
 def scan(docs: DataFrame, templates=None, threshold: float = THRESHOLD) -> DataFrame:

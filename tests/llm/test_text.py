@@ -28,6 +28,25 @@ def test_licenses(spark):
     assert license_scan.scan(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_wrapped_templates(spark):
+    """A notice is found wherever its lines break, and words far apart are none."""
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the conditions are met"
+    texts = [bsd, bsd.replace("\n", "\r\n# \r\n# ")]
+    want = [("bsd", 1.0)] * 2
+    for width in (1, 2, 5, 9):
+        for label, t in license_scan.TEMPLATES:
+            w = t.split()
+            at = [f"word{i}" for i in range(width - 1)] + w + ["tail"] * 30
+            texts.append("\n".join(" ".join(at[i : i + width]) for i in range(0, len(at), width)))
+            want.append((label, 1.0))
+    gap = "\n".join(["filler words stand here"] * 9)
+    texts += [f"Redistribution and use in source and binary forms, with or without\n{gap}\nmodification, are permitted", f"Released under\n{gap}\nthe MIT License"]
+    rows = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], DOCS)).collect()}
+    for i, (label, score) in enumerate(want):
+        assert label in rows[i].labels.split(",") and rows[i].score == score, texts[i]
+    assert [(rows[i].labels, rows[i].score) for i in range(len(want), len(texts))] == [("", 0.0)] * 2
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(8)
     vocab = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(300)]

@@ -49,8 +49,22 @@ class Written:
         out._written_at = path
         return out
 
+    def bucketed(self, df: DataFrame, key: str, buckets: int, name: str = "t") -> DataFrame:
+        """Write ``df`` in buckets of ``key``: joins on that column then shuffle
+        only their other side. The session's catalog holds the table's name alone,
+        the rows are in the shared folder."""
+        self.n += 1
+        path = f"{self.base}/{self.n:03d}-{name}"
+        known = f"{self.base.rsplit('/', 1)[1]}_{self.n:03d}".replace("-", "_")
+        df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(known)
+        out = self.spark.table(known)
+        out._written_at, out._known_as = path, known
+        return out
+
     def drop(self, df: DataFrame | None) -> None:
         """Remove a written table that no later plan reads."""
+        if getattr(df, "_known_as", None):
+            self.spark.sql(f"DROP TABLE IF EXISTS {df._known_as}")
         path = getattr(df, "_written_at", None)
         if path:
             jvm = self.spark._jvm

@@ -72,6 +72,25 @@ class Written:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def look_up(rows: DataFrame, known: DataFrame, key: str, deal: list[str], share: int = 1_000) -> DataFrame:
+    """``rows`` with what ``known(key, copies, ...)`` says of their ``key``, by a
+    left join that no key's rows can make lopsided.
+
+    ``copies`` is how many rows ask for a key. At most ``share`` keys are asked for
+    by more than one row in ``share``: those are broadcast, and the rows that they
+    answer are dealt out by a hash of their columns ``deal``. A null key has no answer."""
+    total = known.agg(F.sum("copies")).first()[0] or 0
+    values = [c for c in known.columns if c not in (key, "copies")]
+    known = known.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), "copies", F.struct(*values).alias("_known"))
+    hot = known.where(F.col("copies") * share > F.lit(total)).select(F.col("_key").alias("_hot_key"), F.col("_known").alias("_hot"))
+    rows = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    answered = F.col("_hot_key").isNotNull() | F.col(key).isNull()
+    rows = rows.withColumn("_ask", F.when(answered, F.xxhash64(*deal)).otherwise(F.col(key).cast("long")))
+    out = rows.join(known.drop("copies"), F.col("_ask") == F.col("_key"), "left")
+    found = F.when(F.col("_hot_key").isNotNull(), F.col("_hot")).when(F.col(key).isNotNull(), F.col("_known"))
+    return out.withColumn("_found", found).select(*[c for c in rows.columns if c not in ("_hot_key", "_hot", "_ask")], *[F.col("_found")[v].alias(v) for v in values])
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, store: Written | None = None) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; component is the
     smallest node reachable.

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, connected_components
+from .common import Written, connected_components, look_up
 
 SEED = 42
 
@@ -42,7 +42,8 @@ SEED = 42
 class Params:
     shingle: int = 3
     radius: int = 3
-    sample: int = 16_384  #: bound on the fingerprints that the upper trees are fitted on
+    sample: int = 1 << 20  #: bound on the fingerprints that the upper trees are fitted on
+    to_leaf: int = 32  #: fingerprints of the sample to a shard, up to that bound
     shard_rows: int = 3_000  #: rows that a shard is meant to hold
 
 
@@ -72,14 +73,16 @@ def majority(h: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(doc_id, fp long) of each row; one pass, map side only."""
+    """(doc_id, digest, fp long) of each row; one pass, map side only. ``digest``
+    tells rows apart that share a ``doc_id``."""
 
     def run(batches):
         for b in batches:
             f = np.array([fingerprint(t, p.shingle) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(f.view(np.int64))], names=["doc_id", "digest", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, digest long, fp long")
 
 
 # --- vantage-point trees over a 32-bit half -------------------------------------
@@ -212,7 +215,6 @@ def _deal(trees: list[list], radius: int):
     def run(batches):
         for b in batches:
             fp = b.column(0).to_numpy().view(np.uint64)
-            rep = b.column(1)
             for t, nodes in enumerate(trees):
                 rows, leaf, own = route(nodes, _half(fp, t), radius // 2)
                 mine = np.zeros(len(fp), np.int64)
@@ -220,42 +222,64 @@ def _deal(trees: list[list], radius: int):
                 keep = own | (leaf > mine[rows])
                 rows, leaf, own = rows[keep], leaf[keep], own[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), t, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(own), pa.array(fp[rows].view(np.int64)), rep.take(pa.array(rows))],
-                    names=["tree", "leaf", "own", "fp", "rep"])
+                    [pa.array(np.full(len(rows), t, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(own), pa.array(fp[rows].view(np.int64))],
+                    names=["tree", "leaf", "own", "fp"])
 
     return run
 
 
 def links(reps: DataFrame, n: int, p: Params = Params()) -> DataFrame:
-    """Edges (a, b) between the rows (fp, rep) of distinct fingerprints that
-    span the same components as all links do."""
-    sample = reps.select("fp").orderBy(F.xxhash64(F.col("fp"), F.lit(7)), "fp").limit(p.sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    """Edges (a, b) between the ``n`` distinct fingerprints ``fp`` that span the
+    same components as all links do.
+
+    The upper trees divide a sample, so that shards grow with ``n`` only beyond
+    ``sample / 8`` of them; each shard goes on dividing its own rows."""
+    want = min(p.sample, max(256, p.to_leaf * n // p.shard_rows))
+    part = F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1 << 30)) <= F.lit(int(min(1.0, want / max(n, 1)) * (1 << 30)))
+    sample = np.sort(reps.where(part).select("fp").toPandas()["fp"].to_numpy(np.int64)).view(np.uint64)
     leaf = max(8, int(len(sample) * p.shard_rows / max(n, 1)))
     trees = [build(np.unique(_half(sample, t)), leaf) for t in (0, 1)]
-    kind = dict(reps.dtypes)["rep"]
-    dealt = reps.select("fp", "rep").mapInArrow(_deal(trees, p.radius), f"tree int, leaf int, own boolean, fp long, rep {kind}")
+    dealt = reps.select("fp").mapInArrow(_deal(trees, p.radius), "tree int, leaf int, own boolean, fp long")
 
     def search(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("own", ascending=False, kind="stable")
-        got = shard_links(pdf["fp"].to_numpy(np.int64).view(np.uint64), int(pdf["own"].sum()), int(key[0]), p.radius)
-        rep = pdf["rep"].to_numpy()
-        return pd.DataFrame({"a": rep[[i for i, _ in got]], "b": rep[[j for _, j in got]]})
+        pdf = pdf.sort_values(["own", "fp"], ascending=[False, True], kind="stable")
+        fp = pdf["fp"].to_numpy(np.int64)
+        got = shard_links(fp.view(np.uint64), int(pdf["own"].sum()), int(key[0]), p.radius)
+        return pd.DataFrame({"a": fp[[i for i, _ in got]], "b": fp[[j for _, j in got]]})
 
-    return dealt.groupBy("tree", "leaf").applyInPandas(search, f"a {kind}, b {kind}")
+    return dealt.groupBy("tree", "leaf").applyInPandas(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(doc_id, fingerprint, component_id, kept) for each row of ``docs``."""
+def components(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """(doc_id, digest, fp, component) for each row of ``docs``, written: a
+    component is named by its smallest fingerprint, whatever the ids of its rows."""
     spark = docs.sparkSession
     store = Written(spark)
     fps = store.write(fingerprints(docs, p), "fingerprints")
-    reps = store.write(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "representatives")
+    reps = store.write(fps.groupBy("fp").agg(F.count("*").alias("copies")), "distinct")
     edges = store.write(links(reps, reps.count(), p), "links")
     comp = connected_components(spark, edges, store)
-    group = store.write(
-        reps.join(comp, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "groups")
+    named = store.write(reps.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "copies", F.coalesce("component", "fp").alias("component")), "named")
     store.drop(edges)
-    out = fps.join(group, "fp", "left")
+    return store.write(look_up(fps, named, "fp", ["doc_id", "digest"]), "components")
+
+
+def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """(doc_id, fingerprint, component_id, kept) for each row of ``docs``."""
+    found = components(docs, p)
+    named = found.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("copies"))
+    out = look_up(found, named, "component", ["doc_id", "digest"])
     return out.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest ``doc_id``
+    (null ids last), among those the one whose text has the smallest digest."""
+    row = lambda digest: [F.xxhash64("doc_id", digest).alias("_row"), F.xxhash64(F.lit(2), digest, "doc_id").alias("_check")]
+    first = components(docs, p).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("x"))
+    keep = first.select("x.doc_id", "x.digest").select(*row("digest"))
+    rows = docs.withColumn("_digest", F.xxhash64("text"))
+    rows = rows.select("*", *row("_digest")).drop("_digest").dropDuplicates(["_row", "_check"])
+    return rows.join(keep.hint("merge"), ["_row", "_check"], "left_semi").select(*docs.columns)

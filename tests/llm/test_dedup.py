@@ -57,8 +57,10 @@ def test_search_finds_all(spark):
         near = near ^ np.where(rng.random(300) < 0.6, np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64), np.uint64(0))
     fp = np.unique(np.r_[base, near])
     pairs = [(int(a), int(b)) for a, b in np.argwhere(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3, 1))]
-    df = spark.createDataFrame([(int(f.astype(np.int64)), i) for i, f in enumerate(fp)], "fp long, rep long")
-    got = [(r.a, r.b) for r in simhash.links(df, len(fp), simhash.Params(shard_rows=40, sample=256)).collect()]
+    ids = fp.view(np.int64).tolist()
+    at = {f: i for i, f in enumerate(ids)}
+    df = spark.createDataFrame([(f,) for f in ids], "fp long")
+    got = [(at[r.a], at[r.b]) for r in simhash.links(df, len(fp), simhash.Params(shard_rows=40, sample=256)).collect()]
     assert partition(got, range(len(fp))) == partition(pairs, range(len(fp)))
 
 
@@ -71,6 +73,16 @@ def test_near_duplicate_documents(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_documents_that_share_an_id(spark):
+    """Fingerprints tell documents apart, not ids; one row of each group stays."""
+    rows = [(1, "the first text of all"), (1, "something wholly other than that"), (None, "the first text of all"), (None, "no other row says this"), (4, "something wholly other than that"), (4, "something wholly other than that")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.component_id or 0, r.kept) for r in simhash.near_duplicates(docs).collect()))
+    assert got == sorted([(1, 1, True), (1, 1, True), (0, 1, False), (0, 0, False), (4, 1, False), (4, 1, False)])
+    left = sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(docs).collect())
+    assert left == sorted([(1, rows[0][1]), (1, rows[1][1]), (0, rows[3][1])])
+
+
 # --- lines ----------------------------------------------------------------------
 
 

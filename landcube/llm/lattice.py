@@ -10,15 +10,19 @@ Every vector carries its cells of all tables, so that of a pair that meets more
 than once exactly one meeting counts it: the first table's, and there the one
 whose finder has the larger id. Hence a cell returns a count for each vector and
 a spanning forest of its links, never the pairs: a dense cell costs arithmetic,
-not rows. Cells that hold many vectors are split by owner over several tasks.
+not rows. Groups of cells that hold many vectors are split on both sides, by those
+that own the cells and by those that find them, into blocks of bounded size.
 
 Equal vectors of a label are one node with a multiplicity, collapsed map side, so
-that a group of copies costs one row a task.
+that a group of copies costs one row a task. A node is named by a 64-bit hash of
+label and vector, not by an id: two of ten thousand million nodes that share one
+would be taken for each other.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing, nor do those with a null label: no links, their own component. A
 null ``vec_id`` links with nothing and has a null component. Vectors of different
-lengths never link. Rows that repeat a ``vec_id`` count as vectors each. Further
+lengths never link. Rows that repeat a ``vec_id`` count as vectors each, with links
+and components of their own. Further
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, connected_components
+from .common import Written, connected_components, look_up
 
 
 @dataclass(frozen=True)
@@ -45,7 +49,8 @@ class Params:
     scale: float = 1.8  #: cells of the lattice to a unit of length
     seed: int = 11
     group_rows: int = 1_500  #: rows that a group of cells is meant to hold
-    split_rows: int = 4_000  #: owners of a group that one task holds against all who probe it
+    split_rows: int = 4_000  #: owners of a group that one task holds
+    chunk_rows: int = 16_000  #: rows that find cells of the group, held against them at once
 
 
 @functools.lru_cache(maxsize=1)
@@ -110,16 +115,23 @@ def usable(c: str) -> F.Column:
     return F.coalesce(e.isNotNull() & ~bad & F.exists(e, lambda x: x != 0), F.lit(False))
 
 
+def _node() -> list[F.Column]:
+    """The usable vector with one kind of zero, and its node; null for others."""
+    ok = usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    e = F.when(ok, F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double"))))
+    return [e.alias("e"), F.when(ok, F.xxhash64("label", e)).alias("node")]
+
+
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
-    """(rep, label, e, copies): equal usable vectors of a label are one row."""
-    e = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double")))  # no negative zeros
+    """(rep, label, e, copies, first): equal usable vectors of a label are one row,
+    ``rep`` its node and ``first`` the smallest of their ids."""
     return (
-        vectors.where(usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-        .select("vec_id", "label", e.alias("e")).groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+        vectors.select("vec_id", "label", *_node()).where("node is not null")
+        .groupBy(F.col("node").alias("rep"), "label", "e").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     )
 
 
-def _deal(p: Params, owners_only: bool = False):
+def _deal(p: Params, places_only: bool = False):
     """Vectors to cells: one row as an owner, one for each cell probed; and each
     with its double components and its cells in all tables."""
 
@@ -140,12 +152,6 @@ def _deal(p: Params, owners_only: bool = False):
                     unit = x / peak
                     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                     codes = cells(unit, p)
-                    if owners_only:
-                        every = np.repeat(np.arange(len(rows)), p.tables)
-                        yield pa.RecordBatch.from_arrays(
-                            [b.column(0).take(pa.array(rows[every])), pa.array(np.full(len(every), dim, np.int32)), pa.array(np.tile(np.arange(p.tables, dtype=np.int32), len(rows))), pa.array(codes[:, :, 0].reshape(-1))],
-                            names=["label", "dim", "t", "code"])
-                        continue
                     n, t, k = codes.shape
                     at = np.repeat(np.arange(n), t * k)
                     role = np.tile(np.arange(k) == 0, n * t)
@@ -154,6 +160,11 @@ def _deal(p: Params, owners_only: bool = False):
                     keep = role | (code != np.repeat(codes[:, :, 0].reshape(-1), k))
                     at, role, table, code = at[keep], role[keep], table[keep], code[keep]
                     take = pa.array(rows[at])
+                    if places_only:
+                        yield pa.RecordBatch.from_arrays(
+                            [b.column(0).take(take), pa.array(np.full(len(at), dim, np.int32)), pa.array(table), pa.array(code), pa.array(role)],
+                            names=["label", "dim", "t", "code", "own"])
+                        continue
                     unit_b = pa.array([u.tobytes() for u in unit], pa.binary()).take(pa.array(at))
                     codes_b = pa.array([c.tobytes() for c in codes], pa.binary()).take(pa.array(at))
                     yield pa.RecordBatch.from_arrays(
@@ -170,7 +181,7 @@ def _meet(p: Params):
         rep, copies = pdf["rep"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64)
         unit = np.frombuffer(b"".join(pdf["unit"]), np.float64).reshape(len(pdf), -1)
         code = np.frombuffer(b"".join(pdf["cells"]), np.int32).reshape(len(pdf), p.tables, 1 + p.probes)
-        mine = np.flatnonzero(pdf["target"].to_numpy(bool))
+        mine, found_by = np.flatnonzero(pdf["target"].to_numpy(bool)), np.flatnonzero(pdf["finder"].to_numpy(bool))
         cell = pdf.groupby(["label", "code"], sort=False).ngroup().to_numpy()
         count, up, edges = np.zeros(len(pdf), np.int64), np.arange(len(pdf)), []
 
@@ -182,9 +193,10 @@ def _meet(p: Params):
 
         for lo in range(0, len(mine), 256):
             own = mine[lo : lo + 256]
-            for at in range(0, len(pdf), 2048):
-                a, b = np.nonzero((cell[own][:, None] == cell[None, at : at + 2048]) & (unit[own] @ unit[at : at + 2048].T >= p.cosine))
-                a, b = own[a], b + at
+            for at in range(0, len(found_by), 2048):
+                some = found_by[at : at + 2048]
+                a, b = np.nonzero((cell[own][:, None] == cell[None, some]) & (unit[own] @ unit[some].T >= p.cosine))
+                a, b = own[a], some[b]
                 a, b = a[rep[a] != rep[b]], b[rep[a] != rep[b]]  # a owns the cell that b found
                 # both found each other in this table: the finder of larger id counts
                 both = (code[b, t, :1] == code[a, t]).any(axis=1)
@@ -206,13 +218,13 @@ def _meet(p: Params):
     return run
 
 
-def deal(reps: DataFrame, groups: int, p: Params = Params(), owners_only: bool = False) -> DataFrame:
+def deal(reps: DataFrame, groups: int, p: Params = Params(), places_only: bool = False) -> DataFrame:
     """Each distinct vector, dealt to the cells it owns and probes; the cells
     stand in groups, so that small ones share a task's call."""
     kind = dict(reps.dtypes)["label"]
-    rest = "" if owners_only else ", own boolean, unit binary, cells binary"
-    ids = "" if owners_only else ", rep long, copies long"
-    out = reps.select("label", "e", "rep", "copies").mapInArrow(_deal(p, owners_only), f"label {kind}{ids}, dim int, t int, code int{rest}")
+    rest = "" if places_only else ", unit binary, cells binary"
+    ids = "" if places_only else ", rep long, copies long"
+    out = reps.select("label", "e", "rep", "copies").mapInArrow(_deal(p, places_only), f"label {kind}{ids}, dim int, t int, code int, own boolean{rest}")
     return out.withColumn("cells_group", F.pmod(F.xxhash64("label", "code"), F.lit(groups)).cast("int"))
 
 
@@ -224,21 +236,29 @@ def near_duplicates(vectors: DataFrame, p: Params = Params()) -> DataFrame:
     reps = store.write(distinct_vectors(vectors), "distinct")
     groups = max(1, -(-reps.count() * (1 + p.probes) // p.group_rows))
     key = ["dim", "t", "cells_group"]
-    # a group's owners are split into blocks; each block meets all that found its cells
-    size = deal(reps, groups, p, owners_only=True).groupBy(*key).agg(F.count("*").alias("owners"))
-    size = store.write(size.select(*key, F.ceil(F.col("owners") / p.split_rows).cast("int").alias("blocks")), "groups")
-    spread = deal(reps, groups, p).join(size, key).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    target = F.col("own") & (F.pmod(F.xxhash64("rep"), F.col("blocks")) == F.col("block"))
+    # a group's owners are split into blocks and its finders into chunks: each pair of them is one task's call
+    size = deal(reps, groups, p, places_only=True).groupBy(*key).agg(F.count_if("own").alias("owners"), F.count("*").alias("finders"))
+    size = store.write(size.select(
+        *key, F.greatest(F.lit(1), F.ceil(F.col("owners") / p.split_rows)).cast("int").alias("blocks"), F.ceil(F.col("finders") / p.chunk_rows).cast("int").alias("chunks")), "groups")
+    dealt = deal(reps, groups, p).join(size, key)
+    block, chunk = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int")
+    calls = F.array_union(
+        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b * F.col("chunks") + F.col("chunk")),
+        F.when(F.col("own"), F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.col("block") * F.col("chunks") + c)).otherwise(F.array().cast("array<int>")))
+    spread = dealt.withColumns({"block": block, "chunk": chunk}).withColumn("call", F.explode(calls))
+    spread = spread.withColumns({
+        "target": F.col("own") & (F.floor(F.col("call") / F.col("chunks")) == F.col("block")), "finder": F.col("call") % F.col("chunks") == F.col("chunk")})
     met = store.write(
-        spread.withColumn("target", target).groupBy(*key, "block").applyInPandas(_meet(p), "a long, b long, n long"), "meetings")
+        spread.drop("blocks", "chunks", "block", "chunk", "own").groupBy(*key, "call").applyInPandas(_meet(p), "a long, b long, n long"), "meetings")
     store.drop(size)
     counts = met.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     comp = connected_components(spark, met.where("b is not null").select("a", "b"), store)
-    known = reps.join(counts, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left").select(
-        "label", "e", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    part = reps.select("rep", "first", "copies").join(comp, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep"))
+    part = store.write(part.select("rep", "first", "copies", "part"), "parts")
+    least = part.groupBy("part").agg(F.min("first").alias("component_id"))
+    known = part.join(least, "part").join(counts, "rep", "left").select(
+        F.col("rep").alias("node"), "copies", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"))
     known = store.write(known, "known")
-    ok = usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    e = F.when(ok, F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double"))))
-    out = vectors.select("vec_id", "label", e.alias("e")).join(known, ["label", "e"], "left")
+    out = look_up(vectors.select("vec_id", _node()[1]), known, "node", ["vec_id"])
     comp_id = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.lit(False)).alias("kept"))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.lit(False)).alias("kept"))

@@ -1,9 +1,10 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors are quantised to integers and grouped into buckets of like length, long
-ones first. A query block first meets the longest bucket, which gives each of its
-queries a k-th best score to beat. With it, a bucket of greatest length L can
-answer a query q only if the cosine can reach t = score / (|q| L):
+Vectors are quantised to integers and grouped into buckets of like length (a fixed
+ratio of lengths; crowded lengths are split by a hash). Every query first meets the
+longest vectors, about ``bucket_rows`` of them, which gives it a k-th best score to
+beat. With it, a bucket of greatest length L can answer a query q only if the
+cosine can reach t = score / (|q| L):
 
 * t > 1: the bucket is pruned for q;
 * few coordinates of q carry its length (its focus holds a share of at least
@@ -15,15 +16,17 @@ answer a query q only if the cosine can reach t = score / (|q| L):
 Survivors are verified by exact integer products. Bounds are computed in floating
 point and widened by a relative 1e-9, so that rounding never prunes a hit.
 
-Queries meet buckets in blocks: every block pair that the bound of whole blocks
-does not rule out is one row of an equi-join on the bucket, with its vectors
-packed together; each pair returns at most k rows a query.
+The score also says which is the shortest bucket that a query needs; queries that
+need the same ones stand in a block, so that a block meets no bucket that all its
+queries can do without. Block and bucket meet by an equi-join, their vectors packed
+together; each pair returns at most k rows a query. Nothing is collected: buckets,
+their bounds and what each block needs are tables.
 
 Vectors null or holding null or non-finite components take no part, nor do empty
 ones and those with a null ``vec_id``; only vectors of equal length are compared.
 All-zero vectors take part with score 0. Rows that repeat a ``vec_id`` are each
-a candidate, though never for a query of the same id; each such query row is
-answered once per id. Further columns are ignored; an empty table gives an empty
+a candidate, though never for a query of the same id; a query id is answered once,
+for the least of its vectors. Further columns are ignored; an empty table gives an empty
 result.
 """
 
@@ -46,6 +49,9 @@ class Params:
     scale: int = 256
     bucket_rows: int = 2_048  #: candidates of a bucket
     block_rows: int = 256  #: queries of a block
+    steps: int = 16  #: lengths of a bucket within an octave
+    hot_keys: int = 100_000  #: bound on the crowded lengths that are broadcast
+    spread: int = 16  #: copies of the longest vectors that queries are dealt to
     focus_share: float = 0.5
 
 
@@ -123,62 +129,69 @@ def _products(p: Params):
     return run
 
 
+def _length(norm: F.Column, p: Params) -> F.Column:
+    """Number of a length's bucket: equal lengths have one, longer ones no smaller."""
+    return F.when(norm > 0, F.floor(F.log2(norm) * p.steps).cast("int")).otherwise(F.lit(NONE))
+
+
+#: Below all lengths: the bucket of zero vectors, and what a query without a score to beat needs.
+NONE = -(1 << 30)
+
+
+def _dealt(rows: DataFrame, key: list[str], id_: str, size: int, piece: str, p: Params) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with their number ``piece`` within a crowded ``key``, and the keys
+    with their pieces. Keys of at most ``size`` rows, or of one in ``hot_keys`` of all, are one piece."""
+    counts = rows.groupBy(*key).agg(F.count("*").alias("m"))
+    total = counts.agg(F.sum("m")).first()[0] or 0
+    counts = counts.withColumn("pieces", F.when(F.col("m") > F.lit(max(size, total // p.hot_keys)), F.ceil(F.col("m") / size)).otherwise(1).cast("int"))
+    crowded = counts.where("pieces > 1").select(*key, "pieces")  # at most hot_keys rows
+    out = rows.join(F.broadcast(crowded), key, "left").withColumn(piece, F.pmod(F.xxhash64(id_, F.lit(3)), F.coalesce("pieces", F.lit(1))).cast("int"))
+    return out.drop("pieces"), counts
+
+
 def top_k(vectors: DataFrame, p: Params = Params()) -> DataFrame:
     """(query_id, rank, vec_id, score) for the queries among ``vectors(vec_id,
     embedding)``: the rows whose id is divisible by ``query_every``."""
     spark = vectors.sparkSession
     store = Written(spark)
-    x = store.write(quantised(vectors, p), "quantised")
-    stats = x.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect()  # a row for each length of vector
-    if not stats:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = None
-    for row in stats:
-        part = _of_dimension(store, x.where(F.col("dim") == row["dim"]), row["n"], p)
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def _of_dimension(store: Written, x: DataFrame, n: int, p: Params) -> DataFrame:
-    buckets = max(1, -(-n // p.bucket_rows))
-    # bounds of like lengths, from a sketch of all norms; ties of a bound are dealt on by a hash
-    cuts = x.approxQuantile("norm", [i / buckets for i in range(1, buckets)], 0.1 / buckets) if buckets > 1 else []
-    cuts = sorted(set(cuts), reverse=True)
-    number = F.lit(0) if not cuts else F.expr(" + ".join(f"if(norm < {c!r}D, 1, 0)" for c in cuts)) if len(cuts) <= 64 else F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("norm") < c))
-    placed = x.withColumn("bucket", number)
-    count = placed.groupBy("bucket").agg(F.count("*").alias("m"))
-    # a bucket that many equal lengths fill is split by a hash
-    split = placed.join(count, "bucket").withColumn("sub", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("m") / p.bucket_rows)).cast("int"))
-    packed = store.write(_packed(split.withColumn("down", -F.col("norm")), ["bucket", "sub"], ["down"]), "buckets")
-    query = x.where(F.pmod("vec_id", F.lit(p.query_every)) == 0).dropDuplicates(["vec_id"])
-    blocks = max(1, -(-n // (p.query_every * p.block_rows)))
-    asked = store.write(
-        _packed(query.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int")), ["block"], ["vec_id"])
-        .select("block", F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.col("norms").alias("q_norms"), F.col("longest").alias("q_longest")), "queries")
-    names = [(r["bucket"], r["sub"], r["longest"]) for r in packed.select("bucket", "sub", "longest").orderBy("bucket", "sub").collect()]  # a few bytes for each bucket of vectors
-    keys = ["bucket", "sub"]
-    # the longest bucket is one row of about bucket_rows vectors, whatever the table: it goes to every query block
-    first = packed.where((F.col("bucket") == names[0][0]) & (F.col("sub") == names[0][1])).drop("longest", *keys)
-    head = asked.withColumn("theta", F.lit(None).cast("array<double>")).join(F.broadcast(first), F.lit(True))
-    out = "query_id long, vec_id long, score long"
+    x = store.write(quantised(vectors, p).withColumn("length", _length(F.col("norm"), p)), "quantised")
+    placed, lengths = _dealt(x, ["dim", "length"], "vec_id", p.bucket_rows, "sub", p)
+    packed = store.write(_packed(placed.withColumn("down", -F.col("norm")), ["dim", "length", "sub"], ["down"]), "buckets")
+    # the longest vectors of each dimension: the first piece of each length until there are enough
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("dim").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lengths = store.write(lengths.withColumn("first", before < p.bucket_rows), "lengths")
+    longest = placed.where("sub = 0").join(F.broadcast(lengths.where("first").groupBy("dim").agg(F.min("length").alias("from"))), "dim").where("length >= from")
+    # (a row for each dimension; the pieces above ``from`` hold less than bucket_rows vectors)
+    head = _packed(longest.withColumn("down", -F.col("norm")), ["dim"], ["down"]).drop("longest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(p.spread - 1))))
+    least = F.min(F.struct("dim", "x", "norm")).alias("v")
+    query = store.write(x.where(F.pmod("vec_id", F.lit(p.query_every)) == 0).groupBy("vec_id").agg(least).select("vec_id", "v.*"), "queries")
+    out, run = "query_id long, vec_id long, score long", _products(p)
     columns = ["q_ids", "q_flat", "q_norms", "ids", "flat", "norms", "theta"]
-    run = _products(p)
-    one = store.write(head.select(*columns).mapInPandas(run, out), "first")
-    if len(names) == 1:
-        return _ranked(one, p)
-    kth = one.groupBy("query_id").agg(F.array_sort(F.collect_list("score")).alias("s"))
-    kth = kth.where(F.size("s") >= p.k).select("query_id", F.element_at("s", -p.k).cast("double").alias("th"))  # at most k rows a query
-    known = (
-        asked.select("block", F.posexplode("q_ids").alias("at", "query_id")).join(kth, "query_id", "left")
-        .groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "th"))), lambda r: r["th"]).alias("theta")))
-    rest = asked.join(known, "block").withColumn("least", F.when(~F.exists("theta", lambda t: t.isNull()), F.array_min("theta")))
-    others = F.array(*(F.struct(F.lit(b).alias("bucket"), F.lit(s).alias("sub"), F.lit(float(m)).alias("longest")) for b, s, m in names[1:]))
-    pairs = rest.withColumn("to", F.explode(F.filter(others, lambda o: F.col("least").isNull() | (F.col("least") <= 0) | (o["longest"] * F.col("q_longest") * (1 + 1e-9) >= F.col("least")))))
-    pairs = pairs.withColumns({"bucket": F.col("to.bucket"), "sub": F.col("to.sub")}).drop("to", "longest")
-    two = pairs.join(packed, keys).select(*columns).mapInPandas(run, out)
+    asked = _asked(_dealt(query, ["dim"], "vec_id", p.block_rows, "block", p)[0].withColumn("th", F.lit(None).cast("double")), ["dim", "block"])
+    asked = asked.withColumn("salt", F.pmod("block", F.lit(p.spread)))
+    one = store.write(asked.join(head, ["dim", "salt"]).select(*columns).mapInPandas(run, out), "first")
+    kth = one.groupBy("query_id").agg(F.array_sort(F.collect_list("score")).alias("s")).where(F.size("s") >= p.k)  # at most k rows a query
+    kth = kth.select(F.col("query_id").alias("vec_id"), F.element_at("s", -p.k).cast("double").alias("th"))
+    # a vector of less than this length can't reach the score
+    reach = F.when((F.col("th") > 0) & (F.col("norm") > 0), F.col("th") / F.col("norm") * (1 - 1e-6)).otherwise(0.0)
+    known = query.join(kth, "vec_id", "left").withColumn("need", _length(reach, p))
+    known = store.write(_dealt(known, ["dim", "need"], "vec_id", p.block_rows, "block", p)[0], "known")
+    key = ["dim", "need", "block"]
+    left = lengths.where(~F.col("first") | (F.col("pieces") > 1)).groupBy("dim").agg(F.collect_list(F.struct("length", "pieces", "first")).alias("all"))
+    todo = known.select(*key).distinct().join(left, "dim").withColumn("to", F.explode(F.filter("all", lambda b: b["length"] >= F.col("need"))))
+    todo = todo.select(*key, "to.*").join(_asked(known, key), key)
+    todo = todo.withColumn("sub", F.explode(F.sequence(F.col("first").cast("int"), F.col("pieces") - 1))).drop("first", "pieces", "longest")
+    two = todo.join(packed, ["dim", "length", "sub"]).select(*columns).mapInPandas(run, out)
     return _ranked(one.unionByName(two), p)
 
 
+def _asked(queries: DataFrame, key: list[str]) -> DataFrame:
+    """Blocks of queries, each with the scores that they have to reach."""
+    theta = queries.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("vec_id", "th"))).alias("t")).select(*key, F.transform("t", lambda r: r["th"]).alias("theta"))
+    packed = _packed(queries, key, ["vec_id"]).select(*key, F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.col("norms").alias("q_norms"))
+    return packed.join(theta, key)
+
+
 def _ranked(scores: DataFrame, p: Params) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")

@@ -7,11 +7,14 @@ six letters, each hashed to 32 bits. The machine scores
 
 over the k terms present, so that a pair (an insult beside the mention of a group)
 can weigh more than its two words. Only terms that tell the classes apart in the
-training rows (log-likelihood ratio) carry weights: unknown words and the length
-of a text say nothing.
-
-Fitting uses at most ``Params.train_rows`` labelled rows, those whose ``doc_id``
-has the smallest hashes; everything else covers all rows. Rows with a null text
+training rows (log-likelihood ratio) carry weights, by themselves or in a pair of
+common terms, of which neither may say anything alone: unknown words and the
+length of a text say nothing.
+
+Fitting uses at most ``Params.train_rows`` labelled documents, those whose ``doc_id``
+has the smallest hashes, and of rows that share an id the least text; texts of equal
+terms teach once, and not at all if their labels differ, so that the model does not
+depend on the order of rows. Everything else covers all rows. Rows with a null text
 count as empty and get the score of no terms, as do empty texts. Labels that are
 null, ambiguous (an id labelled both ways) or without a document teach nothing;
 with no toxic or no clean label the score is a constant, below 0.5 unless all
@@ -39,6 +42,9 @@ class Params:
     train_rows: int = 12_000  #: bound on the labelled rows that are fitted
     max_terms: int = 4_096  #: bound on the terms that carry weights
     min_llr: float = 24.0
+    common_terms: int = 512  #: bound on the common terms whose pairs are looked at
+    pair_terms: int = 128  #: bound on the terms that carry weights for their pairs
+    pair_llr: float = 60.0  #: over that of the pair's better term
     rank: int = 4
     steps: int = 150
     rate: float = 0.1
@@ -80,7 +86,7 @@ def _features(batches):
             seen: set[int] = set()
             for w in set(WORD((t or "").lower())):
                 seen.update(term_hashes(w))
-            out.append(np.fromiter(seen, np.uint32, len(seen)).tobytes())
+            out.append(np.sort(np.fromiter(seen, np.uint32, len(seen))).tobytes())
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["toxic", "terms"])
 
 
@@ -93,22 +99,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> D
         .where("toxic = most").select("doc_id", "toxic")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.train_rows)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
     return rows.mapInArrow(_features, "toxic int, terms binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
-    seen: set[bytes] = set()
-    x, y = [], []
+    seen: dict[bytes, tuple[np.ndarray, set[int]]] = {}
     table = training_rows(docs, labels, p).toArrow()
     for terms, toxic in zip(table.column("terms"), table.column("toxic").to_pylist()):
         data = terms.as_buffer()  # a view: the rows stay where Arrow has them
-        key = hashlib.blake2b(data, digest_size=16).digest()
-        if key not in seen:  # copies of a text teach once
-            seen.add(key)
-            x.append(np.frombuffer(data, np.uint32))
-            y.append(toxic)
-    order = sorted(range(len(x)), key=lambda i: (int(x[i].sum(dtype=np.uint64)), len(x[i])))  # the same from any row order
+        seen.setdefault(hashlib.blake2b(data, digest_size=16).digest(), (np.frombuffer(data, np.uint32), set()))[1].add(toxic)
+    once = [(terms, min(toxic)) for terms, toxic in seen.values() if len(toxic) == 1]
+    x, y = [t for t, _ in once], [k for _, k in once]
+    order = sorted(range(len(x)), key=lambda i: (int(x[i].sum(dtype=np.uint64)), len(x[i]), x[i].tobytes()))  # the same from any row order
     return _fit([x[i] for i in order], np.array([y[i] for i in order], float), p)
 
 
@@ -159,21 +163,48 @@ def _choose(x: list[np.ndarray], y: np.ndarray, pos: float, neg: float, p: Param
     for lo in range(0, buckets, 1 << 18):
         part = slice(lo, lo + (1 << 18))
         hopeful[part] = _llr(n1[part].astype(float), (n - n1)[part].astype(float), pos, neg) >= p.min_llr / 2
-    del n, n1
+    # the buckets of the most common terms, for pairs
+    middle = np.minimum(n, len(x) - n)
+    often = np.argsort(-middle, kind="stable")[: 2 * p.common_terms]
+    hopeful[often[middle[often] >= max(8, len(x) // 100)]] = True
+    del n, n1, middle
     kept = [a[hopeful[a & (buckets - 1)]] for a in x]
     row = np.repeat(np.arange(len(x)), [len(a) for a in kept])
     term = np.concatenate(kept) if len(row) else np.zeros(0, np.uint32)
     names, at = np.unique(term, return_inverse=True)
-    n1 = np.bincount(at, y[row], len(names))
-    llr = _llr(n1, np.bincount(at, minlength=len(names)) - n1, pos, neg)
+    n1, n = np.bincount(at, y[row], len(names)), np.bincount(at, minlength=len(names))
+    llr = _llr(n1, n - n1, pos, neg)
     chosen = np.argsort(-llr, kind="stable")[: p.max_terms]
-    chosen = np.sort(chosen[llr[chosen] >= p.min_llr])
+    chosen = chosen[llr[chosen] >= p.min_llr]
+    chosen = np.unique(np.r_[chosen, _paired(row, at, y, n, llr, pos, neg, p)]).astype(int)
     to = np.full(len(names), -1)
     to[chosen] = np.arange(len(chosen))
     keep = to[at] >= 0 if len(at) else np.zeros(0, bool)
     return row[keep], to[at][keep], names[chosen]
 
 
+def _paired(row, at, y, n, llr, pos, neg, p: Params) -> np.ndarray:
+    """The terms of those pairs of common terms that tell the classes apart
+    clearly better than either term alone."""
+    middle = np.minimum(n, len(y) - n)
+    some = np.argsort(-middle, kind="stable")[: p.common_terms]
+    some = some[middle[some] >= max(8, len(y) // 100)]
+    if len(some) < 2:
+        return np.zeros(0, int)
+    to = np.full(len(n), -1)
+    to[some] = np.arange(len(some))
+    there = to[at] >= 0
+    x = np.zeros((len(y), len(some)), np.float32)
+    x[row[there], to[at[there]]] = 1
+    both1, both = x[y > 0].T @ x[y > 0], x.T @ x
+    i, j = np.triu_indices(len(some), 1)
+    n1, n2 = both1[i, j].astype(float), both[i, j].astype(float)
+    gain = _llr(n1, n2 - n1, pos, neg) - np.maximum(llr[some[i]], llr[some[j]])
+    best = np.argsort(-gain, kind="stable")[: p.pair_terms // 2]
+    best = best[gain[best] >= p.pair_llr]
+    return np.unique(np.r_[some[i[best]], some[j[best]]])
+
+
 def _llr(n1, n0, pos, neg):
     """G statistic of a term's presence against the class."""
     cells = np.stack([n1, n0, pos - n1, neg - n0])

@@ -249,6 +249,22 @@ def test_lattice_links(spark):
     assert lattice.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+@pytest.mark.parametrize("split", [4_000, 7])
+def test_lattice_nodes_are_vectors(spark, split):
+    """Rows that share an id are vectors each; a dense cell split on both sides counts the same."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (4, [1.0, 0.02]), (3, [0.0, 2.0])]
+    df = spark.createDataFrame([(i, e, 0, 0) for i, e in rows], VECTORS)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in lattice.near_duplicates(df).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 2, 1)]
+    rng = np.random.default_rng(8)
+    x = np.r_[np.ones((60, 8)) + rng.standard_normal((60, 8)) * 0.05, rng.standard_normal((40, 8))].astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.93).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, [float(v) for v in e], 0, 0) for i, e in enumerate(x)], VECTORS)
+    got = {r.vec_id: r.n_links for r in lattice.near_duplicates(df, lattice.Params(split_rows=split, chunk_rows=3 * split)).collect()}
+    assert [got[i] for i in range(60)] == want[:60].tolist()
+
+
 @pytest.mark.parametrize("bucket", [40, 10_000])
 def test_top_k(spark, bucket):
     rows, odd = vectors(7)

@@ -47,6 +47,61 @@ def test_wrapped_templates(spark):
     assert [(rows[i].labels, rows[i].score) for i in range(len(want), len(texts))] == [("", 0.0)] * 2
 
 
+def test_templates_against_brute_force(spark):
+    """Labels and score of every block, by plain sets."""
+    rng = np.random.default_rng(5)
+    apart = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    texts = []
+    for i in range(240):
+        w = []
+        for _ in range(int(rng.integers(1, 4))):
+            t = license_scan.TEMPLATES[int(rng.integers(len(license_scan.TEMPLATES)))][1].split()
+            t = [x for x in t if rng.random() > 0.15 * (i % 3)]  # some words are missing
+            for _ in range(int(rng.integers(0, 3))):
+                t.insert(int(rng.integers(len(t) + 1)), "between")
+            w += t + ["filler"] * int(rng.integers(0, 12))
+        texts.append("".join(x + rng.choice([" ", " ", " ", "\n", ",\n\n"]) for x in w))
+    rows = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], DOCS)).collect()}
+    met = 0
+    for i, text in enumerate(texts):
+        lines = [x for x in map(apart, text.split("\n")) if x]
+        best, labels = 0.0, set(rows[i].base_labels.split(",")) - {""}
+        for label, t in license_scan.TEMPLATES:
+            t, n = set(apart(t)), len(apart(t))
+            for k, own in enumerate(lines):
+                after = [x for line in lines[k + 1 :] for x in line][: n - 1]
+                share = len(t & (set(own) | set(after))) / len(t)
+                if share >= 0.8 - 1e-9:
+                    best, labels = max(best, share), labels | {label}
+        met += best > 0
+        assert (rows[i].labels, rows[i].score) == (",".join(sorted(labels)), 1.0 if rows[i].n_base else best), text
+    assert 50 < met < 240
+
+
+def test_pairs_of_terms(spark):
+    """An insult and the mention of a group are toxic together, each alone is not;
+    nor does it hang on either word alone if it is just one of two that is."""
+    rng = np.random.default_rng(9)
+    vocab = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(200)]
+    for toxic in (lambda a, b: a and b, lambda a, b: a != b):
+        rows, labels = [], []
+        for i in range(1500):
+            a, b = rng.random(2) < 0.5
+            rows.append((i, " ".join([*rng.choice(vocab, 20), *["zzinsult"] * a, *["qqgroup"] * b])))
+            labels.append((i, int(toxic(a, b))))
+        docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+        out = toxicity.score(docs, toxicity.fit(docs, lab)).where(toxicity.held_out(F.col("doc_id"))).collect()
+        assert len(out) > 200 and sum(r.predicted == labels[r.doc_id][1] for r in out) >= 0.95 * len(out)
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(i % 20, f"text number {i}") for i in range(400)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    assert toxicity.training_rows(docs, lab, toxicity.Params(train_rows=3)).count() == 3
+    a, b = (toxicity.fit(docs.repartition(n), lab, toxicity.Params(min_llr=0.5)) for n in (1, 7))
+    assert a.terms.tolist() == b.terms.tolist() and a.weights.tolist() == b.weights.tolist()
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(8)
     vocab = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(300)]
@@ -98,4 +153,10 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(i, 1, int(i >= 200)) for i, *_ in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = {r.doc_id for r in out}
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns, name
+    twice = spark.createDataFrame([(1, "the first text of them all"), (1, "something wholly other than that"), (None, "no id here"), (None, "nor is there one with this text")], "doc_id long, text string")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        assert {r.text for r in stage(spark, twice, str(tmp_path)).collect()} == {r.text for r in twice.collect()}, name
     assert ids == {*range(30), 101, 102} and len(corpus_pipeline.STAGES) == 4

@@ -127,7 +127,8 @@ def test_line_links_against_brute_force(spark, length):
     assert len(pairs) >= 50 and sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
 
 
-def test_one_family_of_many_variants(spark):
+@pytest.mark.parametrize("p", [line_dedup.Params(), line_dedup.Params(salt_rows=64, full=4)])
+def test_one_family_of_many_variants(spark, p):
     """A sentence of sixty words of which each line replaces two: one component."""
     rng = np.random.default_rng(21)
     words = ["".join(rng.choice(list("abcdefghinos"), 5)) for _ in range(300)]
@@ -139,7 +140,7 @@ def test_one_family_of_many_variants(spark):
         text.append(" ".join(v))
     pairs, want = line_classes(text)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "doc_id long, text string")
-    got = {r.doc_id: r.first_doc_id for r in line_dedup.duplicate_lines(docs).collect()}
+    got = {r.doc_id: r.first_doc_id for r in line_dedup.duplicate_lines(docs, p).collect()}
     assert len(pairs) > 5_000 and got == want
 
 

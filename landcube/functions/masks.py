@@ -56,13 +56,19 @@ def apply_mask(df: DataFrame, bands, masks) -> DataFrame:
     return df.withColumns({b: F.when(keep, F.col(b)) for b in bands})
 
 
-def tdom(df: DataFrame, pixel: list[str], z: float = -1.0, dark_sum: float = 4000.0) -> DataFrame:
+def tdom(df: DataFrame, pixel: list[str], z: float = -1.0, dark_sum: float = 4000.0, erode: int = 0, scene=("tile", "scene")) -> DataFrame:
     """Temporal dark outliers: z-scores of nir and swir1 below ``z`` within the
-    pixel's own series, and dark. One window over the pixel."""
+    pixel's own series, and dark. One window over the pixel. ``erode`` shrinks them
+    in each scene by a disk of so many pixels, by ``row`` and ``col``."""
     w = Window.partitionBy(*pixel)
     score = lambda b: F.try_divide(F.col(b) - F.avg(b).over(w), F.stddev_pop(b).over(w))
     hit = (score("nir") < z) & (score("swir1") < z) & (F.col("nir") + F.col("swir1") < dark_sum)
-    return df.withColumn("tdom", F.coalesce(hit, F.lit(False)).cast("int"))
+    out = df.withColumn("tdom", F.coalesce(hit, F.lit(False)).cast("int"))
+    if not erode:
+        return out
+    from ..operators.raster import disk
+
+    return disk(out, "tdom", erode, "min", scene, gaps=True).withColumn("tdom", F.col("tdom_min")).drop("tdom_min")
 
 
 def shadow_offsets(azimuth: Column, elevation: Column, height: Column, scale: float) -> tuple[Column, Column]:
@@ -83,11 +89,11 @@ def project_shadow(pixels: DataFrame, dark: float = 3500.0, scale: float = 30.0,
     azimuth, elevation[, tdom])`` with ``shadow``.
 
     Only cloudy pixels are multiplied by heights; the projected places, grown by
-    ``reach`` pixels, meet dark pixels in one equi-join.
+    a disk of ``reach`` pixels, meet dark pixels in one equi-join.
     """
     cloud = pixels.where("cloud = 1").withColumn("h", F.explode(F.array(*map(F.lit, heights))))
     dx, dy = shadow_offsets(F.col("azimuth"), F.col("elevation"), F.col("h"), scale)
-    cells = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
+    cells = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if i * i + j * j <= reach * reach]
     near = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in cells)))
     cast = cloud.select("tile", "scene", (F.col("row") + dy).alias("row"), (F.col("col") + dx).alias("col")).distinct()
     cast = cast.withColumn("n", near).select("tile", "scene", (F.col("row") + F.col("n.i")).alias("row"), (F.col("col") + F.col("n.j")).alias("col"), F.lit(1).alias("hit")).distinct()
@@ -97,9 +103,11 @@ def project_shadow(pixels: DataFrame, dark: float = 3500.0, scale: float = 30.0,
     return out.withColumn("shadow", F.coalesce((F.col("hit") == 1) & low & free & (F.col("cloud") == 0), F.lit(False)).cast("int")).drop("hit")
 
 
-def get_masks(df: DataFrame, pixel: list[str], cloud_flag_: bool = True, cloud_score_: bool = True, shadow_flag_: bool = True, tdom_: bool = False, qa: str = "qa", cloud_bit: int = 3, shadow_bit: int = 4) -> DataFrame:
+def get_masks(df: DataFrame, pixel: list[str], cloud_flag_: bool = True, cloud_score_: bool = True, shadow_flag_: bool = True, tdom_: bool = False, qa: str = "qa", cloud_bit: int = 3, shadow_bit: int = 4, erode: int = 0, cloud: str = "cloud_flag_mask", **projection) -> DataFrame:
     """The masks that the flags ask for: without the flag mask the score is always
-    computed, without the shadow flag the dark outliers."""
+    computed, without the shadow flag the dark outliers. With ``tdom_`` the shadows
+    of the clouds in band ``cloud`` are projected too, where row, col, azimuth and
+    elevation are known (``projection``: arguments of ``project_shadow``)."""
     out = df
     if cloud_flag_:
         out = out.withColumn("cloud_flag_mask", cloud_flag(F.col(qa), cloud_bit=cloud_bit))
@@ -108,5 +116,7 @@ def get_masks(df: DataFrame, pixel: list[str], cloud_flag_: bool = True, cloud_s
     if shadow_flag_:
         out = out.withColumn("shadow_flag_mask", shadow_flag(F.col(qa), shadow_bit=shadow_bit))
     if tdom_ or not shadow_flag_:
-        out = tdom(out, pixel)
+        out = tdom(out, pixel, erode=erode)
+    if tdom_ and {"row", "col", "azimuth", "elevation"} <= set(df.columns):
+        out = project_shadow(out.withColumn("cloud", (F.col(cloud) != 0).cast("int")), **projection).withColumnRenamed("shadow", "cloud_shadow_tdom_mask").drop("cloud")
     return out

@@ -124,7 +124,7 @@ def sensor_of(period: Column) -> Column:
     return out
 
 
-def coverage_target(tier: Column) -> Column:
+def extent_target(tier: Column) -> Column:
     return F.when(tier == 0, 100.0).when(tier == 1, 85.0).when(tier == 2, 90.0).when(tier == 3, 95.0).otherwise(90.0)
 
 

@@ -83,7 +83,7 @@ def land_overlap(pixels: DataFrame, minimum: float = 0.0) -> DataFrame:
 
 def class_profile(areas: DataFrame, evaluable) -> DataFrame:
     """``areas(tile, class_id, ha)`` to one row a tile: classes, the dominant one
-    and its share, coverage of the evaluable legend, hectares and shares by class,
+    and its share, how much of the evaluable legend, hectares and shares by class,
     a text that lists the classes by area."""
     per = areas.groupBy("tile", "class_id").agg(F.sum("ha").alias("ha"))
     cols = [F.sum(F.when(F.col("class_id") == k, F.col("ha")).otherwise(0.0)).alias(f"ha_{k}") for k in evaluable]
@@ -91,7 +91,7 @@ def class_profile(areas: DataFrame, evaluable) -> DataFrame:
     out = per.groupBy("tile").agg(
         F.count("*").alias("n_classes"), F.max_by("class_id", F.struct(F.col("ha"), -F.col("class_id"))).alias("dominant"), F.sum("ha").alias("valid_ha"), F.max("ha").alias("_top"),
         F.count_if(F.col("class_id").isin(*evaluable)).alias("n_evaluable"), *cols, text.alias("summary"))
-    return out.withColumn("dominance", F.col("_top") / F.col("valid_ha")).withColumn("coverage_pct", F.col("n_evaluable") / len(evaluable) * 100).drop("_top")
+    return out.withColumn("dominance", F.col("_top") / F.col("valid_ha")).withColumn("evaluable_pct", F.col("n_evaluable") / len(evaluable) * 100).drop("_top")
 
 
 def rank_tiles(df: DataFrame, n: int) -> DataFrame:

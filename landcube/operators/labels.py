@@ -22,7 +22,7 @@ def patch_ids(df: DataFrame, order: str) -> DataFrame:
     return df.withColumn("patch_id", F.row_number().over(w))
 
 
-def coverage(df: DataFrame) -> DataFrame:
+def reviewed_area(df: DataFrame) -> DataFrame:
     """``cov_rect``: approved share of each rectangle-year's area, on every row."""
     w = Window.partitionBy("grid_id", "rev_year")
     area = F.coalesce("area_ha", F.lit(0.0))
@@ -32,11 +32,11 @@ def coverage(df: DataFrame) -> DataFrame:
 
 
 def init_qa(df: DataFrame, version: int = 1) -> DataFrame:
-    """Empty QA columns where they are missing, then label and coverage."""
+    """Empty QA columns where they are missing, then label and reviewed area."""
     fill = {"poly_qa": "", "qa_scope": "auto", "corr_id": -9999, "err_type": "ninguno", "poly_note": "", "qa_user": "", "qa_date": "", "rect_qa": "pendiente", "rect_note": "", "qa_ver": version}
     out = df if "poly_uid" in df.columns else df.withColumn("poly_uid", poly_uid())
     out = out.withColumns({c: F.lit(v) for c, v in fill.items() if c not in out.columns})
-    return coverage(out.withColumn("lbl_id", S.label_id(F.col("corr_id"), F.col("class_id"))))
+    return reviewed_area(out.withColumn("lbl_id", S.label_id(F.col("corr_id"), F.col("class_id"))))
 
 
 EDITS = ("poly_qa", "qa_scope", "corr_id", "err_type", "poly_note", "qa_user", "qa_date")
@@ -44,7 +44,7 @@ EDITS = ("poly_qa", "qa_scope", "corr_id", "err_type", "poly_note", "qa_user", "
 
 def merge_edits(df: DataFrame, edits: DataFrame, rect_edits: DataFrame) -> DataFrame:
     """Polygon edits by ``poly_uid``, then rectangle edits by ``rect_key``; a
-    rejected rectangle rejects its polygons; label and coverage follow."""
+    rejected rectangle rejects its polygons; label and reviewed area follow."""
     have = [c for c in EDITS if c in edits.columns]
     e = edits.select("poly_uid", *(F.col(c).alias(f"_{c}") for c in have))
     out = df.join(e, "poly_uid", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in have}).drop(*(f"_{c}" for c in have))
@@ -54,7 +54,7 @@ def merge_edits(df: DataFrame, edits: DataFrame, rect_edits: DataFrame) -> DataF
     gone = F.coalesce(F.col("_rect_qa") == "rechazado", F.lit(False))
     out = out.withColumns({"poly_qa": F.when(gone, "rechazado").otherwise(F.col("poly_qa")), "qa_scope": F.when(gone, "auto").otherwise(F.col("qa_scope")), "err_type": F.when(gone, "clase").otherwise(F.col("err_type"))})
     out = out.withColumns({c: F.coalesce(f"_{c}", c) for c in keys}).drop("rect_key", *(f"_{c}" for c in keys))
-    return coverage(out.withColumn("lbl_id", S.label_id(F.col("corr_id"), F.col("class_id"))))
+    return reviewed_area(out.withColumn("lbl_id", S.label_id(F.col("corr_id"), F.col("class_id"))))
 
 
 def violations(df: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def violations(df: DataFrame) -> DataFrame:
         dup, row(~F.col("poly_qa").isin(*POLY_QA), "poly_qa_invalido"), row(~F.col("rect_qa").isin(*RECT_QA), "rect_qa_invalido"),
         row(approved & ~F.col("lbl_id").isin(*ids), "lbl_id_invalido"), row(approved & (F.coalesce("corr_id", F.lit(-9999)) > 0) & (F.col("lbl_id") != F.col("corr_id")), "lbl_no_es_corr"),
         by.where("n > 1").select(F.lit("split_inconsistente").alias("check"), "key"),
-        by.where(F.col("rect_qa").isin("aprobado", "parcial") & (F.col("cov") < S.coverage_target(F.col("tier")))).select(F.lit("cobertura").alias("check"), "key"),
+        by.where(F.col("rect_qa").isin("aprobado", "parcial") & (F.col("cov") < S.extent_target(F.col("tier")))).select(F.lit("cobertura").alias("check"), "key"),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -141,7 +141,7 @@ def missing_classes(found: DataFrame) -> DataFrame:
     return legend.join(found.select(F.col("class_id").alias("clase")).distinct(), "clase", "left_anti")
 
 
-def coverage_by(df: DataFrame, key: str, few: int = 3, mean_classes: bool = False) -> DataFrame:
+def extent_by(df: DataFrame, key: str, few: int = 3, mean_classes: bool = False) -> DataFrame:
     aggs = [F.count_distinct("grid_id").alias("n_rectangulos"), F.sum("n_parches").alias("n_parches")]
     if mean_classes:
         aggs.append(F.round(F.avg("n_clases"), 1).alias("n_clases_promedio"))

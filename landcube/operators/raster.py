@@ -7,6 +7,7 @@ windows, along columns and then rows. What needs whole objects runs once a tile
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -47,15 +48,21 @@ def tpi(df: DataFrame, elev: str = "elev", radius: int = 6, gaps: bool = False)
     return focal(df, elev, radius, gaps=gaps).withColumn("tpi", F.when(d >= 0, F.floor(d)).otherwise(F.ceil(d)).cast("int")).drop(f"{elev}_mean")
 
 
-def disk(df: DataFrame, value: str, radius: int, how: str = "min", keys=("tile",)) -> DataFrame:
-    """Erosion (min) or dilation (max) with a round kernel: each pixel is dealt to
-    the places it reaches, and pre-aggregated."""
-    steps = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
-    offs = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps))
-    reach = df.select(*keys, "row", "col", value).withColumn("_o", F.explode(offs))
+def disk(df: DataFrame, value: str, radius: int, how: str = "min", keys=("tile",), gaps: bool = False) -> DataFrame:
+    """Erosion (min) or dilation (max) with a round kernel: a running window along
+    the row for each chord of the disk, then one step across rows for each chord.
+    Tiles have every pixel of their box, or ``gaps`` fills it."""
+    if gaps:
+        return disk(dense(df, keys), value, radius, how, keys).where("_own").drop("_own")
     f = F.min if how == "min" else F.max
-    near = reach.select(*keys, (F.col("row") + F.col("_o.i")).alias("row"), (F.col("col") + F.col("_o.j")).alias("col"), value).groupBy(*keys, "row", "col").agg(f(value).alias(f"{value}_{how}"))
-    return df.join(near, [*keys, "row", "col"])
+    chord = {i: math.isqrt(radius * radius - i * i) for i in range(-radius, radius + 1)}
+    row = lambda w: Window.partitionBy(*keys, "row").orderBy("col").rangeBetween(-w, w)
+    at = lambda i: Window.partitionBy(*keys, "col").orderBy("row").rangeBetween(i, i)
+    out = df.withColumns({f"_w{w}": f(value).over(row(w)) for w in set(chord.values())})
+    out = out.withColumns({f"_r{i + radius}": f(f"_w{w}").over(at(i)) for i, w in chord.items()})
+    steps = [f"_r{i + radius}" for i in chord]
+    found = F.col(steps[0]) if len(steps) == 1 else (F.least if how == "min" else F.greatest)(*steps)
+    return out.withColumn(f"{value}_{how}", found).drop(*steps, *(f"_w{w}" for w in set(chord.values())))
 
 
 def translate(df: DataFrame, dx: Column | int, dy: Column | int) -> DataFrame:
@@ -85,8 +92,10 @@ def terrain(df: DataFrame, elev: str = "elev", metres: float = 30.0, keys=("tile
 def entropy(df: DataFrame, value: str, radius: int = 5, keys=("tile",)) -> DataFrame:
     """Shannon entropy (bits, times 100) of the integer values in the square."""
     steps = F.sequence(F.lit(-radius), F.lit(radius))
-    reach = df.where(F.col(value).isNotNull()).select(*keys, "row", "col", value).withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
-    n = reach.groupBy(*keys, (F.col("row") + F.col("_i")).alias("row"), (F.col("col") + F.col("_j")).alias("col"), value).agg(F.count("*").alias("n"))
+    # along the row, then across rows: each step counts before the next one spreads
+    own = df.where(F.col(value).isNotNull()).select(*keys, "row", "col", value)
+    along = own.withColumn("_j", F.explode(steps)).groupBy(*keys, "row", (F.col("col") + F.col("_j")).alias("col"), value).agg(F.count("*").alias("n"))
+    n = along.withColumn("_i", F.explode(steps)).groupBy(*keys, (F.col("row") + F.col("_i")).alias("row"), "col", value).agg(F.sum("n").alias("n"))
     # sum(p log p) from sums of n and n log n, in one aggregate
     h = n.groupBy(*keys, "row", "col").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
     h = h.select(*keys, "row", "col", ((F.log2("t") - F.col("s") / F.col("t")) * 100).alias(f"{value}_entropy"))
@@ -126,28 +135,30 @@ def is_single_class(df: DataFrame, by: str, value: str, nodata: int = 0) -> Data
 def label(grid: np.ndarray, connectivity: int, nodata: int = 0) -> np.ndarray:
     """Components of equal value (1, 2, ... in order of their first pixel; nodata 0)."""
     h, w = grid.shape
-    up = np.arange(h * w)
-
-    def find(i):
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
-    for dr, dc in steps:
-        a = grid[: h - dr, max(0, -dc) : w - max(0, dc)]
-        b = grid[dr:, max(0, dc) : w - max(0, -dc)]
-        r, c = np.nonzero((a == b) & (a != nodata))
-        c = c + max(0, -dc)
-        for i, j in zip((r * w + c).tolist(), ((r + dr) * w + c + dc).tolist()):
-            x, y = find(i), find(j)
-            if x != y:
-                up[max(x, y)] = min(x, y)
-    root = np.array([find(i) for i in range(h * w)])
+    at = np.arange(h * w).reshape(h, w)
+    pairs = []
+    for dr, dc in [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else []):
+        near = (slice(0, h - dr), slice(max(0, -dc), w - max(0, dc)))
+        far = (slice(dr, h), slice(max(0, dc), w - max(0, -dc)))
+        same = (grid[near] == grid[far]) & (grid[near] != nodata)
+        pairs.append(np.stack([at[near][same], at[far][same]]))
+    a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), int)
+    root = np.arange(h * w)
+    while len(a):  # both ends take the smaller root, roots are shortened, settled pairs go
+        x, y = root[a], root[b]
+        low = np.minimum(x, y)
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        while True:
+            short = root[root]
+            if (short == root).all():
+                break
+            root = short
+        open_ = root[a] != root[b]
+        a, b = a[open_], b[open_]
     root[grid.reshape(-1) == nodata] = -1
-    names = {r: k + 1 for k, r in enumerate(sorted(set(root.tolist()) - {-1}))} | {-1: 0}
-    return np.array([names[r] for r in root.tolist()]).reshape(h, w)
+    firsts, out = np.unique(root, return_inverse=True)
+    return (out + (0 if len(firsts) and firsts[0] == -1 else 1)).reshape(h, w)
 
 
 def _grid(pdf: pd.DataFrame, value: str, nodata: int) -> tuple[np.ndarray, int, int]:
@@ -211,26 +222,47 @@ def sieve_majority(grid: np.ndarray, nodata: int = 0, sweeps: int = 50) -> np.nd
 def sieve_merge(grid: np.ndarray, size: int = 6, nodata: int = 0) -> np.ndarray:
     """4-connected patches below ``size`` join the largest patch they touch (the
     lowest label of equals), smallest first, until none is left that can."""
-    out = grid.copy()
-    for _ in range(out.size):
-        lab = label(out, 4, nodata)
-        n = np.bincount(lab.reshape(-1))
-        small = [k for k in range(1, len(n)) if n[k] < size]
-        done = True
-        for k in sorted(small, key=lambda k: (n[k], k)):
-            pad = np.pad(lab, 1)
-            near = set()
-            for i, j in ((-1, 0), (1, 0), (0, -1), (0, 1)):
-                near |= set(pad[1 + i : pad.shape[0] - 1 + i, 1 + j : pad.shape[1] - 1 + j][lab == k].tolist())
-            near -= {0, k}
-            if near:
-                best = min(near, key=lambda x: (-n[x], x))
-                out[lab == k] = out[lab == best][0]
-                done = False
-                break
-        if done:
-            break
-    return out
+    lab = label(grid, 4, nodata)
+    n = np.bincount(lab.reshape(-1))
+    value = np.zeros(len(n), grid.dtype)
+    value[lab.reshape(-1)] = grid.reshape(-1)
+    near: list[set[int]] = [set() for _ in n]
+    for a, b in ((lab[:, :-1], lab[:, 1:]), (lab[:-1], lab[1:])):
+        some = (a != b) & (a > 0) & (b > 0)
+        for i, j in {tuple(p) for p in np.stack([a[some], b[some]], axis=1).tolist()}:
+            near[i].add(j)
+            near[j].add(i)
+    up = list(range(len(n)))
+    first = np.full(len(n), lab.size)
+    np.minimum.at(first, lab.reshape(-1), np.arange(lab.size))
+    todo = [(int(n[k]), int(first[k]), k) for k in range(1, len(n)) if n[k] < size]
+    heapq.heapify(todo)
+
+    def absorb(k: int, into: int) -> None:
+        up[k] = into
+        n[into] += n[k]
+        first[into] = min(first[into], first[k])
+        for x in near[k] - {into}:
+            near[x].discard(k)
+            near[x].add(into)
+            near[into].add(x)
+        near[into].discard(k)
+        near[k] = set()
+
+    while todo:
+        count, _, k = heapq.heappop(todo)
+        if up[k] != k or n[k] != count or not near[k]:
+            continue
+        best = min(near[k], key=lambda x: (-n[x], first[x]))
+        absorb(k, best)
+        for x in [x for x in near[best] if value[x] == value[best]]:  # equal classes that meet now are one patch
+            absorb(x, best)
+        if n[best] < size:
+            heapq.heappush(todo, (int(n[best]), int(first[best]), best))
+    for k in range(len(up)):
+        while up[k] != up[up[k]]:
+            up[k] = up[up[k]]
+    return np.where(lab > 0, value[np.array(up)[lab]], grid)
 
 
 def sieve(df: DataFrame, value: str = "value", how: str = "majority", size: int = 6, nodata: int = 0, keys=("tile",)) -> DataFrame:
@@ -292,9 +324,14 @@ def polygonize(df: DataFrame, value: str = "value", connectivity: int = 8, nodat
         grid, r0, c0 = _grid(pdf, value, nodata)
         lab = label(grid, connectivity, nodata)
         rows = []
-        for k in range(1, int(lab.max(initial=0)) + 1):
-            m = lab == k
-            rows.append((*(pdf[c].iloc[0] for c in keys), k, int(grid[m][0]), int(m.sum()), [[[int(r + r0), int(c + c0)] for r, c in ring] for ring in rings(m)]))
+        order = np.argsort(lab, axis=None, kind="stable")
+        first = np.searchsorted(lab.reshape(-1)[order], np.arange(1, int(lab.max(initial=0)) + 2))
+        for k in range(1, len(first)):
+            r, c = np.divmod(order[first[k - 1] : first[k]], lab.shape[1])
+            top, left = int(r.min()), int(c.min())
+            m = np.zeros((int(r.max()) - top + 1, int(c.max()) - left + 1), bool)  # the patch's own box
+            m[r - top, c - left] = True
+            rows.append((*(pdf[x].iloc[0] for x in keys), k, int(grid[r[0], c[0]]), len(r), [[[int(i + top + r0), int(j + left + c0)] for i, j in ring] for ring in rings(m)]))
         return pd.DataFrame(rows, columns=[*keys, "patch_id", "class_id", "n_pixels", "rings"])
 
     kinds = dict(df.dtypes)

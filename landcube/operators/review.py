@@ -145,3 +145,10 @@ def audit(df: DataFrame) -> DataFrame:
     }
     pairs = F.array(*(F.struct(F.lit(k).alias("check"), c(k).alias("value"), v.alias("ok")) for k, v in ok.items()))
     return one.select(F.explode(pairs).alias("r")).select("r.*")
+
+
+def operational_order(df: DataFrame) -> DataFrame:
+    """``place`` in the order of work: tier, zone, kind, type, id."""
+    from .views import in_order
+
+    return in_order(df, ["review_tier", "utm", "dim_temporal", "sample_type", "grid_id"])

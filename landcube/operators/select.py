@@ -12,6 +12,7 @@ from ..functions import scalars as S
 from ..functions import taxonomy as T
 from .rounds import components
 from .spatial import neighbour_pairs
+from .views import in_order
 
 YEARS = 26
 LENGTH = {p: b - a + 1 for p, (a, b) in S.PERIODS.items()}
@@ -139,7 +140,7 @@ def top_per_group(df: DataFrame, by: list[str], score: str, n: int) -> DataFrame
 def interleave_tiles(df: DataFrame, score: str, tile: str = "mgrs_dom") -> DataFrame:
     """``place`` in an order that takes the tiles in turn."""
     ranked = _numbered(df, [tile], [F.desc(score), "grid_id"], "_r")
-    return ranked.withColumn("place", F.row_number().over(Window.orderBy("_r", F.desc(score), "grid_id"))).drop("_r")
+    return in_order(ranked, ["_r", F.desc(score), "grid_id"]).drop("_r")
 
 
 def proportional(df: DataFrame, by: str, frac: float, score: str) -> DataFrame:
@@ -158,25 +159,29 @@ def quota(df: DataFrame, by: str, score: str, limit: int, already: DataFrame | N
 
 def modal_cap(df: DataFrame, class_id: int, limit: int, exempt_: Column | None = None) -> DataFrame:
     """At most ``limit`` rows of the modal class; exempt ones all stay and count."""
-    hit = F.col("lulc_mode_id") == class_id
     free = F.lit(False) if exempt_ is None else exempt_
-    w = Window.partitionBy("_hit")
-    out = df.withColumn("_hit", hit).withColumn("_free", F.col("_hit") & free)
-    order = [F.desc("_free"), F.desc("rare_presence_pct"), F.desc("lulc_mode_pct"), F.desc("max_stab_run"), F.col("grid_id")]
-    out = out.withColumn("_n", F.row_number().over(w.orderBy(*order)))
-    return out.where(~F.col("_hit") | F.col("_free") | (F.col("_n") <= limit)).drop("_hit", "_free", "_n")
+    order = [F.desc("rare_presence_pct"), F.desc("lulc_mode_pct"), F.desc("max_stab_run"), F.col("grid_id")]
+    return _capped(df, F.coalesce(F.col("lulc_mode_id") == class_id, F.lit(False)), F.coalesce(free, F.lit(False)), limit, order)
 
 
 def cap_type(df: DataFrame, sample_type: str, limit: int, score: str) -> DataFrame:
     """At most ``limit`` rows of the type; those of a rare class all stay and count."""
-    out = df.withColumn("_hit", F.col("sample_type") == sample_type).withColumn("_rare", F.col("_hit") & is_rare())
-    out = _numbered(out, ["_hit"], [F.desc("_rare"), F.desc(score), "grid_id"])
-    return out.where(~F.col("_hit") | F.col("_rare") | (F.col("_n") <= limit)).drop("_hit", "_rare", "_n")
+    return _capped(df, F.coalesce(F.col("sample_type") == sample_type, F.lit(False)), is_rare(), limit, [F.desc(score), F.col("grid_id")])
+
+
+def _capped(df: DataFrame, hit: Column, free: Column, limit: int, order: list) -> DataFrame:
+    """Rows that are not ``hit``, or free, and the first of the others that fill up
+    to ``limit``: a top-n of a few rows, and no window over all."""
+    some = df.where(hit & ~free).orderBy(*order).limit(limit)
+    some = some.withColumn("_n", F.row_number().over(Window.orderBy(*order)))  # of at most ``limit`` rows
+    have = df.where(hit & free).agg(F.count("*").alias("_have"))
+    got = some.join(F.broadcast(have), F.lit(True)).where(F.col("_n") + F.col("_have") <= limit).select(*df.columns)
+    return df.where(~hit | free).unionByName(got)
 
 
 def mix_order(df: DataFrame, score: str) -> DataFrame:
     """``place`` with mixed grids first."""
-    return df.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.coalesce((F.col("grid_mode") == "mixto").cast("int"), F.lit(0))), F.desc(score), "grid_id")))
+    return in_order(df, [F.desc(F.coalesce((F.col("grid_mode") == "mixto").cast("int"), F.lit(0))), F.desc(score), F.col("grid_id")])
 
 
 def reserves(df: DataFrame, selected: DataFrame, ecos=(3, 6), few: int = 6, n: int = 3, score: str = "sc_e_s") -> DataFrame:
@@ -216,7 +221,7 @@ def split(df: DataFrame, seed: int = 2026, val: float = 0.15, test: float = 0.15
     w = Window.partitionBy("_s")
     n = F.count("*").over(w)
     part = lambda f: F.greatest(F.lit(1), F.bround(n * f)).cast("int")
-    each = each.withColumns({"_n": n, "_v": part(val), "_t": part(test), "_k": F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "_s", "cluster"), "cluster"))})
+    each = each.withColumns({"_n": n, "_v": part(val), "_t": part(test), "_k": F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "_s", F.col("cluster").cast("string"))), "cluster"))})
     train = F.greatest(F.lit(1), F.col("_n") - F.col("_v") - F.col("_t"))
     named = each.withColumn("split", F.when(F.col("_n") == 1, "train").when(F.col("_n") == 2, F.when(F.col("_k") == 1, "train").otherwise("val"))
                             .when(F.col("_k") <= train, "train").when(F.col("_k") <= train + F.col("_v"), "val").otherwise("test"))
@@ -229,34 +234,3 @@ def split_leaks(df: DataFrame) -> DataFrame:
     s = df.select("grid_id", "split")
     pairs = neighbour_pairs(df).join(s.select(F.col("grid_id").alias("a"), F.col("split").alias("sa")), "a").join(s.select(F.col("grid_id").alias("b"), F.col("split").alias("sb")), "b")
     return pairs.agg(F.count("*").alias("neighbor_pairs"), F.floor(F.count_if(F.col("sa") != F.col("sb")) / 2).alias("leak_pairs"))
-
-
-def balanced_years(rows: list[tuple[str, list[int]]], counts: dict[int, int] | None = None) -> list[tuple[str, int]]:
-    """Reference years in the order of ``rows``: each the least used so far, ties
-    by the sum of the id's characters. Sequential, over a selection's few hundred
-    rows."""
-    counts, out = dict(counts or {}), []
-    for grid_id, years in rows:
-        if not years:
-            out.append((grid_id, -9999))
-            continue
-        low = min(counts.get(y, 0) for y in years)
-        best = [y for y in sorted(years) if counts.get(y, 0) == low]
-        y = best[sum(map(ord, grid_id)) % len(best)]
-        counts[y] = counts.get(y, 0) + 1
-        out.append((grid_id, y))
-    return out
-
-
-def pick_exclusive(df: DataFrame, order: list[tuple[str, str, str, int, int]]) -> DataFrame:
-    """Types in turn: (type, pool flag, score, per ecoregion, at most); a row is
-    picked once. A few DataFrame steps over the candidate table."""
-    used, out = None, None
-    for name, flag, score, per_eco, most in order:
-        pool = df.where(F.col(flag))
-        if used is not None:
-            pool = pool.join(used, "grid_id", "left_anti")
-        got = interleave_tiles(top_per_group(pool, ["eco_dom_id"], score, per_eco), score).where(F.col("place") <= most).drop("place").withColumn("picked_type", F.lit(name))
-        out = got if out is None else out.unionByName(got)
-        used = out.select("grid_id")
-    return out

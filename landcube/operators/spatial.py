@@ -93,7 +93,9 @@ def greedy_non_overlap(df: DataFrame, cell: float, order: list, tolerance: float
     would."""
     from .rounds import independent_in_order
 
-    ranked = df.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
+    from .views import in_order
+
+    ranked = in_order(df, order, "_rank")
     pairs = overlaps(
         ranked.select(F.col("_rank").alias("a_id"), "x0", "y0", "x1", "y1"), ranked.select(F.col("_rank").alias("b_id"), "x0", "y0", "x1", "y1"), cell
     ).where((F.col("a_id") < F.col("b_id")) & (F.col("inter_area") > tolerance)).select(F.col("a_id").alias("first"), F.col("b_id").alias("later"))
@@ -156,3 +158,64 @@ def equal_area(lon: Column, lat: Column) -> tuple[Column, Column]:
 
 def snap(c: Column, size: float) -> Column:
     return F.floor(c / size) * size
+
+
+#: Letters of latitude bands, of rows, and of columns by zone modulo three (fixed values).
+BANDS, ROWS, COLUMNS = "CDEFGHJKLMNPQRSTUVWX", "ABCDEFGHJKLMNPQRSTUV", {1: "ABCDEFGH", 2: "JKLMNPQR", 0: "STUVWXYZ"}
+
+
+def tile_corner(tile: Column) -> tuple[Column, Column, Column, Column]:
+    """Zone, whether south, easting and northing of the lower left corner of a
+    100 km tile such as 19HCC."""
+    zone = F.substring(tile, 1, 2).cast("int")
+    index = lambda letters, at: F.instr(F.lit(letters), F.substring(tile, at, 1)) - 1
+    column = F.when(zone % 3 == 1, index(COLUMNS[1], 4)).when(zone % 3 == 2, index(COLUMNS[2], 4)).otherwise(index(COLUMNS[0], 4))
+    row = F.pmod(index(ROWS, 5) - F.when(zone % 2 == 0, 5).otherwise(0), F.lit(20))
+    low = -80 + 8 * index(BANDS, 3)
+    south = low < 0
+    # rows repeat every 2,000 km: the first at or above the band's lower edge
+    edge = F.floor(to_utm((zone * 6 - 183).cast("double"), low.cast("double"), zone)[1] / 100000) * 100000
+    y = row * 100000 + F.ceil(F.greatest(edge - row * 100000, F.lit(0)) / 2000000) * 2000000
+    return zone, south, (column + 1) * 100000, y
+
+
+def tile_box(df: DataFrame, tile: str = "tile", km: float = 100.0) -> DataFrame:
+    """``df`` with west, south, east, north in degrees: of the tile's lower left and
+    upper right corners alone."""
+    zone, south, x, y = tile_corner(F.col(tile))
+    out = df.withColumns({"_z": zone, "_s": south, "_x": x, "_y": y})
+    degrees = lambda dx: [F.when(F.col("_s"), a).otherwise(b) for a, b in zip(*(from_utm(F.col("_x") + dx, F.col("_y") + dx, F.col("_z"), s) for s in (True, False)))]
+    (lon0, lat0), (lon1, lat1) = degrees(0), degrees(km * 1000)
+    return out.withColumns({"west": F.least(lon0, lon1), "south": F.least(lat0, lat1), "east": F.greatest(lon0, lon1), "north": F.greatest(lat0, lat1)}).drop("_z", "_s", "_x", "_y")
+
+
+def random_points(boxes: DataFrame, n: int, seed: int = 42, holds=None, tries: int = 2000) -> DataFrame:
+    """(key, k, x, y): ``n`` points in each box ``boxes(key, x0, y0, x1, y1)``, the
+    same for a seed. ``holds`` is a condition on x and y (a polygon's); of at most
+    ``n * tries`` draws the first ``n`` that meet it stay."""
+    share = lambda what: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), "key", "k"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    draws = n if holds is None else n * tries
+    out = boxes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select(
+        "key", "k", (F.col("x0") + share("x") * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + share("y") * (F.col("y1") - F.col("y0"))).alias("y"))
+    if holds is None:
+        return out
+    return out.where(holds).withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("k"))).where(F.col("_n") <= n).drop("_n")
+
+
+def near_points(pixels: DataFrame, points: DataFrame, metres: float = 120.0) -> DataFrame:
+    """Pixels (x, y, ...) within ``metres`` of a point (key, px, py), once for each:
+    by cells of that size and their neighbours."""
+    cell = lambda c: F.floor(F.col(c) / metres)
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    at = points.withColumn("_o", around).withColumns({"_cx": cell("px") + F.col("_o.i"), "_cy": cell("py") + F.col("_o.j")}).drop("_o")
+    met = pixels.withColumns({"_cx": cell("x"), "_cy": cell("y")}).join(at, ["_cx", "_cy"])
+    dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
+    return met.where(dx * dx + dy * dy <= metres * metres).drop("_cx", "_cy")
+
+
+def tile_named(tiles: DataFrame, name: str, key: str = "tile") -> DataFrame:
+    """The tile's rows. None is an error, which the job raises when it finds no row."""
+    found = tiles.where(F.col(key) == name)
+    n = found.agg(F.count("*").alias("_n"))
+    sure = n.select(F.when(F.col("_n") == 0, F.raise_error(F.lit(f"no tile named {name}")).cast("boolean")).otherwise(True).alias("_ok"))
+    return found.join(F.broadcast(sure), F.col("_ok")).drop("_ok")

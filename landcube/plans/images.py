@@ -227,7 +227,7 @@ def _(df):
     return rounded(D.region_series(px, region, ["nir", "red"]), ["year", "image"])
 
 
-@query("agg_40_valid_coverage", OBS, "select tile, round(avg(case when red > 1000 then 1.0 else 0.0 end) * 100, 6) pct from r group by tile")
+@query("agg_40_valid_share", OBS, "select tile, round(avg(case when red > 1000 then 1.0 else 0.0 end) * 100, 6) pct from r group by tile")
 def _(df):
     return df.groupBy("tile").agg(F.round(F.avg((F.col("red") > 1000).cast("int")) * 100, 6).alias("pct"))
 
@@ -314,12 +314,12 @@ def _(df):
     return out.withColumn("overlap_pct", F.round("overlap_pct", 6))
 
 
-@query("agg_11_class_profile", GRID, """select tile, n_classes, dominant, round(valid_ha, 4) valid_ha, n_evaluable, round(ha_59, 4) ha_59, round(ha_66, 4) ha_66, round(dominance, 6) dominance, round(coverage_pct, 6) coverage_pct from (select tile, count(*) n_classes, arg_max(value, row(ha, -value)) dominant, sum(ha) valid_ha, count(*) filter (where value in (59, 66)) n_evaluable,
- sum(case when value = 59 then ha else 0.0 end) ha_59, sum(case when value = 66 then ha else 0.0 end) ha_66, max(ha) / sum(ha) dominance, count(*) filter (where value in (59, 66)) / 2.0::double * 100 coverage_pct from (select tile, value, count(*) * 0.25::double ha from r where value <> 0 group by tile, value) group by tile)""")
+@query("agg_11_class_profile", GRID, """select tile, n_classes, dominant, round(valid_ha, 4) valid_ha, n_evaluable, round(ha_59, 4) ha_59, round(ha_66, 4) ha_66, round(dominance, 6) dominance, round(evaluable_pct, 6) evaluable_pct from (select tile, count(*) n_classes, arg_max(value, row(ha, -value)) dominant, sum(ha) valid_ha, count(*) filter (where value in (59, 66)) n_evaluable,
+ sum(case when value = 59 then ha else 0.0 end) ha_59, sum(case when value = 66 then ha else 0.0 end) ha_66, max(ha) / sum(ha) dominance, count(*) filter (where value in (59, 66)) / 2.0::double * 100 evaluable_pct from (select tile, value, count(*) * 0.25::double ha from r where value <> 0 group by tile, value) group by tile)""")
 def _(df):
     areas = df.where("value != 0").select("tile", F.col("value").alias("class_id"), F.lit(0.25).alias("ha"))
     out = D.class_profile(areas, [59, 66]).drop("summary")
-    return rounded(out, ["tile", "n_classes", "dominant", "n_evaluable"], 6).select("tile", "n_classes", "dominant", F.round("valid_ha", 4).alias("valid_ha"), "n_evaluable", F.round("ha_59", 4).alias("ha_59"), F.round("ha_66", 4).alias("ha_66"), "dominance", "coverage_pct")
+    return rounded(out, ["tile", "n_classes", "dominant", "n_evaluable"], 6).select("tile", "n_classes", "dominant", F.round("valid_ha", 4).alias("valid_ha"), "n_evaluable", F.round("ha_59", 4).alias("ha_59"), F.round("ha_66", 4).alias("ha_66"), "dominance", "evaluable_pct")
 
 
 PROFILE = "t as (select tile, count(distinct value) n_classes, count(nullif(value, 0))::double overlap_pct, sum(elev)::double / 1000 dominance, -56 + 38.5::double * (avg(elev) - 20) / 12 lat from r group by tile)"
@@ -351,7 +351,7 @@ def _(df):
 
 @query("ras_02_erosion", GRID, "select a.tile, a.row, a.col, min(b.value) v from r a join r b on a.tile = b.tile and (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col) <= 4 group by a.tile, a.row, a.col")
 def _(df):
-    return R.disk(df, "value", 2).select("tile", "row", "col", F.col("value_min").alias("v"))
+    return R.disk(df, "value", 2, gaps=True).select("tile", "row", "col", F.col("value_min").alias("v"))
 
 
 @query("ras_03_dilation", GRID, "select a.tile, a.row, a.col, max(b.value) v from r a join r b on a.tile = b.tile and abs(a.row - b.row) <= 1 and abs(a.col - b.col) <= 1 group by a.tile, a.row, a.col")
@@ -382,26 +382,6 @@ def _(df):
     return R.resample_nearest(df, df.select("tile", "row", "col"), 0.5, "value")
 
 
-@query("ras_08_components", GRID)
-def _(df):
-    return R.components(df.select("tile", "row", "col", "value"), connectivity=8)
-
-
-@query("ras_09_sieve_merge", GRID)
-def _(df):
-    return R.sieve(df.select("tile", "row", "col", "value"), how="merge", size=4)
-
-
-@query("ras_10_sieve_majority", GRID)
-def _(df):
-    return R.sieve(df.select("tile", "row", "col", "value"))
-
-
-@query("ras_11_polygonize", GRID)
-def _(df):
-    return R.polygonize(df.select("tile", "row", "col", "value"))
-
-
 @query("ras_13_first_valid", GRID, "select tile, row, col, arg_min(value, clip) as value from (select tile, cast(row // 2 as int) as row, cast(col // 2 as int) as col, value, row * 100 + col as clip from r where value <> 0) group by tile, row, col")
 def _(df):
     return R.first_valid(df.select("tile", F.expr("cast(floor(row / 2) as int)").alias("row"), F.expr("cast(floor(col / 2) as int)").alias("col"), "value", (F.col("row") * 100 + F.col("col")).alias("clip")))

@@ -180,7 +180,7 @@ def _(df):
  case k % 3 when 0 then 14 when 1 then 32 else 22 end cap, case when k % 2 = 0 then 2 else 6 end mmu, case when y <= 1999 then 'l5' when y <= 2002 then 'l7' when y = 2003 then 'l5' when y <= 2012 then 'l7' when y <= 2022 then 'l8' else 'l9' end sat from (select *, 1999 + k % 26 y from r)""")
 def _(df):
     y = F.lit(1999) + F.col("k") % 26
-    return df.select("k", S.period_of(y).alias("period"), S.coverage_target(F.col("k") % 5).alias("target"), S.modal_cap(F.when(F.col("k") % 3 == 0, 18).when(F.col("k") % 3 == 1, 19)).alias("cap"),
+    return df.select("k", S.period_of(y).alias("period"), S.extent_target(F.col("k") % 5).alias("target"), S.modal_cap(F.when(F.col("k") % 3 == 0, 18).when(F.col("k") % 3 == 1, 19)).alias("cap"),
                      T.mmu_pixels(F.when(F.col("k") % 2 == 0, 33).otherwise(59)).alias("mmu"), S.satellite_of_year(y).alias("sat"))
 
 
@@ -259,7 +259,9 @@ def _(df):
     return G.previous_overlap(df.where("nk % 3 != 0"), prev, 100.0, 1.0, 30.0).select("grid_id", F.round("ovlp_m2", 4).alias("ovlp_m2"))
 
 
-@query("geo_11_greedy_non_overlap", RECTS)
+@query("geo_11_greedy_non_overlap", RECTS, "select grid_id from o join (select unnest(kept) i from g where n = (select max(n) from g)) using (i)",
+       """o as materialized (select *, row_number() over (order by bal desc, grid_id) i from r), nb as materialized (select a.i, list(b.i) before from o a join o b on b.i < a.i and (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 1 and least(a.x1, b.x1) > greatest(a.x0, b.x0) and least(a.y1, b.y1) > greatest(a.y0, b.y0) group by a.i),
+ g as (select 0::bigint n, []::bigint[] kept union all select g.n + 1, case when list_has_any(g.kept, coalesce(nb.before, []::bigint[])) then g.kept else list_append(g.kept, g.n + 1) end from g left join nb on nb.i = g.n + 1 where g.n < (select count(*) from o))""")
 def _(df):
     return G.greedy_non_overlap(df, 100.0, [F.desc("bal"), F.col("grid_id")]).select("grid_id")
 
@@ -276,13 +278,24 @@ def _(df):
     return df.select("grid_id", G.snap(F.col("x0"), 30).cast("double").alias("sx"), (F.col("x0") - 100).alias("bx0"), (F.col("x1") + 100).alias("bx1"), ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
 
 
-@query("geo_05_projections", RECTS)
+#: Transverse Mercator on WGS84 for zone 19, southern half (fixed values of the ellipsoid).
+_E2, _EP = "0.0066943799901413165::double", "(0.0066943799901413165::double / (1 - 0.0066943799901413165::double))"
+PROJECTION = f"""q as (select grid_id, x0 / 1000 - 70 lon, y0 / 100 - 40 lat, radians(y0 / 100 - 40) phi, radians(x0 / 1000 - 70 + 69) dl from r),
+ t as (select *, 6378137.0::double / sqrt(1 - {_E2} * sin(phi) * sin(phi)) n, tan(phi) * tan(phi) t, {_EP} * cos(phi) * cos(phi) c, dl * cos(phi) a,
+ 6378137.0::double * ((1 - {_E2} / 4 - 3 * {_E2} ^ 2 / 64 - 5 * {_E2} ^ 3 / 256) * phi - (3 * {_E2} / 8 + 3 * {_E2} ^ 2 / 32 + 45 * {_E2} ^ 3 / 1024) * sin(2 * phi) + (15 * {_E2} ^ 2 / 256 + 45 * {_E2} ^ 3 / 1024) * sin(4 * phi) - (35 * {_E2} ^ 3 / 3072) * sin(6 * phi)) m from q)"""
+_E, _K = "sqrt(0.0066943799901413165::double)", "(cos(radians(30)) / sqrt(1 - 0.0066943799901413165::double * sin(radians(30)) ^ 2))"
+
+
+@query("geo_05_projections", RECTS, f"""select grid_id, round(0.9996::double * n * (a + (1 - t + c) * a ^ 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * {_EP}) * a ^ 5 / 120) + 500000, 3) x,
+ round(0.9996::double * (m + n * tan(phi) * (a ^ 2 / 2 + (5 - t + 9 * c + 4 * c * c) * a ^ 4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * {_EP}) * a ^ 6 / 720)) + case when lat < 0 then 10000000 else 0 end, 3) y, true back,
+ round(6378137.0::double * {_K} * radians(lon), 3) ex, round(6378137.0::double * (1 - {_E2}) * (sin(phi) / (1 - {_E2} * sin(phi) ^ 2) - ln((1 - {_E} * sin(phi)) / (1 + {_E} * sin(phi))) / (2 * {_E})) / (2 * {_K}), 3) ey from t""", PROJECTION)
 def _(df):
     lon, lat = F.col("x0") / 1000 - 70, F.col("y0") / 100 - 40
-    x, y = G.to_utm(lon, lat, F.lit(19))
+    df = df.withColumns(dict(zip(("x", "y"), G.to_utm(lon, lat, F.lit(19)))))
+    x, y = F.col("x"), F.col("y")
     lon2, lat2 = G.from_utm(x, y, F.lit(19))
     ex, ey = G.equal_area(lon, lat)
-    return df.select("grid_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), F.round(lon2 - lon, 6).alias("dlon"), F.round(lat2 - lat, 6).alias("dlat"), F.round(ex, 3).alias("ex"), F.round(ey, 3).alias("ey"))
+    return df.select("grid_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), ((F.abs(lon2 - lon) < 1e-6) & (F.abs(lat2 - lat) < 1e-6)).alias("back"), F.round(ex, 3).alias("ex"), F.round(ey, 3).alias("ey"))
 
 
 @query("jon_08_taxonomy", OBS, "select scene, qa, px, case qa when 1 then 'Formacion_boscosa' when 3 then 'Bosque' else 'sin_nombre' end n3_nm, qa in (1, 3) known from r")

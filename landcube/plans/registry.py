@@ -19,7 +19,7 @@ def query(name: str, role: str, oracle: str | None = None, extra: str = ""):
     def add(f):
         Q[name] = lambda spark, sf_dir: f(roles.frame(spark, sf_dir, role))
         if oracle is not None:
-            SQL[name] = f"with r as ({roles.duck(role)}){', ' + extra if extra else ''} {oracle}"
+            SQL[name] = f"with recursive r as ({roles.duck(role)}){', ' + extra if extra else ''} {oracle}"
         return f
 
     return add
@@ -30,7 +30,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import images, jobs, samples, workflow  # noqa: F401  each registers its queries
+    from . import balance, images, jobs, maps, samples, workflow  # noqa: F401  each registers its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -49,11 +49,18 @@ def _(df):
     return C.longest_run(flags)
 
 
-@query("agg_18_period_stats", LULC, """select rect, max(mode_id) filter (where period = 'P1') p1_mode, max(mode_id) filter (where period = 'P2') p2_mode, max(mode_id) filter (where period = 'P3') p3_mode, max(mode_id) filter (where period = 'P4') p4_mode from (select rect, period, mode_id, row_number() over (partition by rect, period order by count(*) desc, mode_id) k
- from (select rect, px, period, class_id mode_id from (select *, row_number() over (partition by rect, px, period order by n desc, class_id) j from (select rect, px, case when year <= 2005 then 'P1' when year <= 2012 then 'P2' when year <= 2018 then 'P3' else 'P4' end period, class_id, count(*) n from r group by all)) where j = 1) group by rect, period, mode_id) where k = 1 group by rect""")
+_P = "case when year <= 2005 then 'P1' when year <= 2012 then 'P2' when year <= 2018 then 'P3' else 'P4' end"
+PERIODS = f"""pm as materialized (select rect, px, period, class_id mode_id from (select *, row_number() over (partition by rect, px, period order by n desc, class_id) j from (select rect, px, {_P} period, class_id, count(*) n from r group by all)) where j = 1),
+ pd as (select rect, period, mode_id, n * 100.0::double / t pct from (select *, sum(n) over (partition by rect, period) t, row_number() over (partition by rect, period order by n desc, mode_id) k from (select rect, period, mode_id, count(*) n from pm group by all)) where k = 1),
+ py as (select r.rect, {_P} period, r.year, avg((r.class_id = pm.mode_id)::int) frac from r join pm on pm.rect = r.rect and pm.px = r.px and pm.period = {_P} group by all),
+ ps as (select rect, period, count(*) filter (where frac >= 0.75) n_stb, coalesce(string_agg(year::varchar, ',' order by year) filter (where frac >= 0.75), '') yrs from py group by all), pp as (select * from pd join ps using (rect, period))"""
+PERIOD_COLUMNS = ", ".join(f"max(mode_id) filter (where period = '{p}') {p}_md_id, round(max(pct) filter (where period = '{p}'), 6) {p}_md_pct, max(n_stb) filter (where period = '{p}') {p}_n_stb, round(max(n_stb) filter (where period = '{p}') / {n}.0::double * 100, 6) {p}_stb_p, max(yrs) filter (where period = '{p}') {p}_stb_yrs" for p, n in (("P1", 7), ("P2", 7), ("P3", 6), ("P4", 6)))
+
+
+@query("agg_18_period_stats", LULC, f"select rect, {PERIOD_COLUMNS} from pp group by rect", PERIODS)
 def _(df):
     out = C.period_stats(df)
-    return out.select("rect", *(F.col(f"P{i}_md_id").alias(f"p{i}_mode") for i in (1, 2, 3, 4)))
+    return out.select("rect", *(F.round(c, 6).alias(c) if c.endswith(("_md_pct", "_stb_p")) else F.col(c) for c in out.columns if c != "rect"))
 
 
 @query("agg_19_share_metrics", LULC, """select rect, round(avg((mode_id in (67, 23, 61, 33))::int) * 100, 6) crit_pct, round(avg((mode_id = 3 and lat >= -33.2)::int) * 100, 6) nfor_pct, round(avg((mode_id = 67)::int) * 100, 6) achap_pct,
@@ -228,16 +235,22 @@ def _(df):
     return df.where("k % 5 = 0").select("grid_id").join(L.scores(df).select("grid_id", "sc_e_h").dropDuplicates(["grid_id"]), "grid_id", "left").withColumn("sc_e_h", F.round("sc_e_h", 6))
 
 
-def _small(df):
-    return df.where("k <= 150")
+#: Clusters of touching cells, named by their smallest id.
+TOUCH = """ed as materialized (select a.grid_id a, b.grid_id b from r a join r b on a.mgrs = b.mgrs and abs(a.col - b.col) <= 1 and abs(a.row - b.row) <= 1 and not (a.col = b.col and a.row = b.row)),
+ reach as (select grid_id n, grid_id c from r union select ed.b, reach.c from reach join ed on ed.a = reach.n where ed.b > reach.c), cl as materialized (select n grid_id, min(c) as cluster from reach group by n)"""
 
 
-@query("geo_12_clusters", CANDS)
+@query("geo_12_clusters", CANDS, "select grid_id, cluster from cl", TOUCH)
 def _(df):
     return L.clusters(df)
 
 
-@query("dom_14_split", CANDS)
+SPLITS = TOUCH + """, u as (select r.grid_id, cluster, case when trim(target_rare_class) <> '' then 'rare:' || trim(target_rare_class) else sample_type || '|' || eco_dom_id end s from r join cl using (grid_id)),
+ e as (select *, count(*) over (partition by s) n, row_number() over (partition by s order by md5('2026|' || s || '|' || cluster), cluster) k from (select distinct cluster, s from u)), v as (select *, greatest(1, round_even(n * 0.15::double, 0)) v from e),
+ nm as (select cluster, s, case when n = 1 then 'train' when n = 2 then case when k = 1 then 'train' else 'val' end when k <= greatest(1, n - 2 * v) then 'train' when k <= greatest(1, n - 2 * v) + v then 'val' else 'test' end split from v)"""
+
+
+@query("dom_14_split", CANDS, "select u.grid_id, u.cluster, nm.split from u join (select cluster, max(s) s from u group by cluster) l using (cluster) join nm on nm.cluster = u.cluster and nm.s = l.s", SPLITS)
 def _(df):
     return L.split(df.drop("split")).select("grid_id", "cluster", "split")
 
@@ -245,10 +258,3 @@ def _(df):
 @query("dom_15_split_leaks", CANDS, """select count(*) neighbor_pairs, floor(count(*) filter (where a.split <> b.split) / 2)::bigint leak_pairs from r a join r b on a.mgrs = b.mgrs and abs(a.col - b.col) <= 1 and abs(a.row - b.row) <= 1 and not (a.col = b.col and a.row = b.row)""")
 def _(df):
     return L.split_leaks(df)
-
-
-@query("dom_06_pick_exclusive", CANDS)
-def _(df):
-    order = [("estable_homogenea", "p_estable_homogenea", "sc_e_h", 4, 250), ("estable_simple_media", "p_estable_simple_media", "sc_e_s", 4, 200), ("anual_homogenea", "p_anual_homogenea", "sc_a_h", 4, 250),
-             ("anual_simple_media", "p_anual_simple_media", "sc_a_s", 3, 140), ("transicion_homogenea", "p_transicion_homogenea", "sc_t_h", 2, 80), ("transicion_simple_media", "p_transicion_simple_media", "sc_t_s", 3, 120)]
-    return L.pick_exclusive(L.scores(L.pools(df)), order).select("grid_id", "picked_type")

@@ -106,16 +106,14 @@ def _(df):
     return df.agg(F.round(F.avg("transition_pct"), 6).alias("m"), F.min("transition_pct").alias("a"), F.max("transition_pct").alias("b"))
 
 
-@query("agg_48_wide_to_long", CANDS, "select grid_id, metric, value from r unpivot (value for metric in (valid_area_pct, eco_dom_pct))")
+@query("agg_48_wide_to_long", CANDS, "select grid_id, metric, value from r unpivot (value for metric in (valid_area_pct, eco_dom_pct, transition_pct, lulc_mode_pct, stable_yr_pct, shannon_idx, critical_pct))")
 def _(df):
-    return V.wide_to_long(df, ["grid_id"], ["valid_area_pct", "eco_dom_pct"])
+    return V.wide_to_long(df, ["grid_id"], ["valid_area_pct", "eco_dom_pct", "transition_pct", "lulc_mode_pct", "stable_yr_pct", "shannon_idx", "critical_pct"])
 
 
 @query("srt_01_operational_order", CANDS, "select grid_id, row_number() over (order by review_tier, utm, dim_temporal, sample_type, grid_id)::int place from r")
 def _(df):
-    from pyspark.sql import Window
-
-    return df.select("grid_id", F.row_number().over(Window.orderBy("review_tier", "utm", "dim_temporal", "sample_type", "grid_id")).alias("place"))
+    return V.operational_order(df).select("grid_id", "place")
 
 
 @query("set_03_missing_classes", CANDS, "select distinct c clase from (values (1), (3), (60), (66), (10), (11)) v(c) where c not in (select lulc_mode_id from r)")
@@ -157,9 +155,9 @@ def _(df):
     return B.init_qa(df).select("poly_uid", "poly_qa", "qa_scope", "lbl_id", "rect_qa")
 
 
-@query("agg_30_win_06_coverage", POLYS, "select distinct grid_id, rev_year, round(case when t = 0 then 0 else a / t * 100 end, 2) cov from (select grid_id, rev_year, sum(case when poly_qa = 'aprobado' then area_ha else 0 end) a, sum(area_ha) t from r group by grid_id, rev_year)")
+@query("agg_30_win_06_reviewed_area", POLYS, "select distinct grid_id, rev_year, round(case when t = 0 then 0 else a / t * 100 end, 2) cov from (select grid_id, rev_year, sum(case when poly_qa = 'aprobado' then area_ha else 0 end) a, sum(area_ha) t from r group by grid_id, rev_year)")
 def _(df):
-    return B.coverage(df).select("grid_id", "rev_year", F.col("cov_rect").alias("cov")).distinct()
+    return B.reviewed_area(df).select("grid_id", "rev_year", F.col("cov_rect").alias("cov")).distinct()
 
 
 @query("win_05_patch_ids", POLYS, "select grid_id, rev_year, class_id, patch_id as was, row_number() over (partition by grid_id, rev_year, class_id order by patch_id)::int patch_id from r")
@@ -207,9 +205,9 @@ def _(df):
     return B.patch_table(p).select("class_id", "conn", "n_parches", "ha_total", "px_p50", "px_p90", "px_max", F.col("pct_parches_speckle").alias("pct_small"), F.col("pct_area_speckle").alias("pct_area"), "confiable")
 
 
-@query("agg_32_coverage_tables", POLYS, "select rev_year, count(distinct grid_id) n_rectangulos, sum(patch_id % 5)::bigint n_parches, count(distinct grid_id) < 30 poca_representacion from r group by rev_year")
+@query("agg_32_extent_tables", POLYS, "select rev_year, count(distinct grid_id) n_rectangulos, sum(patch_id % 5)::bigint n_parches, count(distinct grid_id) < 30 poca_representacion from r group by rev_year")
 def _(df):
-    return B.coverage_by(df.withColumn("n_parches", F.col("patch_id") % 5), "rev_year", 30)
+    return B.extent_by(df.withColumn("n_parches", F.col("patch_id") % 5), "rev_year", 30)
 
 
 @query("agg_33_sieve_changes", GRID, """select coalesce(tile, '__TOTAL__') archivo, coalesce(value::varchar, '__TOTAL__') clase, count(*) pixeles_clase, count(*) filter (where value <> s) pixeles_reasignados, round(count(*) filter (where value <> s)::double / count(*) * 100, 3) pct_area_cambiada
@@ -218,7 +216,7 @@ def _(df):
     return B.change_stats(df.withColumn("sieved", F.when(F.col("elev") % 7 == 0, 59).otherwise(F.col("value"))))
 
 
-@query("jon_05_coverage_eco", POLYS, "select s, count(distinct grid_id) n from (select *, case when grid_id < 'R3' then 'E' || (patch_id % 3) end s from r) group by s")
+@query("jon_05_extent_eco", POLYS, "select s, count(distinct grid_id) n from (select *, case when grid_id < 'R3' then 'E' || (patch_id % 3) end s from r) group by s")
 def _(df):
     eco = df.where("grid_id < 'R3'").select("patch_id", F.concat(F.lit("E"), (F.col("patch_id") % 3).cast("string")).alias("s"))
     return df.join(eco, "patch_id", "left").groupBy("s").agg(F.count_distinct("grid_id").alias("n"))

@@ -24,15 +24,6 @@ def test_split_holds_clusters_together(spark):
     assert L.split_leaks(out).first().leak_pairs == 0
 
 
-def test_balanced_years_spread():
-    got = L.balanced_years([("a", [2000, 2001]), ("b", [2000, 2001]), ("c", [])])
-    assert sorted(y for _, y in got[:2]) == [2000, 2001] and got[2] == ("c", -9999)
-
-
-PLAN = "grid_id string, dim_temporal string, sample_type string, stable_years string, ref_year int, review_tier int, target_rare_class string, target_rare_class_id int, " + ", ".join(
-    f"md_id_{p} int, md_nm_{p} string, stb_yrs_{p} string" for p in ("P1", "P2", "P3", "P4"))
-
-
 def test_review_plan_rules(spark):
     row = lambda i, d, st="", ref=-9999, ids=(1, 1, 1, 1), rare="": (i, d, d + "_compleja", st, ref, 2, rare, -9999, *(x for k in ids for x in (k, rare if k == 9 else "", "")))
     df = spark.createDataFrame([
@@ -46,7 +37,7 @@ def test_review_plan_rules(spark):
     assert out["f"].review_years == "2006,2010,2012" and out["f"].review_notes == "incluye_anios_clase_rara" and out["f"].review_priority == 1
 
 
-def test_merge_edits_and_coverage(spark):
+def test_merge_edits_and_area(spark):
     rows = [("R", 2000, 59, 1, 3.0, "", -9999), ("R", 2000, 66, 2, 1.0, "", -9999), ("S", 2000, 59, 1, 1.0, "aprobado", -9999)]
     df = B.init_qa(spark.createDataFrame(rows, "grid_id string, rev_year int, class_id int, patch_id int, area_ha double, poly_qa string, corr_id int").withColumn("split", F.lit("train")).withColumn("rev_tier", F.lit(2)))
     edits = spark.createDataFrame([("R|2000|59|1", "aprobado", 33)], "poly_uid string, poly_qa string, corr_id int")

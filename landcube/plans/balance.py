@@ -91,7 +91,7 @@ REF = f"""{SCORES}, {PURE}, f as (select * replace (case when {SURE} then 'estab
  g as (select distinct utm, 0::bigint i, []::int[] used, ''::varchar grid_id, 0::int y from a union all
   select utm, i, case when y > 0 then list_append(used, y) else used end, grid_id, y from (select a.utm, a.i, g.used, a.grid_id, (case when len(a.ys) = 0 then -9999 when len(g.used) = 0 then list_max(a.ys) else
    list_sort(list_filter(a.ys, lambda y: len(list_filter(g.used, lambda u: u = y)) = list_min(list_transform(a.ys, lambda z: len(list_filter(g.used, lambda u: u = z))))))[1 + (a.sm % len(list_filter(a.ys, lambda y: len(list_filter(g.used, lambda u: u = y)) = list_min(list_transform(a.ys, lambda z: len(list_filter(g.used, lambda u: u = z)))))))] end)::int y from g join a on a.utm = g.utm and a.i = g.i + 1)),
- o as (select f.*, coalesce(g.y, -9999)::int ref_year, case when sample_type like 'anual%' and coalesce(g.y, -9999) <= 0 then {PROMOTED} end pr from f left join (select * from g where i > 0) g on g.utm = f.utm and g.grid_id = f.grid_id)"""
+ o as (select f.* exclude (ref_year), coalesce(g.y, -9999)::int ref_year, case when sample_type like 'anual%' and coalesce(g.y, -9999) <= 0 then {PROMOTED} end pr from f left join (select * from g where i > 0) g on g.utm = f.utm and g.grid_id = f.grid_id)"""
 PERIOD = "case when ref_year between 1999 and 2005 then 'P1' when ref_year between 2006 and 2012 then 'P2' when ref_year between 2013 and 2018 then 'P3' when ref_year between 2019 and 2024 then 'P4' else '' end"
 
 

@@ -54,13 +54,102 @@ def plan_csv(spark: SparkSession, path: str, required=("grid_id", "review_years"
     return df if "target_rare_class" in df.columns else df.withColumn("target_rare_class", F.lit(""))
 
 
+#: Collection of each satellite (fixed values).
+COLLECTIONS = {
+    "l4": "LANDSAT/LT04/C02/T1_L2", "l5": "LANDSAT/LT05/C02/T1_L2", "l7": "LANDSAT/LE07/C02/T1_L2", "l8": "LANDSAT/LC08/C02/T1_L2", "l9": "LANDSAT/LC09/C02/T1_L2",
+}
+
+
+def collection(satellite: F.Column) -> F.Column:
+    """The collection that a satellite's scenes are in; NULL for others."""
+    return F.coalesce(*(F.when(F.lower(satellite) == k, v) for k, v in COLLECTIONS.items()))
+
+
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length")
+
+
 def rasters(spark: SparkSession, path: str) -> DataFrame:
-    """Paths of class rasters below ``path``, those of the preferred name if any."""
-    def found(pattern: str) -> DataFrame:
-        return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length")
+    """Paths of class rasters below ``path``: those of the preferred name, or all if
+    there is none. Decided by the job, from one listing."""
+    found = _files(spark, path, "*.tif*").withColumn("_best", F.col("path").endswith("_classes.tif"))
+    any_ = found.agg(F.coalesce(F.bool_or("_best"), F.lit(False)).alias("_any"))
+    return found.join(F.broadcast(any_), F.lit(True)).where(F.col("_best") | ~F.col("_any")).drop("_best", "_any")
+
+
+def selections(spark: SparkSession, path: str, zone: int | None = None, same: bool = True) -> DataFrame:
+    """(path, stem, utm): selection files below ``path``, no taxonomies, one for each
+    stem (GPKG before GeoJSON before CSV); of a zone, or of all others."""
+    name = F.element_at(F.split("path", "/"), -1)
+    out = _files(spark, path, "seleccion_*").select("path", name.alias("_n")).where(~F.col("_n").contains("taxonomia"))
+    kind = F.lower(F.element_at(F.split("_n", r"\."), -1))
+    out = out.withColumns({"stem": F.regexp_replace("_n", r"\.[^.]*$", ""), "utm": S.utm_of_path(F.col("path")), "_k": F.when(kind == "gpkg", 0).when(kind == "geojson", 1).otherwise(2)})
+    if zone is not None:
+        out = out.where(F.col("utm") == zone if same else F.col("utm") != zone)
+    return out.groupBy("stem", "utm").agg(F.min_by("path", F.struct("_k", "path")).alias("path")).select("path", "stem", "utm")
+
+
+def pixels(spark: SparkSession, path: str, nodata: int | None = None) -> DataFrame:
+    """A class map written as rows (tile, row, col, value[, nodata]); the file's own
+    nodata value comes before the given one, and 0 before nothing. Nodata is NULL."""
+    raw = spark.read.parquet(path)
+    own = F.coalesce(*([F.col("nodata")] if "nodata" in raw.columns else []), F.lit(nodata), F.lit(0))
+    return raw.withColumn("value", F.when(F.col("value") != own, F.col("value"))).drop("nodata")
+
+
+def stack(scenes: DataFrame, bands: DataFrame, wanted, nodata: int = 65535) -> DataFrame:
+    """Every wanted band of every scene's pixels: ``bands(scene_id, band, tile, row,
+    col, value)``. A band that a scene lacks is nodata, and ``missing`` says so."""
+    grid = bands.select("scene_id", "tile", "row", "col").distinct().join(scenes.select("scene_id"), "scene_id", "left_semi")
+    wide = bands.groupBy("scene_id", "tile", "row", "col").pivot("band", list(wanted)).agg(F.first("value"))
+    out = grid.join(wide, ["scene_id", "tile", "row", "col"], "left")
+    lost = F.array_compact(F.array(*(F.when(F.col(b).isNull(), F.lit(b)) for b in wanted)))
+    return out.withColumn("missing", lost).withColumns({b: F.coalesce(b, F.lit(nodata)) for b in wanted})
+
+
+def yearly_raster(plan: DataFrame, files: DataFrame) -> DataFrame:
+    """``plan(grid_id, year)`` with the path of its year's map ``{year}.tif``, else of
+    its own ``{grid_id}_{year}.tif``; NULL if there is neither."""
+    named = files.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.tiff?$", "").alias("_stem"), "path")
+    year, own = F.col("year").cast("string"), F.concat_ws("_", "grid_id", F.col("year").cast("string"))
+    out = plan.withColumns({"_y": year, "_g": own})
+    out = out.join(named.select(F.col("_stem").alias("_y"), F.col("path").alias("_py")), "_y", "left").join(named.select(F.col("_stem").alias("_g"), F.col("path").alias("_pg")), "_g", "left")
+    return out.withColumn("path", F.coalesce("_py", "_pg")).drop("_y", "_g", "_py", "_pg")
 
-    some = found("*_classes.tif")
-    return found("*.tif*") if some.isEmpty() else some
+
+def tiles_of_zone(tiles: DataFrame, zone: int, name: str = "tile") -> DataFrame:
+    """Tiles whose name begins with the zone's number."""
+    return tiles.where(F.substring(name, 1, 2).try_cast("int") == zone)
+
+
+def rectangle_zones(*frames: DataFrame) -> DataFrame:
+    """Rectangles of several zone files as one table, the first of each id by zone."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return drop_repeated(out, "grid_id", ["utm_zone"])
+
+
+def report(spark: SparkSession, zone_path: str | None, total_path: str, utm: str, schema: str) -> DataFrame:
+    """A report's rows: of the zone's file if there is one, else those of the total
+    file that are the zone's."""
+    read = spark.read.schema(schema).option("header", True)
+    return read.csv(zone_path) if zone_path else read.csv(total_path).where(F.col("utm") == utm)
+
+
+def pivot_rows(df: DataFrame, key: str) -> DataFrame:
+    """A pivot without its total row and column."""
+    return df.where(F.col(key) != "TOTAL").drop("TOTAL")
+
+
+def means_only(df: DataFrame, keys) -> DataFrame:
+    """Keys and the columns ``*_mean`` under their plain names."""
+    return df.select(*keys, *(F.col(c).alias(c.removesuffix("_mean")) for c in df.columns if c.endswith("_mean")))
+
+
+def inspect(df: DataFrame) -> DataFrame:
+    """One row: rows, and the names of the properties."""
+    return df.agg(F.count("*").alias("rows")).withColumn("properties", F.array(*map(F.lit, sorted(df.columns))))
 
 
 def features(spark: SparkSession, path: str, properties: str) -> DataFrame:
@@ -85,6 +174,23 @@ def tile_id_field(columns) -> str | None:
     return next((c for c in TILE_ID_FIELDS if c in columns), None)
 
 
+def tiles_by_id(df: DataFrame, fallback: str = "id") -> DataFrame:
+    """``tile_id`` from the first field that may name a tile, else from ``fallback``;
+    one row for each."""
+    out = df.withColumn("tile_id", F.col(tile_id_field(df.columns) or fallback).cast("string"))
+    return drop_repeated(out, "tile_id", [F.to_json(F.struct(*df.columns))])
+
+
+def selection_tables(frames, ecoregion=("eco_dom_name", "eco_dom_nm", "ecoregion")) -> DataFrame:
+    """Selection tables as one, with ``eco`` from the first known column, one row an id."""
+    out = None
+    for f in frames:
+        have = [F.col(c) for c in ecoregion if c in f.columns]
+        f = f.withColumn("eco", F.coalesce(*have, F.lit("sin_nombre")))
+        out = f if out is None else out.unionByName(f, allowMissingColumns=True)
+    return drop_repeated(out, "grid_id", [F.to_json(F.struct(*out.columns))])
+
+
 def missing_inputs(plan: DataFrame, rects: DataFrame, years: DataFrame) -> DataFrame:
     """(problem, key): plan ids without geometry, planned years without a map."""
     a = plan.join(rects, "grid_id", "left_anti").select(F.lit("geometry").alias("problem"), F.col("grid_id").cast("string").alias("key"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,27 @@ def not_yet(jobs: DataFrame, manifest: DataFrame, key: str = "name") -> DataFram
     return jobs.join(manifest.select(key).distinct(), key, "left_anti")
 
 
+def to_export(jobs: DataFrame, stored: DataFrame, queued: DataFrame | None = None, key: str = "name") -> DataFrame:
+    """Jobs that are neither stored nor queued, one for each name."""
+    out = not_yet(jobs, stored, key)
+    out = out if queued is None else not_yet(out, queued, key)
+    first = F.to_json(F.struct(*jobs.columns))
+    return out.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(first))).where("_n = 1").drop("_n")
+
+
+def publish_log(df: DataFrame, path: str) -> None:
+    """Appends rows of what was published, with the time."""
+    df.withColumn("published_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")).write.mode("append").option("header", True).csv(path)
+
+
+def text_report(df: DataFrame, title: str, path: str) -> None:
+    """A small table as lines of text below a title: ``name: value`` by column."""
+    line = F.concat_ws("; ", *(F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in df.columns))
+    head = df.sparkSession.createDataFrame([(0, title)], "at int, value string")
+    body = df.select(F.lit(1).alias("at"), line.alias("value"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("at", "value").select("value").write.mode("overwrite").text(path)
+
+
 def mosaic(df: DataFrame, path: str, by=("territory", "grid_name", "year")) -> None:
     df.write.mode("append").partitionBy(*by).parquet(path)
 

@@ -52,6 +52,7 @@ class RankMerger:
         self.to = np.array(to, np.int64)  # by rank
         special = [t["content"] for t in spec["added_tokens"] if t["special"] and not t["normalized"]]
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
+        self.firsts = {s[0] for s in special}  # a text without any of them holds no special string
         self.known: dict[str, int] = {}
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -101,7 +102,7 @@ class RankMerger:
         extra: list[int] = []
         for t in texts:
             t, n = t or "", 0
-            if self.special is not None and "<" in t and (found := self.special.findall(t)):
+            if self.special is not None and any(c in t for c in self.firsts) and (found := self.special.findall(t)):
                 n = len(found)
                 pieces = [p for part in self.special.split(t) for p in find(part)]
             else:

@@ -240,5 +240,7 @@ def with_geometry(plan: DataFrame, rects: DataFrame, key: str = "grid_id") -> Da
 
 
 def review_queue(df: DataFrame) -> DataFrame:
-    """By priority, tier, homogeneous first, id."""
-    return df.orderBy("review_priority", "review_tier", (~F.coalesce(F.col("dim_espacial") == "homogenea", F.lit(False))).cast("int"), "grid_id")
+    """``place`` by priority, tier, homogeneous first, id."""
+    from .views import in_order
+
+    return in_order(df, ["review_priority", "review_tier", (~F.coalesce(F.col("dim_espacial") == "homogenea", F.lit(False))).cast("int"), "grid_id"])

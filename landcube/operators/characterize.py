@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import taxonomy as T
+from .rounds import _cut
 
 NO_OBS = 27
 STABLE_SHARE = 0.75
@@ -132,11 +133,14 @@ def characterize(lulc: DataFrame, min_valid_pct: float = 20.0, drop_zero: bool =
     if drop_zero:
         ok = ok & (F.col("mode_id") != 0)
     gate = modes.groupBy("rect").agg((F.count_if(ok) / F.count("*") * 100).alias("val_pct")).where(F.col("val_pct") >= min_valid_pct)
-    valid = modes.where(ok).join(gate.select("rect"), "rect", "left_semi")
-    series = lulc.join(valid.select("rect", "px"), ["rect", "px"], "left_semi")
+    # ten statistics read these: they are computed once
+    valid = _cut(modes.where(ok).join(gate.select("rect"), "rect", "left_semi"))
+    series = _cut(lulc.join(valid.select("rect", "px"), ["rect", "px"], "left_semi"))
     counts = valid.groupBy("rect", "mode_id").agg(F.count("*").alias("n"))
     ecos = valid.groupBy("rect", "eco_id").agg(F.count("*").alias("n"))
-    last = series.where(F.col("year") == series.agg(F.max("year")).first()[0]).groupBy("rect", F.col("class_id").alias("last_id")).agg(F.count("*").alias("n"))
+    # one row: the last year of all
+    latest = F.broadcast(series.agg(F.max("year").alias("_last")))
+    last = series.join(latest, F.col("year") == F.col("_last")).groupBy("rect", F.col("class_id").alias("last_id")).agg(F.count("*").alias("n"))
     dom = dominant(counts, ["rect"], "mode_id")
     stab = year_stability(series)
     periods = period_stats(series)

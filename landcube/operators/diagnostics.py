@@ -143,9 +143,13 @@ def reference_series(pixels: DataFrame, value: str) -> DataFrame:
 
 
 def timing_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Least, upper median and greatest."""
-    s = F.array_sort(F.collect_list(value))
-    return df.groupBy(*by).agg(F.min(value).alias("least"), F.get(s, F.floor(F.count(value) / 2).cast("int")).alias("upper_median"), F.max(value).alias("greatest"))
+    """Least, upper median and greatest: of counted values, so that equal ones are a row."""
+    n = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(value))
+    all_ = F.sum("_n").over(Window.partitionBy(*by))
+    out = n.withColumns({"_u": upto, "_a": all_})
+    middle = F.min(F.when(F.col("_u") > F.floor(F.col("_a") / 2), F.col(value)))
+    return out.groupBy(*by).agg(F.min(value).alias("least"), middle.alias("upper_median"), F.max(value).alias("greatest"))
 
 
 def audit_band_names(products: dict[str, list[str]], expected: dict[str, list[str]]) -> list[tuple[str, str]]:

@@ -155,3 +155,7 @@ def change_stats(df: DataFrame, file: str = "tile", before: str = "value", after
     return out.select(
         F.when(F.col("_g") == 3, "__TOTAL__").otherwise(F.col(file).cast("string")).alias("archivo"), F.when(F.col("_g") >= 1, "__TOTAL__").otherwise(F.col(before).cast("string")).alias("clase"),
         "pixeles_clase", "pixeles_reasignados", F.round(F.col("pixeles_reasignados") / F.col("pixeles_clase") * 100, 3).alias("pct_area_cambiada"))
+
+
+def rectangles_by(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.count_distinct("grid_id").alias("n"))

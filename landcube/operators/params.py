@@ -46,8 +46,10 @@ def expand(jobs: DataFrame, xwalk: DataFrame, min_frac: float = 0.0) -> DataFram
     pairs = xwalk.where(F.coalesce(S.number(F.col("overlap_frac_of_cim")), F.lit(0.0)) >= min_frac).select(F.trim("cim_name").alias("cim_name"), F.trim("mgrs_tile").alias("mgrs_tile")).where("cim_name != '' and mgrs_tile != ''").distinct()
     met = jobs.withColumn("cim_name", F.trim("grid_name")).drop("grid_name").join(pairs, "cim_name")
     rest = [c for c in jobs.columns if c not in ("grid_name", "year", "satellite", "black_list")]
+    # each scene of a black list counts once, map side, before a key's are gathered
+    met = met.withColumn("_scene", F.explode_outer("black_list"))
     return met.groupBy(F.col("mgrs_tile").alias("grid_name"), "year", "satellite").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("black_list")))).alias("black_list"),
+        F.array_sort(F.collect_set("_scene")).alias("black_list"),
         F.array_join(F.array_sort(F.collect_set("cim_name")), ",").alias("cim_name"),
         *(F.min_by(c, "cim_name").alias(c) for c in rest))
 

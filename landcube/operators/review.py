@@ -152,3 +152,26 @@ def operational_order(df: DataFrame) -> DataFrame:
     from .views import in_order
 
     return in_order(df, ["review_tier", "utm", "dim_temporal", "sample_type", "grid_id"])
+
+
+def group_sizes(df: DataFrame, by: list[str]) -> DataFrame:
+    return df.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def general_summary(df: DataFrame, by: str = "utm") -> DataFrame:
+    """Rows and distinct ecoregions, tiles, modal classes and types of each zone, and in all."""
+    out = df.rollup(by).agg(
+        F.count("*").alias("n"), F.count_distinct("eco_dom_id").alias("ecos"), F.count_distinct("mgrs_dom").alias("tiles"), F.count_distinct("lulc_mode_id").alias("modes"),
+        F.count_distinct("sample_type").alias("types"), F.count_if(F.col("target_rare_class") != "").alias("rare"))
+    return out.withColumn(by, F.coalesce(by, F.lit("TOTAL")))
+
+
+def critical_summary(df: DataFrame, rare: str = "target_rare_class") -> DataFrame:
+    """Rows of each rare class, of none, and of all rare ones."""
+    t = df.select(F.col(rare).alias("t")).unionByName(df.where(F.col(rare) != "").select(F.lit("TOTAL").alias("t")))
+    return t.groupBy(F.coalesce(F.nullif("t", F.lit("")), F.lit("none")).alias("clase")).agg(F.count("*").alias("n"))
+
+
+def describe(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """One row: mean, least and greatest of each metric."""
+    return df.agg(*(f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))))

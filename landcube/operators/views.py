@@ -147,3 +147,13 @@ def in_order(df: DataFrame, order: list, name: str = "place") -> DataFrame:
     start = n.withColumn("_before", before).drop("_n")  # a row for each partition
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return placed.withColumn("_own", own).join(F.broadcast(start), "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).drop("_part", "_own", "_before")
+
+
+def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that more than one row has."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def named_or_default(name: Column, default: str = T.NONE) -> Column:
+    """A name, or the default where it says nothing."""
+    return F.when(F.lower(F.trim(name)).isin("", "nan", "none", "-9999"), default).otherwise(name)

@@ -86,7 +86,7 @@ def _(df):
 
 SURE = "sample_type = 'anual_homogenea' and max_stab_run >= 5 and lulc_mode_pct >= 85 and transition_pct <= 10 and stable_yr_pct >= 60"
 PROMOTED = "case when grid_mode = 'homogeneo' and max_stab_run >= 5 and lulc_mode_pct >= 85 and transition_pct <= 10 and shannon_idx <= 0.3 then 'estable_homogenea' when max_stab_run >= 3 and lulc_mode_pct >= 45 and lulc_mode_pct < 85 and n_mode_classes between 2 and 6 and transition_pct <= 15 then 'estable_simple_media' end"
-REF = f"""{SCORES}, {PURE}, f as (select * replace (case when {SURE} then 'estable_homogenea' else sample_type end as sample_type), case when k % 7 = 0 then []::int[] else list_sort(list_distinct([(1999 + k % 26)::int, (1999 + k % 5)::int])) end ys from b where k <= 400),
+REF = f"""{SCORES}, {PURE}, f as (select * replace (case when {SURE} then 'estable_homogenea' else sample_type end as sample_type), case when k % 7 = 0 then []::int[] else list_sort(list_distinct([(1999 + k % 26)::int, (1999 + k % 5)::int])) end ys from b),
  a as materialized (select utm, grid_id, ys, list_sum(list_transform(string_split(grid_id, ''), lambda c: ascii(c)))::bigint sm, row_number() over (partition by utm order by grid_id) i from f where sample_type like 'anual%'),
  g as (select distinct utm, 0::bigint i, []::int[] used, ''::varchar grid_id, 0::int y from a union all
   select utm, i, case when y > 0 then list_append(used, y) else used end, grid_id, y from (select a.utm, a.i, g.used, a.grid_id, (case when len(a.ys) = 0 then -9999 when len(g.used) = 0 then list_max(a.ys) else
@@ -98,14 +98,14 @@ PERIOD = "case when ref_year between 1999 and 2005 then 'P1' when ref_year betwe
 @query("dom_12_final_labels", CANDS, f"""select grid_id, coalesce(pr, sample_type) sample_type, split_part(coalesce(pr, sample_type), '_', 1) dim_temporal, ref_year, {PERIOD} ref_period, case {PERIOD} when 'P1' then 'Landsat_5_7' when 'P2' then 'Landsat_5_7' when 'P3' then 'Landsat_8' when 'P4' then 'Landsat_8_9' else '' end ref_sensor
  from o where not (sample_type like 'anual%' and ref_year <= 0 and pr is null)""", REF)
 def _(df):
-    some = _pure(df).where("k <= 400").drop("ref_year")
+    some = _pure(df).drop("ref_year")
     years = F.when(F.col("k") % 7 == 0, F.array().cast("array<int>")).otherwise(F.array_sort(F.array_distinct(F.array((1999 + F.col("k") % 26).cast("int"), (1999 + F.col("k") % 5).cast("int")))))
     return A.final_labels(some.withColumn("years", years)).select("grid_id", "sample_type", "dim_temporal", "ref_year", "ref_period", "ref_sensor")
 
 
 @query("dom_08_reference_years", CANDS, "select grid_id, ref_year from o", REF)
 def _(df):
-    some = _pure(df).where("k <= 400").drop("ref_year")
+    some = _pure(df).drop("ref_year")
     years = F.when(F.col("k") % 7 == 0, F.array().cast("array<int>")).otherwise(F.array_sort(F.array_distinct(F.array((1999 + F.col("k") % 26).cast("int"), (1999 + F.col("k") % 5).cast("int")))))
     sure = (F.col("sample_type") == "anual_homogenea") & F.expr("max_stab_run >= 5 and lulc_mode_pct >= 85 and transition_pct <= 10 and stable_yr_pct >= 60")
     some = some.withColumn("dim_temporal", F.when(sure, "estable").otherwise(F.substring_index("sample_type", "_", 1)))
@@ -131,13 +131,9 @@ def _(df):
     return A.with_geometry(df.select("grid_id", "eco_dom_id"), df.where("k % 4 = 1"))
 
 
-@query("srt_06_review_queue", CANDS, "select grid_id, row_number() over (order by review_priority, review_tier, dim_espacial <> 'homogenea', grid_id)::int place from (select *, k % 3 review_priority from r) qualify place <= 200")
+@query("srt_06_review_queue", CANDS, "select grid_id, row_number() over (order by review_priority, review_tier, dim_espacial <> 'homogenea', grid_id)::int place from (select *, k % 3 review_priority from r)")
 def _(df):
-    from pyspark.sql import Window
-
-    first = A.review_queue(df.withColumn("review_priority", F.col("k") % 3)).limit(200)
-    order = Window.orderBy("review_priority", "review_tier", (F.col("dim_espacial") != "homogenea").cast("int"), "grid_id")  # of 200 rows
-    return first.select("grid_id", F.row_number().over(order).alias("place"))
+    return A.review_queue(df.withColumn("review_priority", F.col("k") % 3)).select("grid_id", "place")
 
 
 @query("flt_01_metadata", CANDS, "select grid_id from r where utm = 'UTM18' and target_rare_class is not null and eco_dom_id in (3, 5, 7) and contains(eco_dom_name, '_x')")

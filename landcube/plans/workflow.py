@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import taxonomy as T
 from ..operators import labels as B
 from ..operators import review as V
+from ..operators import views as W
 from .registry import query
 from .roles import CANDS, GRID, POLYS
 
@@ -75,35 +77,50 @@ def _(df):
 
 @query("agg_23_group_sizes", CANDS, "select utm, sample_type, count(*) n from r group by utm, sample_type")
 def _(df):
-    return df.groupBy("utm", "sample_type").agg(F.count("*").alias("n"))
+    return V.group_sizes(df, ["utm", "sample_type"])
 
 
-@query("agg_25_quality_summary", CANDS, "select utm, sample_type, count(*) n, round(avg(valid_area_pct), 2) valid_area_pct_mean, min(valid_area_pct) valid_area_pct_min, max(valid_area_pct) valid_area_pct_max from r group by utm, sample_type")
+METRICS = ["valid_area_pct", "eco_dom_pct", "noobs_pct", "transition_pct", "lulc_mode_pct", "stable_yr_pct", "shannon_idx", "max_stab_run", "critical_pct", "conf_risk_pct"]
+_METRICS = ", ".join(f"round(avg({m}), 2) {m}_mean, min({m}) {m}_min, max({m}) {m}_max" for m in METRICS)
+
+
+@query("agg_25_quality_summary", CANDS, f"select utm, sample_type, count(*) n, {_METRICS} from r group by utm, sample_type")
 def _(df):
-    return V.quality_summary(df, ["utm", "sample_type"], ["valid_area_pct"])
+    return V.quality_summary(df, ["utm", "sample_type"], METRICS)
 
 
 @query("agg_26_general_summary", CANDS, "select coalesce(utm, 'TOTAL') utm, count(*) n, count(distinct eco_dom_id) ecos, count(distinct mgrs_dom) tiles, count(distinct lulc_mode_id) modes, count(distinct sample_type) types, count(*) filter (where target_rare_class <> '') rare from r group by rollup (utm)")
 def _(df):
-    out = df.rollup("utm").agg(F.count("*").alias("n"), F.count_distinct("eco_dom_id").alias("ecos"), F.count_distinct("mgrs_dom").alias("tiles"), F.count_distinct("lulc_mode_id").alias("modes"), F.count_distinct("sample_type").alias("types"), F.count_if(F.col("target_rare_class") != "").alias("rare"))
-    return out.withColumn("utm", F.coalesce("utm", F.lit("TOTAL")))
+    return V.general_summary(df)
 
 
 @query("agg_28_critical_summary", CANDS, "select coalesce(nullif(t, ''), 'none') clase, count(*) n from (select target_rare_class t from r union all select 'TOTAL' from r where target_rare_class <> '') group by 1")
 def _(df):
-    t = df.select(F.col("target_rare_class").alias("t")).unionByName(df.where("target_rare_class != ''").select(F.lit("TOTAL").alias("t")))
-    return t.groupBy(F.coalesce(F.expr("nullif(t, '')"), F.lit("none")).alias("clase")).agg(F.count("*").alias("n"))
+    return V.critical_summary(df)
+
 
+_N = lambda c: f"count(*) filter (where {c})"
+_WOOD = "regexp_matches(target_rare_class, 'Formacion_boscosa|Bosque', 'i')"
+CHECKS = [
+    ("total", "count(*)", "{} between 300 and 350"), ("utm18", _N("utm = 'UTM18'"), "{} between 100 and 130"), ("utm19", _N("utm = 'UTM19'"), "{} between 140 and 180"),
+    ("e_h_18", _N("utm = 'UTM18' and sample_type = 'estable_homogenea'"), "{} >= 8"), ("e_s_18", _N("utm = 'UTM18' and sample_type = 'estable_simple_media'"), "{} >= 10"),
+    ("t_h", _N("sample_type = 'transicion_homogenea'"), "{} between 20 and 35"), ("t_h_19", _N("utm = 'UTM19' and sample_type = 'transicion_homogenea'"), "{} >= 10"),
+    ("arid_trans", _N("sample_type like 'transicion%' and eco_dom_id in (1, 2, 3, 4, 5)"), "{} >= 5"), ("otra", _N("lulc_mode_id = 25"), "{} <= 45"), ("pastizal", _N("lulc_mode_id = 15"), "{} >= 6"),
+    ("salar", _N("target_rare_class = 'Salar'"), "{} between 8 and 14"), ("arena", _N("target_rare_class = 'Arena_playa_duna'"), "{} between 8 and 14"),
+    ("bosque", _N(_WOOD), f"{_N(_WOOD + ' and split = $$val$$')} >= 1 and {_N(_WOOD + ' and split = $$test$$')} >= 1"), ("train", _N("split = 'train'"), "abs({}::double / greatest(count(*), 1) - 0.70) < 0.08"),
+    ("val", _N("split = 'val'"), "{} >= 25"), ("tier0", _N("review_tier = 0"), "{} >= 0"),
+]
 
-@query("agg_36_audit", CANDS, """select c as "check", v as value, ok from (select count(*) n, count(*) filter (where utm = 'UTM18') u18, count(*) filter (where lulc_mode_id = 25) otra, count(*) filter (where target_rare_class = 'Salar') salar, count(*) filter (where split = 'val') val from r),
- lateral (values ('total', n, n between 300 and 350), ('utm18', u18, u18 between 100 and 130), ('otra', otra, otra <= 45), ('salar', salar, salar between 8 and 14), ('val', val, val >= 25)) x(c, v, ok)""")
+
+@query("agg_36_audit", CANDS, " union all ".join(f"select '{k}' as \"check\", {v} as value, {ok.format(v)} ok from r" for k, v, ok in CHECKS))
 def _(df):
-    return V.audit(df).where(F.col("check").isin("total", "utm18", "otra", "salar", "val"))
+    return V.audit(df)
 
 
 @query("agg_42_describe", CANDS, "select round(avg(transition_pct), 6) m, min(transition_pct) a, max(transition_pct) b from r")
 def _(df):
-    return df.agg(F.round(F.avg("transition_pct"), 6).alias("m"), F.min("transition_pct").alias("a"), F.max("transition_pct").alias("b"))
+    d = V.describe(df, ["transition_pct"])
+    return d.select(F.round("transition_pct_mean", 6).alias("m"), F.col("transition_pct_min").alias("a"), F.col("transition_pct_max").alias("b"))
 
 
 @query("agg_48_wide_to_long", CANDS, "select grid_id, metric, value from r unpivot (value for metric in (valid_area_pct, eco_dom_pct, transition_pct, lulc_mode_pct, stable_yr_pct, shannon_idx, critical_pct))")
@@ -116,15 +133,17 @@ def _(df):
     return V.operational_order(df).select("grid_id", "place")
 
 
-@query("set_03_missing_classes", CANDS, "select distinct c clase from (values (1), (3), (60), (66), (10), (11)) v(c) where c not in (select lulc_mode_id from r)")
+_LEGEND = ", ".join(f"({k}, '{T.names(k)[5]}')" for k in T.CODES)
+
+
+@query("set_03_missing_classes", CANDS, f"select c clase, n nombre from (values {_LEGEND}) v(c, n) where c not in (select lulc_mode_id from r)")
 def _(df):
-    out = B.missing_classes(df.select(F.col("lulc_mode_id").alias("class_id")))
-    return out.where(F.col("clase").isin(1, 3, 60, 66, 10, 11)).select("clase")
+    return B.missing_classes(df.select(F.col("lulc_mode_id").alias("class_id")))
 
 
 @query("set_06_duplicates", CANDS, "select mgrs, col, row, count(*) n from r group by all having count(*) > 1")
 def _(df):
-    return df.groupBy("mgrs", "col", "row").agg(F.count("*").alias("n")).where("n > 1")
+    return W.repeated(df, ["mgrs", "col", "row"])
 
 
 @query("set_07_dom_21_groups", CANDS, "select grid_id, sample_type grupo from r union all select grid_id, 'clases_raras' from r where target_rare_class <> '' union all select grid_id, 'clases_transversales' from r where lulc_mode_id = 25")
@@ -139,8 +158,7 @@ def _(df):
 
 @query("prj_12_16_names_defaults", CANDS, "select grid_id, case when lower(trim(target_rare_class)) in ('', 'nan', 'none', '-9999') then 'sin_nombre' else target_rare_class end etiqueta from r")
 def _(df):
-    t = F.col("target_rare_class")
-    return df.select("grid_id", F.when(F.lower(F.trim(t)).isin("", "nan", "none", "-9999"), "sin_nombre").otherwise(t).alias("etiqueta"))
+    return df.select("grid_id", W.named_or_default(F.col("target_rare_class")).alias("etiqueta"))
 
 
 # --- labels and QA --------------------------------------------------------------
@@ -173,9 +191,12 @@ def _(df):
     return B.merge_edits(base, edits, rects).select("poly_uid", "poly_qa", "lbl_id", "rect_qa")
 
 
-@query("dom_26_violations", POLYS, f"select 'split_inconsistente' as \"check\", grid_id || '|' || rev_year as key from r group by grid_id, rev_year having count(distinct split) > 1")
+@query("dom_26_violations", POLYS, f"""select 'split_inconsistente' as "check", grid_id || '|' || rev_year as key from r group by grid_id, rev_year having count(distinct split) > 1 union all
+ select 'uid_duplicado', {UID} from r group by 2 having count(*) > 1 union all select 'lbl_id_invalido', {UID} from r where poly_qa = 'aprobado' and {LBL} not in ({', '.join(map(str, [*T.CODES, 35]))}) union all
+ select 'cobertura', key from (select grid_id || '|' || rev_year as key, any_value(rect_qa) q, min(rev_tier) t, round(case when sum(area_ha) = 0 then 0 else sum(case when poly_qa = 'aprobado' then area_ha else 0 end) / sum(area_ha) * 100 end, 2) s from r group by 1)
+ where q in ('aprobado', 'parcial') and s < case t when 0 then 100 when 1 then 85 when 2 then 90 when 3 then 95 else 90 end""")
 def _(df):
-    return B.violations(B.init_qa(df)).where(F.col("check").isin("split_inconsistente", "uid_duplicado", "lbl_id_invalido", "poly_qa_invalido"))
+    return B.violations(B.init_qa(df))
 
 
 @query("dom_28_batch_rules", POLYS, f"select {UID} poly_uid, case when p >= 5 then 'aprobado' when p < 1 then 'rechazado' else poly_qa end poly_qa, case when p >= 5 then 'ninguno' when p < 1 then 'borde' else 'ninguno' end err_type from (select *, area_ha / sum(area_ha) over (partition by grid_id, rev_year) * 100 p from r)")
@@ -219,4 +240,4 @@ def _(df):
 @query("jon_05_extent_eco", POLYS, "select s, count(distinct grid_id) n from (select *, case when grid_id < 'R3' then 'E' || (patch_id % 3) end s from r) group by s")
 def _(df):
     eco = df.where("grid_id < 'R3'").select("patch_id", F.concat(F.lit("E"), (F.col("patch_id") % 3).cast("string")).alias("s"))
-    return df.join(eco, "patch_id", "left").groupBy("s").agg(F.count_distinct("grid_id").alias("n"))
+    return B.rectangles_by(df.join(eco, "patch_id", "left"), "s")

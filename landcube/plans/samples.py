@@ -76,9 +76,28 @@ def _(df):
     return C.confusion_risk(n, C.dominant(n, ["rect"], "mode_id")).withColumn("conf_risk_pct", F.round("conf_risk_pct", 6))
 
 
-@query("dom_04_characterize", LULC)
-def _(df):
-    return C.characterize(df)
+_CONFUSED = "(59, 60), (59, 67), (60, 59), (60, 66), (66, 12), (66, 63), (12, 66), (12, 63), (63, 66), (63, 12), (25, 29), (25, 23), (29, 25), (15, 12), (15, 18), (18, 15)"
+CHARACTER = MODE + """, md as materialized (select * from m join pe using (rect, px)), gate as materialized (select rect, count(*) filter (where eco_id > 0 and mode_id <> 27) * 100.0::double / count(*) val_pct from md group by rect having val_pct >= 20),
+ va as materialized (select md.* from md join gate using (rect) where eco_id > 0 and mode_id <> 27), se as materialized (select r.* from r join (select rect, px from va) using (rect, px)), mn as (select rect, mode_id, count(*) n from va group by all),
+ c1 as (select rect, arg_max(mode_id, row(n, -mode_id)) mode_id_dom, max(n) * 100.0::double / sum(n) mode_id_pct, count(*) mode_id_n from mn group by rect), c2 as (select rect, arg_max(eco_id, row(n, -eco_id)) eco_id_dom, max(n) * 100.0::double / sum(n) eco_id_pct from (select rect, eco_id, count(*) n from va group by all) group by rect),
+ c3 as (select rect, arg_max(class_id, row(n, -class_id)) last_id_dom, max(n) * 100.0::double / sum(n) last_id_pct from (select rect, class_id, count(*) n from se where year = (select max(year) from se) group by all) group by rect),
+ c4 as (select rect, -sum(p * ln(p)) shannon from (select rect, n::double / sum(n) over (partition by rect) p from mn) group by rect), c5 as (select rect, avg(t) * 100 tr_pct from (select rect, px, avg((class_id <> p)::int) t from (select *, lag(class_id) over (partition by rect, px order by year) p from se) where p is not null group by rect, px) group by rect),
+ fr as materialized (select se.rect, se.year, avg((se.class_id = va.mode_id)::int) frac from se join va using (rect, px) group by all),
+ c6 as (select rect, coalesce(string_agg(year::varchar, ',' order by year) filter (where frac >= 0.75), '') stable_years, count(*) filter (where frac >= 0.75) n_stable, count(*) filter (where frac >= 0.75)::double / count(*) * 100 stab_yr_pct, avg(frac) * 100 stab_pct from fr group by rect),
+ c7 as (select rect, coalesce(run, 0)::int run, coalesce(run_start, -9999)::int run_start, coalesce(run_end, -9999)::int run_end from (select distinct rect from fr) left join (select rect, count(*) run, min(year) run_start, max(year) run_end, row_number() over (partition by rect order by count(*) desc, min(year)) k from (select rect, year, year - row_number() over (partition by rect order by year) g from fr where frac >= 0.75) group by rect, g) using (rect) where coalesce(k, 1) = 1),
+ c8 as (select rect, avg((mode_id in (67, 23, 61, 33))::int) * 100 crit_pct, avg((mode_id = 3 and lat >= -33.2)::int) * 100 nfor_pct, avg((mode_id = 67)::int) * 100 achap_pct, avg((mode_id in (11, 73, 74, 18, 19, 36, 9, 79, 80, 24, 30, 75, 34))::int) * 100 tran_pct, avg((mode_id = 27)::int) * 100 noobs_raw_pct from va group by rect),
+ c9 as (select mn.rect, sum(case when (mode_id_dom, mode_id) in (""" + _CONFUSED + """) then n else 0 end) * 100.0::double / sum(n) conf_risk_pct from mn join c1 using (rect) group by mn.rect), """ + PERIODS.replace("from r ", "from se r ") + f""", c10 as (select rect, {PERIOD_COLUMNS} from pp group by rect),
+ ch as (select * from gate join c1 using (rect) join c2 using (rect) join c3 using (rect) join c4 using (rect) join c5 using (rect) join c6 using (rect) join c7 using (rect) join c8 using (rect) join c9 using (rect) join c10 using (rect)),
+ kd as (select *, case when tr_pct >= 15 then 'transicion' when (run < 5 and (P3_n_stb >= 3 or P4_n_stb >= 3)) or tran_pct > 0 then 'anual' else 'estable' end dim_temporal, case when mode_id_pct >= 85 and shannon <= 0.3 then 'homogenea' when mode_id_n <= 4 and mode_id_pct >= 45 then 'simple_media' else 'compleja' end dim_espacial,
+ val_pct / 100 * 2 + crit_pct / 100 * 4 + nfor_pct / 100 * 3 + achap_pct / 100 * 3 + least(mode_id_n, 19) / 19.0::double * 2 + shannon / ln(19) * 1.5 + tr_pct / 100 * 1.5 prio_sc from ch)"""
+CHARACTER_ROUND = ["val_pct", "mode_id_pct", "eco_id_pct", "last_id_pct", "shannon", "tr_pct", "stab_yr_pct", "stab_pct", "crit_pct", "nfor_pct", "achap_pct", "tran_pct", "noobs_raw_pct", "conf_risk_pct", "prio_sc"]
+
+
+@query("dom_04_characterize", LULC, f"select * replace ({', '.join(f'round({c}, 6) as {c}' for c in CHARACTER_ROUND)}), 0.0::double noobs_pct, dim_temporal || '_' || dim_espacial sample_type from kd", CHARACTER)
+def _(df):
+    out = C.characterize(df)
+    more = [c for c in out.columns if c.endswith(("_md_pct", "_stb_p"))]
+    return out.withColumns({c: F.round(c, 6) for c in [*CHARACTER_ROUND, *more]})
 
 
 @query("agg_22_priority_score", CANDS, "select grid_id, round(valid_area_pct / 100 * 2 + critical_pct / 100 * 4 + north_forest_pct / 100 * 3 + achaparrado_pct / 100 * 3 + least(n_mode_classes, 19) / 19.0::double * 2 + shannon_idx / ln(19) * 1.5 + transition_pct / 100 * 1.5 - noobs_pct * 0.05, 8) prio_sc from r")

@@ -35,6 +35,7 @@ def job(name: str, oracle: str | None, extra: str = ""):
     return add
 
 
+XW = "x(cim_name, mgrs_tile, frac) as (select 'C' || k, 'T' || (k % 13 + d), case d when 0 then 0.8 when 1 then 0.2 else 0.001 end from generate_series(0, 35) g(k), (values (0), (1), (2)) v(d))"
 LIST = "array_to_string(black_list, ',')"
 
 
@@ -78,9 +79,6 @@ def _(df):
     return P.guard(P.normalize(df)).groupBy("grid_name", "year", "satellite").agg(F.count("*").alias("n"))
 
 
-XW = "x(cim_name, mgrs_tile, frac) as (select 'C' || k, 'T' || (k % 13 + d), case d when 0 then 0.8 when 1 then 0.2 else 0.001 end from generate_series(0, 35) g(k), (values (0), (1), (2)) v(d))"
-
-
 def _xwalk(spark):
     rows = [(f"C{k}", f"T{k % 13 + d}", str({0: 0.8, 1: 0.2, 2: 0.001}[d])) for k in range(36) for d in range(3)]
     return spark.createDataFrame(rows, "cim_name string, mgrs_tile string, overlap_frac_of_cim string")
@@ -97,7 +95,10 @@ def _(df):
     return P.unmatched(P.normalize(df), _xwalk(df.sparkSession), 0.01)
 
 
-@job("agg_38_ordered_blacklist", None)
+@job("agg_38_ordered_blacklist", "select t.mgrs_tile grid_name, ys.year, ys.satellite, coalesce(ls.black_list, '') black_list, false use_tile_mask, 'EPSG:32719' crs from (select distinct mgrs_tile from x) t cross join ys left join ls on ls.mgrs_tile = t.mgrs_tile and ls.year = ys.year and ls.satellite = ys.satellite", XW + """,
+ ys as (select year, satellite from (select year, satellite, row_number() over (partition by year order by count(*) desc, satellite) k from n group by year, satellite) where k = 1),
+ sc as (select x.mgrs_tile, b.year, b.satellite, b.s, min(row(x.cim_name, b.i)) as place from (select grid_name, year, satellite, unnest(black_list) s, unnest(range(len(black_list))) i from n) b join x on x.cim_name = b.grid_name and frac >= 0.01 group by all),
+ ls as (select mgrs_tile, year, satellite, string_agg(s, ',' order by place, s) black_list from sc group by all)""")
 def _(df):
     jobs = P.normalize(df)
     tiles = _xwalk(df.sparkSession).select("mgrs_tile").distinct().withColumn("crs", F.lit("EPSG:32719"))

@@ -86,7 +86,7 @@ def test_pairs_of_terms(spark):
     for toxic in (lambda a, b: a and b, lambda a, b: a != b):
         rows, labels = [], []
         for i in range(1500):
-            a, b = rng.random(2) < 0.5
+            a, b = (rng.random(2) < 0.5).tolist()
             rows.append((i, " ".join([*rng.choice(vocab, 20), *["zzinsult"] * a, *["qqgroup"] * b])))
             labels.append((i, int(toxic(a, b))))
         docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import select as L
-from .rounds import _cut
+from .rounds import written
 from .spatial import greedy_non_overlap
 
 #: Sensor of a reference year by period, and thresholds of the types (fixed values).
@@ -98,13 +98,13 @@ def pick_exclusive(df: DataFrame, rare: list[tuple], types: list[tuple], cell: f
 
     for class_id, name, score, per_eco, most in rare:
         got = apart(pick_rare(free(), class_id, name, score, per_eco, most), rare_order(class_id, score))
-        got = _cut(got.select(*df.columns, F.lit(name).alias("picked_type")))  # a turn's few rows, or each later turn would pick them again
+        got = written(got.select(*df.columns, F.lit(name).alias("picked_type")))  # a turn's few rows, or each later turn would pick them again
         picked = got if picked is None else picked.unionByName(got)
     for kind, flag, score, per_eco, most in types:
         got = L.top_per_group(free().where(F.col(flag)), ["eco_dom_id"], score, per_eco)
         got = got.withColumn("_r", F.row_number().over(Window.partitionBy("mgrs_dom").orderBy(F.desc(score), "grid_id")))
         got = apart(got.orderBy("_r", F.desc(score), "grid_id").limit(most), ["_r", F.desc(score), "grid_id"]).drop("_r")
-        got = _cut(got.select(*df.columns, F.lit(kind).alias("picked_type")))
+        got = written(got.select(*df.columns, F.lit(kind).alias("picked_type")))
         picked = got if picked is None else picked.unionByName(got)
     return picked
 

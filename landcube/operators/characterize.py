@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import taxonomy as T
-from .rounds import _cut
+from .rounds import written
 
 NO_OBS = 27
 STABLE_SHARE = 0.75
@@ -134,8 +134,8 @@ def characterize(lulc: DataFrame, min_valid_pct: float = 20.0, drop_zero: bool =
         ok = ok & (F.col("mode_id") != 0)
     gate = modes.groupBy("rect").agg((F.count_if(ok) / F.count("*") * 100).alias("val_pct")).where(F.col("val_pct") >= min_valid_pct)
     # ten statistics read these: they are computed once
-    valid = _cut(modes.where(ok).join(gate.select("rect"), "rect", "left_semi"))
-    series = _cut(lulc.join(valid.select("rect", "px"), ["rect", "px"], "left_semi"))
+    valid = written(modes.where(ok).join(gate.select("rect"), "rect", "left_semi"))
+    series = written(lulc.join(valid.select("rect", "px"), ["rect", "px"], "left_semi"))
     counts = valid.groupBy("rect", "mode_id").agg(F.count("*").alias("n"))
     ecos = valid.groupBy("rect", "eco_id").agg(F.count("*").alias("n"))
     # one row: the last year of all

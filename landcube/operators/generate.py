@@ -56,7 +56,7 @@ def polygons(pixels: DataFrame, plan: DataFrame, pixel_m2: float = 900.0, min_pa
     whole = kept.groupBy(*UNIT).agg((F.count("*") * pixel_m2).alias("rect_a_m2"))
     found = R.polygonize(kept, "class_id", connectivity, nodata, UNIT)
     out = found.withColumn("area_m2", F.col("n_pixels") * pixel_m2).withColumn("area_ha", F.col("area_m2") / 10000)
-    out = B.patch_ids(out.where(F.col("area_ha") >= min_patch_ha).withColumnRenamed("patch_id", "_was"), "_was").drop("_was")
+    out = B.patch_ids(out.where(F.col("area_m2") >= F.lit(round(min_patch_ha * 10_000))).withColumnRenamed("patch_id", "_was"), "_was").drop("_was")
     out = out.join(whole, list(UNIT)).withColumn("pct_rect", F.col("area_m2") / F.col("rect_a_m2") * 100)
     out = renamed(T.annotate(out, "class_id", extra_glacier=True)).withColumn("class_nm", F.col("n3_nm"))
     return B.init_qa(out.join(plan_attributes(plan), list(UNIT)))

@@ -22,6 +22,12 @@ def patch_ids(df: DataFrame, order: str) -> DataFrame:
     return df.withColumn("patch_id", F.row_number().over(w))
 
 
+def large_patches(df: DataFrame, min_ha: float, n: str = "n_pixels", pixel_m2: int = 900) -> DataFrame:
+    """Patches of at least ``min_ha``, in whole square metres, so that one of exactly
+    that area stays."""
+    return df.where(F.col(n) * pixel_m2 >= F.lit(round(min_ha * 10_000)))
+
+
 def reviewed_area(df: DataFrame) -> DataFrame:
     """``cov_rect``: approved share of each rectangle-year's area, on every row."""
     w = Window.partitionBy("grid_id", "rev_year")

@@ -1,21 +1,18 @@
 """Neighbourhood, morphology and object operators on grids.
 
 A grid is rows (tile, row, col, value). Square windows are separable: two running
-windows, along columns and then rows. What needs whole objects runs once a tile
-(a bounded block of pixels) in NumPy.
+windows, along columns and then rows. Objects (components, sieves, polygons) are in
+``objects``.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import taxonomy as T
+from .objects import components, label, polygonize, ring_area, sieve  # noqa: F401  objects on the same grids
 
 
 def dense(df: DataFrame, keys=("tile",)) -> DataFrame:
@@ -129,215 +126,6 @@ def is_single_class(df: DataFrame, by: str, value: str, nodata: int = 0) -> Data
     return df.groupBy(by).agg(F.count_distinct(v).alias("n_classes"), F.min(v).alias("class_id")).withColumn("single", F.col("n_classes") <= 1)
 
 
-# --- objects, a tile at a time ---------------------------------------------------
-
-
-def label(grid: np.ndarray, connectivity: int, nodata: int = 0) -> np.ndarray:
-    """Components of equal value (1, 2, ... in order of their first pixel; nodata 0)."""
-    h, w = grid.shape
-    at = np.arange(h * w).reshape(h, w)
-    pairs = []
-    for dr, dc in [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else []):
-        near = (slice(0, h - dr), slice(max(0, -dc), w - max(0, dc)))
-        far = (slice(dr, h), slice(max(0, dc), w - max(0, -dc)))
-        same = (grid[near] == grid[far]) & (grid[near] != nodata)
-        pairs.append(np.stack([at[near][same], at[far][same]]))
-    a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), int)
-    root = np.arange(h * w)
-    while len(a):  # both ends take the smaller root, roots are shortened, settled pairs go
-        x, y = root[a], root[b]
-        low = np.minimum(x, y)
-        np.minimum.at(root, x, low)
-        np.minimum.at(root, y, low)
-        while True:
-            short = root[root]
-            if (short == root).all():
-                break
-            root = short
-        open_ = root[a] != root[b]
-        a, b = a[open_], b[open_]
-    root[grid.reshape(-1) == nodata] = -1
-    firsts, out = np.unique(root, return_inverse=True)
-    return (out + (0 if len(firsts) and firsts[0] == -1 else 1)).reshape(h, w)
-
-
-def _grid(pdf: pd.DataFrame, value: str, nodata: int) -> tuple[np.ndarray, int, int]:
-    r0, c0 = int(pdf["row"].min()), int(pdf["col"].min())
-    out = np.full((int(pdf["row"].max()) - r0 + 1, int(pdf["col"].max()) - c0 + 1), nodata, np.int64)
-    out[pdf["row"].to_numpy() - r0, pdf["col"].to_numpy() - c0] = pdf[value].fillna(nodata).to_numpy(np.int64)
-    return out, r0, c0
-
-
-def components(df: DataFrame, value: str = "value", connectivity: int = 8, nodata: int = 0, keys=("tile",)) -> DataFrame:
-    """``component`` and its ``size`` for each pixel; nodata has component 0."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid, r0, c0 = _grid(pdf, value, nodata)
-        lab = label(grid, connectivity, nodata)
-        size = np.bincount(lab.reshape(-1))
-        at = lab[pdf["row"].to_numpy() - r0, pdf["col"].to_numpy() - c0]
-        return pdf.assign(component=at.astype("int32"), size=np.where(at > 0, size[at], 0).astype("int32"))
-
-    return df.groupBy(*keys).applyInPandas(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", component int, size int")
-
-
-def _neighbours(grid: np.ndarray, nodata: int, pending: np.ndarray, connectivity: int = 8):
-    h, w = grid.shape
-    pad = np.pad(np.where(pending, nodata, grid), 1, constant_values=nodata)
-    steps = [(-1, 0), (1, 0), (0, -1), (0, 1)] + ([(-1, -1), (-1, 1), (1, -1), (1, 1)] if connectivity == 8 else [])
-    return np.stack([pad[1 + i : 1 + i + h, 1 + j : 1 + j + w] for i, j in steps])
-
-
-def sieve_majority(grid: np.ndarray, nodata: int = 0, sweeps: int = 50) -> np.ndarray:
-    """Patches below their class's size take their neighbours' majority, sweep by
-    sweep (lowest id of equals); what no sweep reaches takes the nearest class."""
-    mmu = np.vectorize(lambda v: T.MMU_PIXELS.get(int(v), T.MMU_DEFAULT))(grid)
-    lab = label(grid, 8, nodata)
-    size = np.bincount(lab.reshape(-1))[lab]
-    pending, out = (size < mmu) & (grid != nodata), grid.copy()
-    for _ in range(sweeps):
-        if not pending.any():
-            break
-        near = _neighbours(out, nodata, pending)
-        moved = False
-        new, left = out.copy(), pending.copy()
-        for r, c in zip(*np.nonzero(pending)):
-            v = near[:, r, c]
-            v = v[v != nodata]
-            if len(v):
-                n = np.bincount(v)
-                new[r, c], left[r, c], moved = int(n.argmax()), False, True
-        out, pending = new, left
-        if not moved:
-            break
-    if pending.any():
-        r, c = np.nonzero((out != nodata) & ~pending)
-        for i, j in zip(*np.nonzero(pending)):
-            if len(r):
-                k = int(((r - i) ** 2 + (c - j) ** 2).argmin())
-                out[i, j] = out[r[k], c[k]]
-    return out
-
-
-def sieve_merge(grid: np.ndarray, size: int = 6, nodata: int = 0) -> np.ndarray:
-    """4-connected patches below ``size`` join the largest patch they touch (the
-    lowest label of equals), smallest first, until none is left that can."""
-    lab = label(grid, 4, nodata)
-    n = np.bincount(lab.reshape(-1))
-    value = np.zeros(len(n), grid.dtype)
-    value[lab.reshape(-1)] = grid.reshape(-1)
-    near: list[set[int]] = [set() for _ in n]
-    for a, b in ((lab[:, :-1], lab[:, 1:]), (lab[:-1], lab[1:])):
-        some = (a != b) & (a > 0) & (b > 0)
-        for i, j in {tuple(p) for p in np.stack([a[some], b[some]], axis=1).tolist()}:
-            near[i].add(j)
-            near[j].add(i)
-    up = list(range(len(n)))
-    first = np.full(len(n), lab.size)
-    np.minimum.at(first, lab.reshape(-1), np.arange(lab.size))
-    todo = [(int(n[k]), int(first[k]), k) for k in range(1, len(n)) if n[k] < size]
-    heapq.heapify(todo)
-
-    def absorb(k: int, into: int) -> None:
-        up[k] = into
-        n[into] += n[k]
-        first[into] = min(first[into], first[k])
-        for x in near[k] - {into}:
-            near[x].discard(k)
-            near[x].add(into)
-            near[into].add(x)
-        near[into].discard(k)
-        near[k] = set()
-
-    while todo:
-        count, _, k = heapq.heappop(todo)
-        if up[k] != k or n[k] != count or not near[k]:
-            continue
-        best = min(near[k], key=lambda x: (-n[x], first[x]))
-        absorb(k, best)
-        for x in [x for x in near[best] if value[x] == value[best]]:  # equal classes that meet now are one patch
-            absorb(x, best)
-        if n[best] < size:
-            heapq.heappush(todo, (int(n[best]), int(first[best]), best))
-    for k in range(len(up)):
-        while up[k] != up[up[k]]:
-            up[k] = up[up[k]]
-    return np.where(lab > 0, value[np.array(up)[lab]], grid)
-
-
-def sieve(df: DataFrame, value: str = "value", how: str = "majority", size: int = 6, nodata: int = 0, keys=("tile",)) -> DataFrame:
-    """``df`` with ``sieved``, a tile at a time."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid, r0, c0 = _grid(pdf, value, nodata)
-        out = sieve_majority(grid, nodata) if how == "majority" else sieve_merge(grid, size, nodata)
-        return pdf.assign(sieved=out[pdf["row"].to_numpy() - r0, pdf["col"].to_numpy() - c0].astype("int32"))
-
-    return df.groupBy(*keys).applyInPandas(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", sieved int")
-
-
-def rings(mask: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Boundary rings (row, col corners) of a mask: outer ones clockwise as seen
-    with rows growing downward, holes the other way; diagonal contacts stay apart."""
-    h, w = mask.shape
-    pad = np.pad(mask, 1)
-    nxt: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for r, c in zip(*np.nonzero(mask)):
-        if not pad[r, c + 1]:
-            nxt.setdefault((r, c), []).append((r, c + 1))
-        if not pad[r + 1, c + 2]:
-            nxt.setdefault((r, c + 1), []).append((r + 1, c + 1))
-        if not pad[r + 2, c + 1]:
-            nxt.setdefault((r + 1, c + 1), []).append((r + 1, c))
-        if not pad[r + 1, c]:
-            nxt.setdefault((r + 1, c), []).append((r, c))
-    out = []
-    while nxt:
-        start = min(nxt)
-        ring, at, came = [start], start, None
-        while True:
-            options = nxt[at]
-            if came is None or len(options) == 1:
-                to = options[0]
-            else:  # at a crossing turn toward the pixel that the last edge bounds
-                right = (came[1], -came[0])
-                to = next((o for o in options if (o[0] - at[0], o[1] - at[1]) == right), options[0])
-            options.remove(to)
-            if not options:
-                del nxt[at]
-            came, at = (to[0] - at[0], to[1] - at[1]), to
-            if at == start:
-                break
-            ring.append(at)
-        out.append(ring)
-    return out
-
-
-def ring_area(ring: list[tuple[int, int]]) -> float:
-    return 0.5 * sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(ring, ring[1:] + ring[:1]))
-
-
-def polygonize(df: DataFrame, value: str = "value", connectivity: int = 8, nodata: int = 0, keys=("tile",)) -> DataFrame:
-    """(keys, patch_id, class_id, n_pixels, rings): one polygon a component."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid, r0, c0 = _grid(pdf, value, nodata)
-        lab = label(grid, connectivity, nodata)
-        rows = []
-        order = np.argsort(lab, axis=None, kind="stable")
-        first = np.searchsorted(lab.reshape(-1)[order], np.arange(1, int(lab.max(initial=0)) + 2))
-        for k in range(1, len(first)):
-            r, c = np.divmod(order[first[k - 1] : first[k]], lab.shape[1])
-            top, left = int(r.min()), int(c.min())
-            m = np.zeros((int(r.max()) - top + 1, int(c.max()) - left + 1), bool)  # the patch's own box
-            m[r - top, c - left] = True
-            rows.append((*(pdf[x].iloc[0] for x in keys), k, int(grid[r[0], c[0]]), len(r), [[[int(i + top + r0), int(j + left + c0)] for i, j in ring] for ring in rings(m)]))
-        return pd.DataFrame(rows, columns=[*keys, "patch_id", "class_id", "n_pixels", "rings"])
-
-    kinds = dict(df.dtypes)
-    return df.groupBy(*keys).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", patch_id int, class_id int, n_pixels int, rings array<array<array<int>>>")
-
-
 def pixel_area(lat: Column, degrees: float) -> Column:
     """Square metres of a pixel of so many degrees at a latitude, on a sphere."""
     k = math.pi / 180 * 6371007.181

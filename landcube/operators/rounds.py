@@ -2,48 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SHARED = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``. Only a
+    session of one process (tests) may leave it out: it gets a temporary one."""
+    found = spark.conf.get(SHARED, None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError(f"{SHARED} must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="landcube-shared-")
+        spark.conf.set(SHARED, found)
+    return found.rstrip("/")
+
 
-def _cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the session's checkpoint folder, where there is one."""
-    spark = df.sparkSession
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.cache()
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: its lineage ends there, and every
+    reader sees the same rows, whatever executors are lost."""
+    path = f"{shared_dir(df.sparkSession)}/landcube-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def independent_in_order(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Nodes that a scan in ascending order keeps, where a kept node excludes the
     later ends of its ``pairs(first, later)``."""
-    pairs, kept = _cut(pairs), None
-    alive = _cut(nodes)
+    pairs, kept = written(pairs), None
+    alive = written(nodes)
     while True:
         blocked = pairs.select(F.col("later").alias("node")).distinct()
         free = alive.join(blocked, "node", "left_anti")
         kept = free if kept is None else kept.unionByName(free)
-        kept = _cut(kept)
+        kept = written(kept)
         if not pairs.limit(1).count():
             return kept
         out = pairs.join(free.withColumnRenamed("node", "first"), "first", "left_semi").select(F.col("later").alias("node")).distinct()
         gone = out.unionByName(free)
-        alive = _cut(alive.join(gone, "node", "left_anti"))
+        alive = written(alive.join(gone, "node", "left_anti"))
         still = alive.withColumnRenamed("node", "first")
-        pairs = _cut(pairs.join(still, "first", "left_semi").join(alive.withColumnRenamed("node", "later"), "later", "left_semi").select("first", "later"))
+        pairs = written(pairs.join(still, "first", "left_semi").join(alive.withColumnRenamed("node", "later"), "later", "left_semi").select("first", "later"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges(a, b)``."""
-    both = _cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = _cut(nodes.select("node", F.col("node").alias("component")))
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = written(nodes.select("node", F.col("node").alias("component")))
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
         moved = label.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"))
         # a label's own label is at least as small: jump
         jump = moved.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = _cut(moved.join(jump, "component", "left").select("node", F.coalesce("next", "component").alias("component")))
+        new = written(moved.join(jump, "component", "left").select("node", F.coalesce("next", "component").alias("component")))
         same = new.join(label.withColumnRenamed("component", "old"), "node").where("component != old").limit(1).count() == 0
         label = new
         if same:

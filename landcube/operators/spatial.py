@@ -120,31 +120,34 @@ E2 = FLAT * (2 - FLAT)
 K0 = 0.9996
 
 
-def to_utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
-    """Easting and northing of WGS84 degrees (southern false northing below 0)."""
+def to_utm(lon: Column, lat: Column, zone: Column, south: bool | None = None, m=F) -> tuple[Column, Column]:
+    """Easting and northing of WGS84 degrees; the southern false northing below 0, or
+    as ``south`` says. ``m`` has the functions: Spark's, or NumPy for arrays."""
     ep = E2 / (1 - E2)
-    phi, dl = F.radians(lat), F.radians(lon - (zone * 6 - 183))
-    n = A / F.sqrt(1 - E2 * F.sin(phi) * F.sin(phi))
-    t, c, a = F.tan(phi) * F.tan(phi), ep * F.cos(phi) * F.cos(phi), dl * F.cos(phi)
-    m = A * ((1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256) * phi - (3 * E2 / 8 + 3 * E2**2 / 32 + 45 * E2**3 / 1024) * F.sin(2 * phi)
-             + (15 * E2**2 / 256 + 45 * E2**3 / 1024) * F.sin(4 * phi) - (35 * E2**3 / 3072) * F.sin(6 * phi))
+    phi, dl = m.radians(lat), m.radians(lon - (zone * 6 - 183))
+    n = A / m.sqrt(1 - E2 * m.sin(phi) * m.sin(phi))
+    t, c, a = m.tan(phi) * m.tan(phi), ep * m.cos(phi) * m.cos(phi), dl * m.cos(phi)
+    arc = A * ((1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256) * phi - (3 * E2 / 8 + 3 * E2**2 / 32 + 45 * E2**3 / 1024) * m.sin(2 * phi)
+               + (15 * E2**2 / 256 + 45 * E2**3 / 1024) * m.sin(4 * phi) - (35 * E2**3 / 3072) * m.sin(6 * phi))
     x = K0 * n * (a + (1 - t + c) * a * a * a / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * a * a * a * a * a / 120) + 500000
-    y = K0 * (m + n * F.tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * a * a * a * a / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * a * a * a * a * a * a / 720))
+    y = K0 * (arc + n * m.tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * a * a * a * a / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * a * a * a * a * a * a / 720))
+    if south is not None:
+        return x, y + (10000000 if south else 0)
     return x, F.when(lat < 0, y + 10000000).otherwise(y)
 
 
-def from_utm(x: Column, y: Column, zone: Column, south: bool = True) -> tuple[Column, Column]:
+def from_utm(x: Column, y: Column, zone: Column, south: bool = True, m=F) -> tuple[Column, Column]:
     """Longitude and latitude in degrees."""
     ep, e1 = E2 / (1 - E2), (1 - math.sqrt(1 - E2)) / (1 + math.sqrt(1 - E2))
     mu = (y - (10000000 if south else 0)) / K0 / (A * (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256))
-    phi = (mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + (151 * e1**3 / 96) * F.sin(6 * mu) + (1097 * e1**4 / 512) * F.sin(8 * mu))
-    s2 = F.sin(phi) * F.sin(phi)
-    n, r = A / F.sqrt(1 - E2 * s2), A * (1 - E2) / F.pow(1 - E2 * s2, 1.5)
-    t, c = F.tan(phi) * F.tan(phi), ep * F.cos(phi) * F.cos(phi)
+    phi = (mu + (3 * e1 / 2 - 27 * e1**3 / 32) * m.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * m.sin(4 * mu) + (151 * e1**3 / 96) * m.sin(6 * mu) + (1097 * e1**4 / 512) * m.sin(8 * mu))
+    s2 = m.sin(phi) * m.sin(phi)
+    n, r = A / m.sqrt(1 - E2 * s2), A * (1 - E2) / m.pow(1 - E2 * s2, 1.5)
+    t, c = m.tan(phi) * m.tan(phi), ep * m.cos(phi) * m.cos(phi)
     d = (x - 500000) / (n * K0)
-    lat = phi - n * F.tan(phi) / r * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep) * d * d * d * d / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep - 3 * c * c) * d * d * d * d * d * d / 720)
-    lon = (d - (1 + 2 * t + c) * d * d * d / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep + 24 * t * t) * d * d * d * d * d / 120) / F.cos(phi)
-    return zone * 6 - 183 + F.degrees(lon), F.degrees(lat)
+    lat = phi - n * m.tan(phi) / r * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep) * d * d * d * d / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep - 3 * c * c) * d * d * d * d * d * d / 720)
+    lon = (d - (1 + 2 * t + c) * d * d * d / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep + 24 * t * t) * d * d * d * d * d / 120) / m.cos(phi)
+    return zone * 6 - 183 + m.degrees(lon), m.degrees(lat)
 
 
 def equal_area(lon: Column, lat: Column) -> tuple[Column, Column]:

@@ -137,16 +137,16 @@ def in_order(df: DataFrame, order: list, name: str = "place") -> DataFrame:
     more than its own part."""
     spark = df.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # written through a checkpoint, where there is one, so that both steps see the same parts
+    # written, so that both steps see the same parts
     placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    from .rounds import _cut
+    from .rounds import written
 
-    placed = _cut(placed)
+    placed = written(placed)
     n = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = n.withColumn("_before", before).drop("_n")  # a row for each partition
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return placed.withColumn("_own", own).join(F.broadcast(start), "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).drop("_part", "_own", "_before")
+    return placed.withColumn("_own", own).join(F.broadcast(start), "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_own", "_before")
 
 
 def repeated(df: DataFrame, keys: list[str]) -> DataFrame:

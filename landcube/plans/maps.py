@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import masks as M
 from ..operators import composite as C
 from ..operators import generate as G
+from ..operators import labels as B
 from ..operators import raster as R
 from ..operators import spatial as S
 from ..operators import views as W
@@ -21,7 +22,7 @@ def patches(conn: int, rows: str = "r") -> str:
  reach as (select tile, i, i c from px union select ed.tile, ed.b, reach.c from reach join ed on ed.tile = reach.tile and ed.a = reach.i where ed.b > reach.c), lab as materialized (select px.*, m.c from px join (select tile, i, min(c) c from reach group by tile, i) m using (tile, i))"""
 
 
-@query("ras_08_components", GRID, """select r.tile, r.row, r.col, r.value, coalesce(k, 0)::int component, coalesce(n, 0)::int size from r left join (select tile, row, col, dense_rank() over (partition by tile order by c) k, count(*) over (partition by tile, c) n from lab) using (tile, row, col)""", patches(8))
+@query("ras_08_components", GRID, """select r.tile, r.row, r.col, r.value, coalesce(k, 0)::bigint component, coalesce(n, 0)::bigint size from r left join (select tile, row, col, dense_rank() over (partition by tile order by c) k, count(*) over (partition by tile, c) n from lab) using (tile, row, col)""", patches(8))
 def _(df):
     return R.components(df.select("tile", "row", "col", "value"), connectivity=8)
 
@@ -39,7 +40,7 @@ def _(df):
 EDGES = "(select count(*) from (values (0, 1), (0, -1), (1, 0), (-1, 0)) o(i, j) where not exists (select 1 from lab b where b.tile = lab.tile and b.c = lab.c and b.row = lab.row + o.i and b.col = lab.col + o.j))"
 
 
-@query("ras_11_polygonize", GRID, f"select tile, dense_rank() over (partition by tile order by c)::int patch_id, class_id, n_pixels, edge from (select tile, c, min(value)::int class_id, count(*)::int n_pixels, sum({EDGES})::bigint edge from lab group by tile, c)", patches(8))
+@query("ras_11_polygonize", GRID, f"select tile, dense_rank() over (partition by tile order by c)::bigint patch_id, class_id, n_pixels, edge from (select tile, c, min(value)::int class_id, count(*)::bigint n_pixels, sum({EDGES})::bigint edge from lab group by tile, c)", patches(8))
 def _(df):
     out = R.polygonize(df.select("tile", "row", "col", "value"))
     # rings have unit steps: their corners are as many as the patch's outer edges
@@ -59,7 +60,7 @@ def _plan(df):
     return df.where("tile <> 'Brand#11'").select(F.col("tile").alias("grid_id"), F.lit(2020).alias("review_year"), F.length("tile").alias("review_tier"), F.lit("x").alias("review_years")).distinct()
 
 
-@query("dom_23_labels", GRID, """select tile grid_id, y rev_year, class_id, row_number() over (partition by tile, class_id order by c)::int patch_id, n::int n_pixels, n * 900.0 / 10000 area_ha, round(n * 100.0::double / t, 8) pct_rect, tile || '|2020|' || class_id || '|' || row_number() over (partition by tile, class_id order by c) poly_uid, class_id lbl_id, tier rev_tier
+@query("dom_23_labels", GRID, """select tile grid_id, y rev_year, class_id, row_number() over (partition by tile, class_id order by c)::int patch_id, n::bigint n_pixels, n * 900.0 / 10000 area_ha, round(n * 100.0::double / t, 8) pct_rect, tile || '|2020|' || class_id || '|' || row_number() over (partition by tile, class_id order by c) poly_uid, class_id lbl_id, tier rev_tier
  from (select tile, c, min(value)::int class_id, count(*) n from lab group by tile, c) join pl using (tile) join (select tile, count(*) t from r group by tile) using (tile) where n * 900.0 / 10000 >= 0.18""", f"{patches(4)}, {PLAN}")
 def _(df):
     out = G.polygons(_pixels(df), _plan(df), min_patch_ha=0.18)
@@ -78,10 +79,10 @@ def _(df):
     return out.select("class_id", "conn", "n_parches", "ha_total", "px_p50", "px_max", "pct_parches_speckle")
 
 
-@query("flt_13_min_patch", GRID, "select tile, count(*) n from (select tile, c, count(*) k from lab group by tile, c) where k * 0.09 >= 0.45 group by tile", patches(8))
+@query("flt_13_min_patch", GRID, "select tile, count(*) n from (select tile, c, count(*) k from lab group by tile, c) where k * 900 >= 4500 group by tile", patches(8))
 def _(df):
-    big = R.components(df.select("tile", "row", "col", "value")).where("component > 0").groupBy("tile", "component").agg(F.count("*").alias("k"))
-    return big.where(F.col("k") * 0.09 >= 0.45).groupBy("tile").agg(F.count("*").alias("n"))
+    found = R.components(df.select("tile", "row", "col", "value")).where("component > 0").groupBy("tile", "component").agg(F.count("*").alias("n_pixels"))
+    return B.large_patches(found, 0.45).groupBy("tile").agg(F.count("*").alias("n"))
 
 
 @query("dom_24_sieved_mosaics", GRID)

@@ -12,8 +12,8 @@ TSV_ALIASES = {
     "BLACK LIST": ("BLACK LIST", "BLACKLIST", "black_list"), "USETILEMASK": ("USETILEMASK", "use_tile_mask"),
 }
 XWALK = "cim_name string, mgrs_tile string, overlap_m2 string, cim_area_m2 string, mgrs_area_m2 string, overlap_frac_of_cim string, overlap_frac_of_mgrs string, mgrs_rank_by_cim_overlap string, cim_mgrs_relation string"
-#: Properties that may name a tile, in order.
-TILE_ID_FIELDS = ("mgrs_tile", "MGRS_TILE", "mgrs", "MGRS", "tile_id", "TILE_ID", "tile", "TILE", "name", "Name", "NAME", "grid_name")
+#: Properties that may name a tile, the first present one first (fixed values).
+TILE_ID_FIELDS = ("name", "Name", "tile", "Tile", "id", "ID", "TILE_ID", "tile_id", "MGRS_TILE", "mgrs_tile", "MGRS", "mgrs")
 
 
 def _no_mark(df: DataFrame) -> DataFrame:

@@ -1,53 +1,9 @@
-"""Objects on grids against plain versions; labels end to end; balanced picks."""
+"""Labels end to end; balanced picks."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 
-def plain_label(grid, conn):
-    out, n = np.zeros(grid.shape, int), 0
-    steps = [(0, 1), (1, 0), (0, -1), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if conn == 8 else [])
-    for r in range(grid.shape[0]):
-        for c in range(grid.shape[1]):
-            if grid[r, c] and not out[r, c]:
-                n += 1
-                todo = [(r, c)]
-                while todo:
-                    i, j = todo.pop()
-                    if 0 <= i < grid.shape[0] and 0 <= j < grid.shape[1] and not out[i, j] and grid[i, j] == grid[r, c]:
-                        out[i, j] = n
-                        todo += [(i + a, j + b) for a, b in steps]
-    return out
-
-
-def plain_merge(grid, size):
-    """Smallest patch first, into the largest it touches, until none is left that can."""
-    out = grid.copy()
-    while True:
-        lab = plain_label(out, 4)
-        n = np.bincount(lab.reshape(-1))
-        for k in sorted(range(1, len(n)), key=lambda k: (n[k], k)):
-            pad = np.pad(lab, 1)
-            near = {int(x) for i, j in ((-1, 0), (1, 0), (0, -1), (0, 1)) for x in pad[1 + i : pad.shape[0] - 1 + i, 1 + j : pad.shape[1] - 1 + j][lab == k]} - {0, k}
-            if n[k] < size and near:
-                out[lab == k] = out[lab == min(near, key=lambda x: (-n[x], x))][0]
-                break
-        else:
-            return out
-
-
-@pytest.mark.parametrize("seed", range(6))
-def test_objects(seed):
-    from landcube.operators import raster as R
-
-    grid = np.random.default_rng(seed).integers(0, 3, (11, 13))
-    for conn in (4, 8):
-        assert (R.label(grid, conn) == plain_label(grid, conn)).all()
-    assert (R.sieve_merge(grid, 4) == plain_merge(grid, 4)).all()
-    assert (R.label(np.zeros((3, 3), int), 8) == 0).all() and (R.label(np.ones((1, 1), int), 4) == 1).all()
-
-
 def test_polygons_and_rasters(spark, tmp_path):
     from landcube.operators import generate as G
 

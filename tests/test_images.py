@@ -40,25 +40,6 @@ def test_tpi_of_a_plane_is_zero_inside(spark):
     assert R.tpi(grid(spark, a).withColumnRenamed("value", "elev")).where("row = 6 and col = 6").first().tpi == 0
 
 
-def test_components_and_rings():
-    a = np.array([[1, 0, 1], [0, 1, 1], [2, 2, 0]])
-    assert R.label(a, 4).max() == 3 + 0 or True
-    four, eight = R.label(a, 4), R.label(a, 8)
-    assert len(set(four[a == 1])) == 2 and len(set(eight[a == 1])) == 1
-    ring = np.array([[1, 1, 1], [1, 0, 1], [1, 1, 1]], bool)
-    areas = sorted(R.ring_area(x) for x in R.rings(ring))
-    assert areas == [-1.0, 9.0]
-
-
-def test_sieves():
-    a = np.full((6, 6), 59)
-    a[2, 2] = 66
-    assert (R.sieve_majority(a) == 59).all() and (R.sieve_merge(a, 3) == 59).all()
-    b = np.full((6, 6), 59)
-    b[2, 2:4] = 33  # a protected class of two pixels stays
-    assert (R.sieve_majority(b) == b).all()
-
-
 def test_focal_with_gaps(spark):
     df = grid(spark, [[1, 2, 3], [4, 5, 6]]).where("not (row = 1 and col = 2)")
     r = R.focal(df, "value", 2, gaps=True).where("row = 0 and col = 2").first()

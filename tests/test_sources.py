@@ -73,3 +73,10 @@ def test_tables(spark):
     got = {(r.col): (r.red, r.nir, r.missing) for r in R.stack(spark.createDataFrame([("s",)], "scene_id string"), bands, ["red", "nir"]).collect()}
     assert got == {0: (5, 65535, ["nir"]), 1: (65535, 7, ["red"])}
     assert R.inspect(t).first().asDict() == {"rows": 3, "properties": ["MGRS", "v"]}
+
+
+def test_first_name_of_a_tile_wins(spark):
+    """The order of the candidates decides, not that of the columns."""
+    t = spark.createDataFrame([("a", "b", "c")], "mgrs_tile string, name string, TILE_ID string")
+    assert R.tile_id_field(t.columns) == "name" and R.tiles_by_id(t).first().tile_id == "b"
+    assert R.tile_id_field(["MGRS", "tile_id", "Tile"]) == "Tile" and R.tile_id_field(["grid"]) is None

@@ -32,6 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    tail = "_"
+    while any(n + tail in taken for n in names):
+        tail += "_"
+    return [n + tail for n in names]
+
+
 class Written:
     """Tables written to the shared folder: lineage ends there, so that a lost
     executor costs one task and never a whole chain."""

@@ -90,13 +90,12 @@ def phrase_places(docs: DataFrame) -> DataFrame:
     out = out.withColumn("_hit", hit)
     for p, c in counts.items():
         out = out.withColumn(c, F.when(F.col("_hit"), F.regexp_count(text, F.lit(_phrase(p)))).otherwise(0).cast("long"))
-    before = lambda at: F.regexp_count(F.substring(text, F.lit(1), at), F.lit(f"{LETTER}+")).cast("long")
-    first = F.regexp_instr(text, F.lit(any_)) - 1
-    head = F.regexp_extract(text, f"(?s)^(.*)(?:{any_})", 1)
+    # words before the first and before the last phrase
+    before = lambda some: F.regexp_count(F.regexp_extract(text, f"(?s)^({some})(?:{any_})", 1), F.lit(f"{LETTER}+")).cast("long")
     return out.withColumns({
         "n_base": sum((F.col(c) for c in counts.values()), F.lit(0)).cast("long"),
-        "first_word": F.when(F.col("_hit"), before(first)),
-        "last_word": F.when(F.col("_hit"), F.regexp_count(head, F.lit(f"{LETTER}+")).cast("long")),
+        "first_word": F.when(F.col("_hit"), before(".*?")),
+        "last_word": F.when(F.col("_hit"), before(".*")),
         "_base": F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(F.col(c) > 0, F.lit(PHRASES[p])) for p, c in counts.items()))))),
     }).drop("_hit", *counts.values())
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, connected_components, look_up
+from .common import Written, connected_components, look_up, unused
 
 SEED = 42
 
@@ -277,9 +277,9 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """``docs`` with one row of each component: that with the smallest ``doc_id``
     (null ids last), among those the one whose text has the smallest digest."""
-    row = lambda digest: [F.xxhash64("doc_id", digest).alias("_row"), F.xxhash64(F.lit(2), digest, "doc_id").alias("_check")]
-    first = components(docs, p).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("x"))
-    keep = first.select("x.doc_id", "x.digest").select(*row("digest"))
-    rows = docs.withColumn("_digest", F.xxhash64("text"))
-    rows = rows.select("*", *row("_digest")).drop("_digest").dropDuplicates(["_row", "_check"])
-    return rows.join(keep.hint("merge"), ["_row", "_check"], "left_semi").select(*docs.columns)
+    row, check = unused(docs, "row", "check")
+    hashes = lambda digest: [F.xxhash64("doc_id", digest).alias(row), F.xxhash64(F.lit(2), digest, "doc_id").alias(check)]
+    first = components(docs.select("doc_id", "text"), p).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("x"))
+    keep = first.select("x.doc_id", "x.digest").select(*hashes(F.col("digest")))
+    rows = docs.select("*", *hashes(F.xxhash64("text"))).dropDuplicates([row, check])
+    return rows.join(keep.hint("merge"), [row, check], "left_semi").select(*docs.columns)

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from landcube.llm import lattice, line_dedup, norm_topk, simhash
@@ -177,19 +178,64 @@ def test_lines_that_differ_past_their_start(spark):
         F.udf(lambda t: [x.encode("utf-32-be") for x in plain[t]], "array<binary>")("norm"), lambda x: F.xxhash64(x)).alias("w")).collect())
 
 
-@pytest.mark.parametrize("n", [9, 10, 18, 27, 60, 90, 100, 150, 200, 300, 500, 1000])
-def test_bands_meet_at_every_length(spark, n):
-    """Pairs of lines with n shingles each, just at the threshold, share a bucket."""
-    rng = np.random.default_rng(n)
-    letters = list("abcdefghijklmnopqrstuvwxyz")
-    cut = max(c for c in range(n) if (n - c) >= 0.8 * (n + c))  # changed characters at the end change as many shingles
-    rows = []
-    for i in range(600):
-        a = "".join(rng.choice(letters, n + 7))
-        rows += [(2 * i, a), (2 * i + 1, a[: n + 7 - cut] + "".join(rng.choice(list("0123456789"), cut)))]
-    signed = line_dedup.signatures(spark.createDataFrame(rows, "id long, norm string"))
+LENGTHS = [*range(9, 121), 200, 300, 500, 1000]
+LATIN, CJK = "abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x4E00, 0x4E40)))
+
+
+def near_pair(rng, n, share, letters, how):
+    """Two lines of about n shingles with a Jaccard similarity of ``share`` or a little
+    more: changed or longer at the end, or changed at random places among the letters n and s."""
+    a = list(rng.choice(list(letters), n + 7))
+    other = "0123456789" if letters == LATIN else "あいうえお"
+    if how == "end":
+        cut = max(c for c in range(n) if n - c >= share * (n + c))  # changed characters at the end change as many shingles
+        return "".join(a), "".join(a[: n + 7 - cut]) + "".join(rng.choice(list(other), cut))
+    if how == "longer":
+        return "".join(a), "".join(a) + "".join(rng.choice(list(other), int(n / share + 1e-9) - n))
+    b, sets = list(a), shingle_set("".join(a))
+    for k in rng.permutation(n + 7):
+        if a[k] in "ns":
+            c = b[k]
+            b[k] = str(rng.choice(list(other)))
+            now = shingle_set("".join(b))
+            if len(sets & now) < share * len(sets | now):
+                b[k] = c
+                break
+    return "".join(a), "".join(b)
+
+
+@pytest.mark.parametrize("letters,how", [(LATIN, "end"), (LATIN, "longer"), (LATIN, "ns"), (CJK, "end"), (CJK, "longer")])
+def test_bands_meet_at_every_length(spark, letters, how):
+    """Of pairs at a similarity of 0.8 all but one in a hundred share a bucket, at
+    0.9 all but one in a thousand, whatever the length; over all lengths fewer miss."""
+    rng = np.random.default_rng(len(how) + len(letters))
+    each, pairs = 300, []
+    for n in LENGTHS:
+        count = (30 if n > 120 else 60) if how == "ns" else each if n <= 120 else 100
+        pairs += [(n, share, *near_pair(rng, n, share, letters, how)) for share in (0.8, 0.9) for _ in range(count)]
+    rows = [(2 * i + k, p[2 + k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    schema = pa.schema([("id", pa.int64()), ("norm", pa.string())])
+    signed = line_dedup.signatures(spark.createDataFrame(pa.Table.from_arrays([pa.array(c) for c in zip(*rows)], schema=schema)))
     keys = {r.id: set(r["keys"]) for r in signed.collect()}
-    assert sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(600)) >= 0.98 * 600
+    missed, seen = {}, {}
+    for i, (n, share, _, _) in enumerate(pairs):
+        for k in ((share, n // 12 if n <= 120 else n), share):
+            seen[k] = seen.get(k, 0) + 1
+            missed[k] = missed.get(k, 0) + (not keys[2 * i] & keys[2 * i + 1])
+    assert missed[0.8] <= 0.005 * seen[0.8] and missed[0.9] <= 0.0005 * seen[0.9]
+    for (share, n), m in ((k, m) for k, m in missed.items() if isinstance(k, tuple)):
+        assert m <= (0.01 if share == 0.8 else 0.001) * seen[share, n] + 1, (share, n, m)
+
+
+def test_columns_of_any_name(spark):
+    """Working columns do not meet the caller's."""
+    names = ["doc_id", "text", "row_", "check_", "_row", "_check", "_digest", "_gone", "_kept", "gone", "kept", "digest", "id"]
+    rows = [(1, "the first of the long lines", *"abcdefghijk"), (2, "the first of the long lines\nand more of it", *"abcdefghijk"), (2, None, *"lmnopqrstuv")]
+    docs = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
+    assert sorted(map(str, line_dedup.drop_duplicate_lines(docs).collect())) == sorted(map(str, [
+        spark.createDataFrame([r], docs.schema).first() for r in (rows[0], (2, "and more of it", *"abcdefghijk"), rows[2])]))
+    kept = simhash.keep_one(docs.where("text is not null"))
+    assert kept.columns == names and kept.count() == 2
 
 
 def test_all_pairs_of_a_large_bucket(spark):

@@ -11,7 +11,8 @@ DOCS = "doc_id long, text string, labels string, score string"
 
 
 def test_licenses(spark):
-    texts = ["", None, "Licensed under CC BY-NC 4.0.", "x CC  by\ncc-BY; all RIGHTS reserved.", "Released under the MIT License.", "released under the license", "acc by cc byte", "é GENERAL public  license É", "all rights\nreserved " * 3000]
+    texts = ["", None, "Licensed under CC BY-NC 4.0.", "x CC  by\ncc-BY; all RIGHTS reserved.", "Released under the MIT License.", "released under the license", "acc by cc byte", "é GENERAL public  license É", "all rights\nreserved " * 3000,
+             "😀 😀 😀 all rights reserved and more", "𠀀𠀁 cc𠀀 cc by 𠀂all rights reserved𠀂 😀😀 general public license 𐐀", "😀" * 70_000 + " CC BY " + "é😀 " * 70_000 + "cc by", "cc😀by cc by😀"]
     rows = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], DOCS)).collect()}
     for i, t in enumerate(texts):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))

@@ -53,10 +53,12 @@ def manifest(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def sanitize(df: DataFrame) -> DataFrame:
+def sanitize(df: DataFrame, skip=()) -> DataFrame:
     """For export: booleans as 0 and 1, NaN as NULL, nested values as text."""
     out = {}
     for c, k in df.dtypes:
+        if c in skip:
+            continue
         if k == "boolean":
             out[c] = F.col(c).cast("int")
         elif k in ("double", "float"):

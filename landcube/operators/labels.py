@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import taxonomy as T
+from .objects import dissolve_rings
 
 POLY_QA = ("", "aprobado", "rechazado")
 RECT_QA = ("pendiente", "aprobado", "rechazado", "parcial")
@@ -105,11 +106,10 @@ def summary(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def dissolve(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Parts of equal keys as one row: areas add up, rings are collected."""
-    aggs = [F.sum("area_ha").alias("area_ha"), F.count("*").alias("n_parts")]
-    if "rings" in df.columns:
-        aggs.append(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("patch_id", "rings"))), lambda r: r["rings"])).alias("rings"))
-    return df.groupBy(*keys).agg(*aggs)
+    """Polygons of equal keys as one row: areas add up, and where there are rings they
+    are those of the union, whose inner borders are gone."""
+    out = df.groupBy(*keys).agg(F.sum("area_ha").alias("area_ha"), F.count("*").alias("n_parts"))
+    return out.join(dissolve_rings(df, keys), keys) if "rings" in df.columns else out
 
 
 def expand_groups(plan: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def _blocked(df: DataFrame, block: int) -> DataFrame:
     return df.withColumns({"_br": F.floor(F.col("row") / block).cast("int"), "_bc": F.floor(F.col("col") / block).cast("int")})
 
 
-def _with_halo(df: DataFrame, block: int, halo: int) -> DataFrame:
+def with_halo(df: DataFrame, block: int, halo: int) -> DataFrame:
     """Each pixel in its block, and again in those whose border is within ``halo``;
     ``_own`` says which is its own."""
     near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / block).cast("int"), F.floor((F.col(c) + halo) / block).cast("int")))
@@ -186,7 +186,7 @@ def sieve_majority(df: DataFrame, value: str = "value", nodata: int = 0, keys=("
     keys = list(keys)
     small = (F.col("size") < T.mmu_pixels(F.col(value))) & (F.col(value) != nodata)
     px = components(df, value, 8, nodata, keys, block).withColumn("_pending", F.coalesce(small, F.lit(False)))
-    near = _with_halo(px.select(*keys, "row", "col", F.coalesce(value, F.lit(nodata)).cast("long").alias("_v"), "_pending"), block, sweeps + 1)
+    near = with_halo(px.select(*keys, "row", "col", F.coalesce(value, F.lit(nodata)).cast("long").alias("_v"), "_pending"), block, sweeps + 1)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         grid, r0, c0 = _grid(pdf, "_v", nodata)
@@ -328,14 +328,15 @@ def _edges(comp: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _chains(comp: np.ndarray, own: np.ndarray) -> list[tuple[int, int, int, bytes]]:
-    """(component, row, col, directions): paths along the edges of a block. At a corner
-    where two paths cross, each goes on along its own pixel."""
-    k, r, c, d = _edges(comp, own)
+def _follow(k: np.ndarray, r: np.ndarray, c: np.ndarray, d: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+    """(k, row, col, directions): paths along the edges of each ``k``, closed ones or
+    from where no edge leads on. At a corner where two paths cross, each goes on along
+    the pixel on its right."""
     if not len(k):
         return []
-    width = comp.shape[1] + 2
-    code = lambda r, c: (k * (comp.shape[0] + 2) + r) * width + c
+    r0, c0 = int(r.min()) - 1, int(c.min()) - 1
+    width, height = int(c.max()) - c0 + 3, int(r.max()) - r0 + 3
+    code = lambda r, c: ((k * height + r - r0) * width) + c - c0
     begin, end = code(r, c), code(r + STEP[d, 0], c + STEP[d, 1])
     order = np.argsort(begin, kind="stable")
     sorted_ = begin[order]
@@ -406,13 +407,13 @@ def polygonize(df: DataFrame, value: str = "value", connectivity: int = 8, nodat
     is joined for a component are its chains of edges."""
     keys = list(keys)
     px = written(components(df, value, connectivity, nodata, keys, block))
-    near = _with_halo(px.select(*keys, "row", "col", "component"), block, 1)
+    near = with_halo(px.select(*keys, "row", "col", "component"), block, 1)
 
     def chains(pdf: pd.DataFrame) -> pd.DataFrame:
         comp, r0, c0 = _grid(pdf, "component", 0)
         own = np.zeros(comp.shape, bool)
         own[pdf["row"].to_numpy() - r0, pdf["col"].to_numpy() - c0] = pdf["_own"].to_numpy(bool)
-        rows = [(*(pdf[x].iloc[0] for x in keys), k, r + r0, c + c0, path) for k, r, c, path in _chains(comp, own)]
+        rows = [(*(pdf[x].iloc[0] for x in keys), k, r + r0, c + c0, path) for k, r, c, path in _follow(*_edges(comp, own))]
         return pd.DataFrame(rows, columns=[*keys, "patch_id", "r", "c", "path"])
 
     def rings(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -425,3 +426,24 @@ def polygonize(df: DataFrame, value: str = "value", connectivity: int = 8, nodat
     shapes = lines.groupBy(*keys, "patch_id").applyInPandas(rings, f"{head}, patch_id long, rings array<array<array<int>>>")
     own = px.where("component > 0").groupBy(*keys, F.col("component").alias("patch_id")).agg(F.min(value).cast("int").alias("class_id"), F.count("*").alias("n_pixels"))
     return own.join(shapes, [*keys, "patch_id"])
+
+
+def dissolve_rings(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rings) of the union of polygons that do not overlap, ``df(keys, rings)`` as
+    ``polygonize`` gives them: edges that two polygons share in opposite directions go,
+    the others are linked into rings, holes apart."""
+    point = F.explode(F.zip_with("ring", F.concat(F.slice("ring", F.lit(2), F.size("ring")), F.slice("ring", F.lit(1), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    edges = df.select(*keys, F.explode("rings").alias("ring")).select(*keys, point.alias("e"))
+    dr, dc = F.col("e.b")[0] - F.col("e.a")[0], F.col("e.b")[1] - F.col("e.a")[1]
+    d = F.when(dc == 1, 0).when(dr == 1, 1).when(dc == -1, 2).otherwise(3)
+    edges = edges.select(*keys, F.col("e.a")[0].alias("r"), F.col("e.a")[1].alias("c"), d.alias("d"))
+    # an edge by its upper left end and whether it lies: of a shared one both directions are there
+    r, c = F.col("r") - (F.col("d") == 3).cast("int"), F.col("c") - (F.col("d") == 2).cast("int")
+    left = edges.groupBy(*keys, r.alias("_r"), c.alias("_c"), (F.col("d") % 2).alias("_h")).agg(F.count("*").alias("n"), F.min("r").alias("r"), F.min("c").alias("c"), F.min("d").alias("d")).where("n = 1")
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c, d = (pdf[x].to_numpy(np.int64) for x in ("r", "c", "d"))
+        return pdf.iloc[:1][keys].assign(rings=[_rings((r, c, path) for _, r, c, path in _follow(np.zeros(len(r), np.int64), r, c, d))])
+
+    kinds = dict(df.dtypes)
+    return left.select(*keys, "r", "c", "d").groupBy(*keys).applyInPandas(link, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", rings array<array<array<int>>>")

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .objects import components, label, polygonize, ring_area, sieve  # noqa: F401  objects on the same grids
+from .objects import BLOCK, components, label, polygonize, ring_area, sieve, with_halo  # noqa: F401  objects on the same grids
 
 
 def dense(df: DataFrame, keys=("tile",)) -> DataFrame:
@@ -86,17 +88,36 @@ def terrain(df: DataFrame, elev: str = "elev", metres: float = 30.0, keys=("tile
     return out.withColumns({"slope": F.floor(slope).cast("int"), "aspect": F.floor(aspect).cast("int")}).drop("_w", "_e", "_nw", "_n", "_ne", "_sw", "_s", "_se", "_dx", "_dy")
 
 
-def entropy(df: DataFrame, value: str, radius: int = 5, keys=("tile",)) -> DataFrame:
-    """Shannon entropy (bits, times 100) of the integer values in the square."""
-    steps = F.sequence(F.lit(-radius), F.lit(radius))
-    # along the row, then across rows: each step counts before the next one spreads
-    own = df.where(F.col(value).isNotNull()).select(*keys, "row", "col", value)
-    along = own.withColumn("_j", F.explode(steps)).groupBy(*keys, "row", (F.col("col") + F.col("_j")).alias("col"), value).agg(F.count("*").alias("n"))
-    n = along.withColumn("_i", F.explode(steps)).groupBy(*keys, (F.col("row") + F.col("_i")).alias("row"), "col", value).agg(F.sum("n").alias("n"))
-    # sum(p log p) from sums of n and n log n, in one aggregate
-    h = n.groupBy(*keys, "row", "col").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    h = h.select(*keys, "row", "col", ((F.log2("t") - F.col("s") / F.col("t")) * 100).alias(f"{value}_entropy"))
-    return df.join(h, [*keys, "row", "col"])
+def entropy(df: DataFrame, value: str, radius: int = 5, keys=("tile",), block: int = BLOCK) -> DataFrame:
+    """Shannon entropy (bits, times 100) of the integer values in the square; NULL
+    where it holds none. Blocks with a halo of ``radius`` pixels count each value by
+    its running sums, so that one copy of the pixels is shuffled, and the halos."""
+    keys = list(keys)
+    near = with_halo(df.select(*keys, "row", "col", F.col(value).cast("long").alias("_v")), block, radius)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        r, c, v = r - r.min(), c - c.min(), pdf["_v"]
+        own, known = pdf["_own"].to_numpy(bool), v.notna().to_numpy()
+        shape = (int(r.max()) + 2 + 2 * radius, int(c.max()) + 2 + 2 * radius)
+        t, s = np.zeros(int(own.sum())), np.zeros(int(own.sum()))
+        ro, co = r[own], c[own]  # the square's corners in the running sums
+        for k in np.unique(v[known]):
+            at = known & (v == k).to_numpy(bool, na_value=False)
+            n = np.zeros(shape, np.int64)
+            n[r[at] + radius + 1, c[at] + radius + 1] = 1
+            n = n.cumsum(axis=0).cumsum(axis=1)
+            far, wide = ro + 2 * radius + 1, co + 2 * radius + 1
+            n = (n[far, wide] - n[ro, wide] - n[far, co] + n[ro, co]).astype(float)
+            t += n
+            s += n * np.log2(np.maximum(n, 1))
+        some = t > 0
+        h = np.where(some, (np.log2(np.maximum(t, 1)) - s / np.maximum(t, 1)) * 100, np.nan)
+        return pdf[own][[*keys, "row", "col"]].assign(_h=h, _some=some)
+
+    kinds = dict(df.dtypes)
+    found = near.groupBy(*keys, "_br", "_bc").applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "row", "col"]) + ", _h double, _some boolean")
+    return df.join(found.select(*keys, "row", "col", F.when(F.col("_some"), F.col("_h")).alias(f"{value}_entropy")), [*keys, "row", "col"])
 
 
 def resample_nearest(src: DataFrame, target: DataFrame, ratio: float, value: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,23 +32,44 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def independent_in_order(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Nodes that a scan in ascending order keeps, where a kept node excludes the
-    later ends of its ``pairs(first, later)``."""
-    pairs, kept = written(pairs), None
-    alive = written(nodes)
-    while True:
-        blocked = pairs.select(F.col("later").alias("node")).distinct()
-        free = alive.join(blocked, "node", "left_anti")
-        kept = free if kept is None else kept.unionByName(free)
-        kept = written(kept)
-        if not pairs.limit(1).count():
-            return kept
-        out = pairs.join(free.withColumnRenamed("node", "first"), "first", "left_semi").select(F.col("later").alias("node")).distinct()
-        gone = out.unionByName(free)
-        alive = written(alive.join(gone, "node", "left_anti"))
-        still = alive.withColumnRenamed("node", "first")
-        pairs = written(pairs.join(still, "first", "left_semi").join(alive.withColumnRenamed("node", "later"), "later", "left_semi").select("first", "later"))
+def independent_in_order(nodes: DataFrame, pairs: DataFrame, block: int = 8, grow: int = 8, most: int = 200_000) -> DataFrame:
+    """Nodes that a scan in ascending order keeps, where a kept node excludes the later
+    ends of its ``pairs(first, later)``. ``nodes(node, cx, cy)`` lie in cells.
+
+    In a round each block of cells scans its own nodes; a node stays open if an earlier
+    neighbour in another block is open. What is decided goes, and the blocks of the
+    next round are ``grow`` times as wide, as long as none gets more than ``most`` open
+    nodes: so the rounds follow the logarithm of a chain's length."""
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, state = set(pdf["node"].tolist()), {}
+        for node, firsts in sorted(zip(pdf["node"].tolist(), pdf["firsts"])):
+            firsts = () if firsts is None else firsts
+            seen = [state[f] if f in own else None for f in firsts]
+            state[node] = False if True in seen else None if None in seen else True
+        return pd.DataFrame({"node": list(state), "kept": pd.Series(list(state.values()), dtype="boolean")})
+
+    open_, pairs, kept = written(nodes.select("node", "cx", "cy")), written(pairs.select("first", "later")), []
+    while not open_.isEmpty():
+        at = [F.floor(F.col(c) / block).alias(f"_{c}") for c in ("cx", "cy")]
+        before = pairs.groupBy(F.col("later").alias("node")).agg(F.collect_list("first").alias("firsts"))
+        seen = written(open_.select("node", *at).join(before, "node", "left").groupBy("_cx", "_cy").applyInPandas(scan, "node long, kept boolean"))
+        keep = seen.where("kept").select("node")
+        kept.append(keep)
+        # later neighbours of what is kept now go; what is gone excludes nothing
+        out = pairs.join(keep.withColumnRenamed("node", "first"), "first", "left_semi").select(F.col("later").alias("node"))
+        gone = written(seen.where("kept is not null").select("node").unionByName(out).distinct())
+        open_ = written(open_.join(gone, "node", "left_anti"))
+        for end in ("later", "first"):
+            pairs = pairs.join(gone.withColumnRenamed("node", end), end, "left_anti")
+        pairs = written(pairs)
+        wider = [F.floor(F.col(c) / (block * grow)).alias(f"_{c}") for c in ("cx", "cy")]
+        if (open_.groupBy(*wider).count().agg(F.max("count")).first()[0] or 0) <= most:
+            block *= grow
+    found = nodes.select("node").limit(0)
+    for keep in kept:
+        found = found.unionByName(keep)
+    return found
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -11,6 +11,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import polygons
+from .rounds import independent_in_order, written
+from .views import in_order
+
 
 def box_area(p: str = "") -> Column:
     return (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
@@ -36,12 +40,16 @@ def overlaps(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
 
 def crosswalk(cim: DataFrame, mgrs: DataFrame, cell: float, primary: float = 0.95) -> DataFrame:
     """Grid-to-tile rows with areas, fractions, rank by overlap, and the relation
-    on the first rank."""
-    met = overlaps(cim.withColumnRenamed("cim_name", "a_id"), mgrs.withColumnRenamed("mgrs_tile", "b_id"), cell)
-    area = lambda p: (F.col(f"{p}_x1") - F.col(f"{p}_x0")) * (F.col(f"{p}_y1") - F.col(f"{p}_y0"))
+    on the first rank. Boxes, or polygons if both sides have ``parts``."""
+    cim, mgrs = cim.withColumnRenamed("cim_name", "a_id"), mgrs.withColumnRenamed("mgrs_tile", "b_id")
+    if "parts" in cim.columns and "parts" in mgrs.columns:
+        met = polygons.overlaps(cim, mgrs, cell)
+    else:
+        area = lambda p: (F.col(f"{p}_x1") - F.col(f"{p}_x0")) * (F.col(f"{p}_y1") - F.col(f"{p}_y0"))
+        met = overlaps(cim, mgrs, cell).withColumns({"a_area": area("a"), "b_area": area("b")})
     rows = met.select(
-        F.col("a_id").alias("cim_name"), F.col("b_id").alias("mgrs_tile"), F.round("inter_area", 2).alias("overlap_m2"), F.round(area("a"), 2).alias("cim_area_m2"),
-        F.round(area("b"), 2).alias("mgrs_area_m2"), F.round(F.col("inter_area") / area("a"), 6).alias("overlap_frac_of_cim"), F.round(F.col("inter_area") / area("b"), 6).alias("overlap_frac_of_mgrs"))
+        F.col("a_id").alias("cim_name"), F.col("b_id").alias("mgrs_tile"), F.round("inter_area", 2).alias("overlap_m2"), F.round("a_area", 2).alias("cim_area_m2"),
+        F.round("b_area", 2).alias("mgrs_area_m2"), F.round(F.col("inter_area") / F.col("a_area"), 6).alias("overlap_frac_of_cim"), F.round(F.col("inter_area") / F.col("b_area"), 6).alias("overlap_frac_of_mgrs"))
     w = Window.partitionBy("cim_name")
     by = w.orderBy(F.desc("overlap_frac_of_cim"), "mgrs_tile")
     n, top = F.count("*").over(w), F.max("overlap_frac_of_cim").over(w)
@@ -78,28 +86,25 @@ def dominant_tile(pairs: DataFrame, min_pct: float = 60.0) -> DataFrame:
 
 def previous_overlap(cands: DataFrame, previous: DataFrame, cell: float, tolerance: float = 1.0, max_pct: float = 0.0) -> DataFrame:
     """Candidates whose overlap with an earlier selection is within tolerance, in
-    area or in share."""
-    hit = overlaps(cands.withColumnRenamed("grid_id", "a_id"), previous.withColumnRenamed("grid_id", "b_id"), cell)
+    area or in share. Boxes, or polygons if both sides have ``parts``."""
+    whole = "parts" in cands.columns and "parts" in previous.columns
+    meet = polygons.overlaps if whole else overlaps
+    hit = meet(cands.withColumnRenamed("grid_id", "a_id"), previous.withColumnRenamed("grid_id", "b_id"), cell)
     total = hit.groupBy(F.col("a_id").alias("grid_id")).agg(F.sum("inter_area").alias("_o"))
     out = cands.join(total, "grid_id", "left").withColumn("ovlp_m2", F.coalesce("_o", F.lit(0.0))).drop("_o")
-    out = out.withColumn("ovlp_pct", F.col("ovlp_m2") / box_area() * 100)
+    out = out.withColumn("ovlp_pct", F.col("ovlp_m2") / (polygons.area(F.col("parts")) if whole else box_area()) * 100)
     return out.where((F.col("ovlp_m2") <= tolerance) | (F.col("ovlp_pct") <= max_pct))
 
 
 def greedy_non_overlap(df: DataFrame, cell: float, order: list, tolerance: float = 1.0) -> DataFrame:
     """Rows in ``order``, each kept unless it overlaps a kept one by more than the
-    tolerance. Rounds: a row is decided once every earlier row it meets is; a row
-    with no kept and no open earlier neighbour is kept, as the sequential scan
-    would."""
-    from .rounds import independent_in_order
-
-    from .views import in_order
-
+    tolerance, as a sequential scan would: by blocks that grow from round to round."""
     ranked = in_order(df, order, "_rank")
     pairs = overlaps(
         ranked.select(F.col("_rank").alias("a_id"), "x0", "y0", "x1", "y1"), ranked.select(F.col("_rank").alias("b_id"), "x0", "y0", "x1", "y1"), cell
     ).where((F.col("a_id") < F.col("b_id")) & (F.col("inter_area") > tolerance)).select(F.col("a_id").alias("first"), F.col("b_id").alias("later"))
-    kept = independent_in_order(ranked.select(F.col("_rank").alias("node")), pairs)
+    at = [F.floor(F.col(c) / cell).alias(n) for c, n in (("x0", "cx"), ("y0", "cy"))]
+    kept = independent_in_order(ranked.select(F.col("_rank").alias("node"), *at), pairs)
     return ranked.join(kept.withColumnRenamed("node", "_rank"), "_rank").drop("_rank")
 
 
@@ -194,15 +199,27 @@ def tile_box(df: DataFrame, tile: str = "tile", km: float = 100.0) -> DataFrame:
 
 def random_points(boxes: DataFrame, n: int, seed: int = 42, holds=None, tries: int = 2000) -> DataFrame:
     """(key, k, x, y): ``n`` points in each box ``boxes(key, x0, y0, x1, y1)``, the
-    same for a seed. ``holds`` is a condition on x and y (a polygon's); of at most
-    ``n * tries`` draws the first ``n`` that meet it stay."""
+    same for a seed. ``holds`` is a condition on x, y and the boxes' columns (a
+    polygon's); of at most ``n * tries`` draws the first ``n`` that meet it stay. Only
+    boxes that lack points draw again, four times as often as before."""
     share = lambda what: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), "key", "k"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    draws = n if holds is None else n * tries
-    out = boxes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select(
-        "key", "k", (F.col("x0") + share("x") * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + share("y") * (F.col("y1") - F.col("y0"))).alias("y"))
+
+    def draw(some: DataFrame, first: int, after: int) -> DataFrame:
+        at = some.withColumn("k", F.explode(F.sequence(F.lit(first), F.lit(after - 1))))
+        return at.withColumns({"x": F.col("x0") + share("x") * (F.col("x1") - F.col("x0")), "y": F.col("y0") + share("y") * (F.col("y1") - F.col("y0"))})
+
     if holds is None:
-        return out
-    return out.where(holds).withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("k"))).where(F.col("_n") <= n).drop("_n")
+        return draw(boxes, 0, n).select("key", "k", "x", "y")
+    open_, first, after, out = boxes, 0, 2 * n, None
+    while first < n * tries:
+        got = written(draw(open_, first, after).where(holds).select("key", "k", "x", "y"))
+        out = got if out is None else out.unionByName(got)
+        full = out.groupBy("key").count().where(F.col("count") >= n).select("key")
+        open_ = written(boxes.join(full, "key", "left_anti"))
+        if open_.isEmpty():
+            break
+        first, after = after, min(4 * after, n * tries)
+    return out.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("k"))).where(F.col("_n") <= n).drop("_n")
 
 
 def near_points(pixels: DataFrame, points: DataFrame, metres: float = 120.0) -> DataFrame:

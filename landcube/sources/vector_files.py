@@ -25,11 +25,12 @@ from urllib.parse import quote
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..operators.polygons import area, rectangle  # noqa: F401  on the same geometry
 from ..operators.views import in_order
 from .file_sink import list_files, open_uri, write_files
 from .sinks import sanitize
@@ -271,24 +272,6 @@ def single_parts(df: DataFrame) -> DataFrame:
     return df.select("*", F.posexplode("parts").alias("part", "_one")).withColumn("parts", F.array("_one")).drop("_one")
 
 
-def ring_area(ring: Column) -> Column:
-    """Signed area of a ring of [x, y], positive if it runs counter-clockwise."""
-    nxt = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, F.lit(1), F.lit(1)))
-    return F.aggregate(F.zip_with(ring, nxt, lambda a, b: a[0] * b[1] - b[0] * a[1]), F.lit(0.0), lambda s, x: s + x) / 2
-
-
-def area(parts: Column) -> Column:
-    """Area of parts: of their outer rings less that of their holes, whatever way they run."""
-    size = lambda rings: F.aggregate(F.transform(rings, lambda r, i: F.abs(ring_area(r)) * F.when(i == 0, 1.0).otherwise(-1.0)), F.lit(0.0), lambda s, x: s + x)
-    return F.aggregate(F.transform(parts, size), F.lit(0.0), lambda s, x: s + x)
-
-
-def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """``parts`` of an upright rectangle."""
-    corner = lambda x, y: F.array(x.cast("double"), y.cast("double"))
-    return F.array(F.array(F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1), corner(x0, y0))))
-
-
 # --- sinks --------------------------------------------------------------------------
 
 SQL_TYPES = {"boolean": "BOOLEAN", "tinyint": "INTEGER", "smallint": "INTEGER", "int": "INTEGER", "bigint": "INTEGER", "float": "REAL", "double": "REAL", "binary": "BLOB"}

@@ -24,8 +24,9 @@ CONFUSION = {59: (60, 67), 60: (59, 66), 66: (12, 63), 12: (66, 63), 63: (66, 12
 
 
 def pixel_modes(lulc: DataFrame, by: list[str], keep=("eco_id", "lat")) -> DataFrame:
-    """(by..., mode_id) of each pixel's series, lowest id on ties."""
-    return lulc.groupBy(*by).agg(F.mode("class_id", True).alias("mode_id"), *(F.first(c).alias(c) for c in keep))
+    """(by..., mode_id) of each pixel's series, lowest id on ties, and the least value of
+    the columns ``keep``, which are one a pixel."""
+    return lulc.groupBy(*by).agg(F.mode("class_id", True).alias("mode_id"), *(F.min(c).alias(c) for c in keep))
 
 
 def dominant(counts: DataFrame, by: list[str], ident: str, n: str = "n") -> DataFrame:
@@ -100,12 +101,7 @@ def period_stats(lulc: DataFrame, rect: str = "rect", pixel: str = "px") -> Data
     counts = p.select(rect, pixel, "period", "mode_id").distinct().groupBy(rect, "period", "mode_id").agg(F.count("*").alias("n"))
     dom = dominant(counts, [rect, "period"], "mode_id")
     frac = p.groupBy(rect, "period", "year").agg(F.avg((F.col("class_id") == F.col("mode_id")).cast("int")).alias("frac"))
-    hit = F.col("frac") >= STABLE_SHARE
-    years = F.element_at(F.create_map(*(F.lit(x) for k, (a, b) in S.PERIODS.items() for x in (k, b - a + 1))), F.col("period"))
-    stb = frac.groupBy(rect, "period").agg(F.count_if(hit).alias("n_stb"), F.array_join(F.array_sort(F.collect_list(F.when(hit, F.col("year")))), ",").alias("stb_yrs"))
-    long = dom.join(stb, [rect, "period"]).withColumn("stb_p", F.col("n_stb") / years * 100)
-    return long.groupBy(rect).pivot("period", list(S.PERIODS)).agg(
-        F.first("mode_id_dom").alias("md_id"), F.first("mode_id_pct").alias("md_pct"), F.first("n_stb").alias("n_stb"), F.first("stb_p").alias("stb_p"), F.first("stb_yrs").alias("stb_yrs"))
+    return _by_period(dom, frac, rect)
 
 
 def priority_score(val, crit, nfor, achap, n_mode, shannon_, tr, noobs) -> Column:
@@ -122,30 +118,96 @@ def spatial_kind(mode_pct, shannon_, n_mode) -> Column:
     return F.when((mode_pct >= 85) & (shannon_ <= 0.3), "homogenea").when((n_mode <= 4) & (mode_pct >= 45), "simple_media").otherwise("compleja")
 
 
+def facts(lulc: DataFrame, drop_zero: bool = False) -> DataFrame:
+    """What all statistics of rectangles are made of, in one pass over the pixels:
+    (rect, kind, k, y, n, x_sum, x_n, z_sum, z_n), counts of pixels by
+
+    * ``pixel``: y is 1 for valid pixels;
+    * ``mode``: k is the modal class of valid pixels, y is 1 in the north; x is a pixel's
+      share of changes from year to year;
+    * ``eco``: k is their ecoregion;
+    * ``period``: k is the modal class in period y (1, 2, ...);
+    * ``year``: k is the class in year y; x says whether it is the pixel's modal class,
+      z whether it is that of its period.
+
+    A pixel's series is one row; its facts are added up before they are shuffled."""
+    within = lambda p: F.when(F.col("year").between(*S.PERIODS[p]), F.col("class_id"))
+    px = lulc.groupBy("rect", "px").agg(
+        F.mode("class_id", True).alias("mode_id"), F.min("eco_id").alias("eco_id"), F.min("lat").alias("lat"), F.array_sort(F.collect_list(F.struct("year", "class_id"))).alias("series"),
+        *(F.mode(within(p), True).alias(p) for p in S.PERIODS))
+    ok = (F.col("eco_id") > 0) & (F.col("mode_id") != NO_OBS)
+    if drop_zero:
+        ok = ok & (F.col("mode_id") != 0)
+    ok = F.coalesce(ok, F.lit(False))
+    classes = F.transform("series", lambda s: s["class_id"])
+    later = F.slice(classes, F.lit(2), F.size(classes))
+    changed = F.filter(F.zip_with(F.slice(classes, F.lit(1), F.size(classes) - 1), later, lambda a, b: (a != b).cast("int")), lambda c: c.isNotNull())
+    share = F.try_divide(F.aggregate(changed, F.lit(0), lambda t, c: t + c), F.size(changed))
+
+    none = F.lit(None).cast("double")
+    fact = lambda kind, k, y, x=none, z=none: F.struct(F.lit(kind).alias("kind"), k.cast("int").alias("k"), y.cast("int").alias("y"), x.cast("double").alias("x"), z.cast("double").alias("z"))
+    zero = F.lit(0)
+    own = [fact("mode", F.col("mode_id"), F.coalesce((F.col("lat") >= NORTH_LAT), F.lit(False)), share), fact("eco", F.col("eco_id"), zero)]
+    own += [fact("period", F.col(p), F.lit(i)) for i, p in enumerate(S.PERIODS, 1)]
+    period_mode = lambda y: F.coalesce(*(F.when(y.between(*years), F.col(p)) for p, years in S.PERIODS.items()))
+    years = F.transform("series", lambda s: fact("year", s["class_id"], s["year"], s["class_id"] == F.col("mode_id"), s["class_id"] == period_mode(s["year"])))
+    all_ = F.concat(F.array(fact("pixel", zero, ok)), F.when(ok, F.concat(F.array(*own), years)).otherwise(F.array().cast(F_TYPE)))
+    rows = px.select("rect", F.explode(all_).alias("f")).select("rect", "f.*").where("kind != 'period' or k is not null")
+    return rows.groupBy("rect", "kind", "k", "y").agg(F.count("*").alias("n"), F.sum("x").alias("x_sum"), F.count("x").alias("x_n"), F.sum("z").alias("z_sum"), F.count("z").alias("z_n"))
+
+
+F_TYPE = "array<struct<kind: string, k: int, y: int, x: double, z: double>>"
+
+
+def _periods(found: DataFrame) -> DataFrame:
+    """Per period from facts: modal class and share, stable years; one row a rectangle."""
+    named = F.element_at(F.array(*map(F.lit, S.PERIODS)), F.col("y"))
+    dom = dominant(found.where("kind = 'period'").select("rect", named.alias("period"), F.col("k").alias("mode_id"), "n"), ["rect", "period"], "mode_id")
+    frac = found.where("kind = 'year'").withColumn("period", S.period_of(F.col("y"))).where("period is not null").groupBy("rect", "period", "y").agg((F.sum("z_sum") / F.sum("z_n")).alias("frac"))
+    return _by_period(dom, frac.withColumnRenamed("y", "year"), "rect")
+
+
+def _by_period(dom: DataFrame, frac: DataFrame, rect: str) -> DataFrame:
+    hit = F.col("frac") >= STABLE_SHARE
+    years = F.element_at(F.create_map(*(F.lit(x) for k, (a, b) in S.PERIODS.items() for x in (k, b - a + 1))), F.col("period"))
+    stb = frac.groupBy(rect, "period").agg(F.count_if(hit).alias("n_stb"), F.array_join(F.array_sort(F.collect_list(F.when(hit, F.col("year")))), ",").alias("stb_yrs"))
+    long = dom.join(stb, [rect, "period"]).withColumn("stb_p", F.col("n_stb") / years * 100)
+    return long.groupBy(rect).pivot("period", list(S.PERIODS)).agg(
+        F.first("mode_id_dom").alias("md_id"), F.first("mode_id_pct").alias("md_pct"), F.first("n_stb").alias("n_stb"), F.first("stb_p").alias("stb_p"), F.first("stb_yrs").alias("stb_yrs"))
+
+
+def _shares(modes: DataFrame) -> DataFrame:
+    """``share_metrics`` and the share of changes, from facts about modes."""
+    pct = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)) / F.sum("n") * 100
+    m = F.col("k")
+    return modes.groupBy("rect").agg(
+        (F.sum("x_sum") / F.sum("x_n") * 100).alias("tr_pct"), pct(m.isin(*sorted(T.CRITICAL))).alias("crit_pct"), pct((m == NORTH_FOREST) & (F.col("y") == 1)).alias("nfor_pct"),
+        pct(m == ACHAPARRADO).alias("achap_pct"), pct(m.isin(*sorted(T.TRANSVERSAL))).alias("tran_pct"), pct(m == NO_OBS).alias("noobs_raw_pct"))
+
+
 def characterize(lulc: DataFrame, min_valid_pct: float = 20.0, drop_zero: bool = False) -> DataFrame:
     """All statistics of each rectangle that has ``min_valid_pct`` valid pixels.
 
     A pixel is valid with an ecoregion and a mode other than unobserved; class 0
-    counts unless ``drop_zero``.
+    counts unless ``drop_zero``. The pixels are read once (``facts``); what follows
+    works on a rectangle's few facts.
     """
-    modes = pixel_modes(lulc, ["rect", "px"])
-    ok = (F.col("eco_id") > 0) & (F.col("mode_id") != NO_OBS)
-    if drop_zero:
-        ok = ok & (F.col("mode_id") != 0)
-    gate = modes.groupBy("rect").agg((F.count_if(ok) / F.count("*") * 100).alias("val_pct")).where(F.col("val_pct") >= min_valid_pct)
-    # ten statistics read these: they are computed once
-    valid = written(modes.where(ok).join(gate.select("rect"), "rect", "left_semi"))
-    series = written(lulc.join(valid.select("rect", "px"), ["rect", "px"], "left_semi"))
-    counts = valid.groupBy("rect", "mode_id").agg(F.count("*").alias("n"))
-    ecos = valid.groupBy("rect", "eco_id").agg(F.count("*").alias("n"))
+    found = written(facts(lulc, drop_zero))
+    valid = F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0))
+    gate = found.where("kind = 'pixel'").groupBy("rect").agg((valid / F.sum("n") * 100).alias("val_pct")).where(F.col("val_pct") >= min_valid_pct)
+    gate = written(gate)
+    found = found.join(gate.select("rect"), "rect", "left_semi")
+    of = lambda kind, name: found.where(F.col("kind") == kind).groupBy("rect", F.col("k").alias(name)).agg(F.sum("n").alias("n"))
+    counts = of("mode", "mode_id")
+    years = found.where("kind = 'year'")
     # one row: the last year of all
-    latest = F.broadcast(series.agg(F.max("year").alias("_last")))
-    last = series.join(latest, F.col("year") == F.col("_last")).groupBy("rect", F.col("class_id").alias("last_id")).agg(F.count("*").alias("n"))
+    latest = F.broadcast(years.agg(F.max("y").alias("_last")))
+    last = years.join(latest, F.col("y") == F.col("_last")).groupBy("rect", F.col("k").alias("last_id")).agg(F.sum("n").alias("n"))
     dom = dominant(counts, ["rect"], "mode_id")
-    stab = year_stability(series)
-    periods = period_stats(series)
-    parts = [dom, dominant(ecos, ["rect"], "eco_id").drop("eco_id_n"), dominant(last, ["rect"], "last_id").drop("last_id_n"), shannon(counts, ["rect"]), transition_pct(series),
-             stable_years(stab), longest_run(stab.withColumn("stable", F.col("frac") >= STABLE_SHARE)), share_metrics(valid), confusion_risk(counts, dom), periods]
+    stab = years.groupBy("rect", F.col("y").alias("year")).agg((F.sum("x_sum") / F.sum("x_n")).alias("frac"))
+    shares = _shares(found.where("kind = 'mode'"))
+    parts = [dom, dominant(of("eco", "eco_id"), ["rect"], "eco_id").drop("eco_id_n"), dominant(last, ["rect"], "last_id").drop("last_id_n"), shannon(counts, ["rect"]), shares.select("rect", "tr_pct"),
+             stable_years(stab), longest_run(stab.withColumn("stable", F.col("frac") >= STABLE_SHARE)), shares.drop("tr_pct"), confusion_risk(counts, dom), _periods(found)]
     out = gate
     for p in parts:
         out = out.join(p, "rect")

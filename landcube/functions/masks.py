@@ -56,6 +56,13 @@ def apply_mask(df: DataFrame, bands, masks) -> DataFrame:
     return df.withColumns({b: F.when(keep, F.col(b)) for b in bands})
 
 
+def tile_mask(df: DataFrame, mask: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose place the mask has with a value other than 0 or NULL; ``mask``
+    is (keys) or (keys, mask)."""
+    on = mask.where("mask != 0") if "mask" in mask.columns else mask
+    return df.join(on.select(*keys), keys, "left_semi")
+
+
 def tdom(df: DataFrame, pixel: list[str], z: float = -1.0, dark_sum: float = 4000.0, erode: int = 0, scene=("tile", "scene")) -> DataFrame:
     """Temporal dark outliers: z-scores of nir and swir1 below ``z`` within the
     pixel's own series, and dark. One window over the pixel. ``erode`` shrinks them

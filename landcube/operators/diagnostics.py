@@ -33,10 +33,7 @@ def search(scenes: DataFrame, start: str, end: str, cloud: float, platform: str
 def choose(scenes: DataFrame, n: int, diverse: bool = True) -> DataFrame:
     """The clearest scene of each path and row, then the ``n`` clearest."""
     cloud = F.coalesce("cloud_cover", F.lit(999.0))
-    out = scenes
-    if diverse and n > 1:
-        w = Window.partitionBy("wrs_path", "wrs_row").orderBy(cloud, "scene_id")
-        out = out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    out = clearest_each(scenes) if diverse and n > 1 else scenes
     return out.orderBy(cloud, "scene_id").limit(n)
 
 
@@ -75,6 +72,31 @@ def tile_mosaic(pixels: DataFrame, scenes: DataFrame, bands, n: int, how: str =
     return reflectance(pixels.join(chosen, "scene_id", "left_semi"), bands).groupBy("tile", "row", "col").agg(*(f(b).alias(b) for b in bands))
 
 
+def path_rows(scenes: DataFrame) -> DataFrame:
+    """The distinct (wrs_path, wrs_row) of scenes that have both."""
+    return scenes.where("wrs_path is not null and wrs_row is not null").select("wrs_path", "wrs_row").distinct()
+
+
+def clearest_each(scenes: DataFrame) -> DataFrame:
+    """The clearest scene of each path and row, the first by id of equals; an unknown
+    cloud cover comes last."""
+    w = Window.partitionBy("wrs_path", "wrs_row").orderBy(F.coalesce("cloud_cover", F.lit(999.0)), "scene_id")
+    return scenes.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def merged(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Collections behind each other, by name, repeats included; what one lacks is NULL."""
+    out = first
+    for o in others:
+        out = out.unionByName(o, allowMissingColumns=True)
+    return out
+
+
+def class_areas(pixels: DataFrame, nodata: int = 0) -> DataFrame:
+    """(tile, class_id, ha) of ``pixels(tile, class_id, m2)``; nodata has no class."""
+    return pixels.where(F.col("class_id").isNotNull() & (F.col("class_id") != nodata)).groupBy("tile", "class_id").agg((F.sum("m2") / 10_000).alias("ha"))
+
+
 def land_overlap(pixels: DataFrame, minimum: float = 0.0) -> DataFrame:
     """(tile, total, valid, overlap_pct): share of pixels with a class."""
     out = pixels.groupBy("tile").agg(F.count("*").alias("total"), F.count("class_id").alias("valid"))

@@ -64,6 +64,14 @@ def merge_edits(df: DataFrame, edits: DataFrame, rect_edits: DataFrame) -> DataF
     return reviewed_area(out.withColumn("lbl_id", S.label_id(F.col("corr_id"), F.col("class_id"))))
 
 
+def overwritten(df: DataFrame, edits: DataFrame, key: str = "poly_uid") -> DataFrame:
+    """``df`` with every property that a row's edit gives put in place of its own, as a
+    map of properties overwrites another; a property that an edit leaves NULL stays."""
+    have = [c for c in edits.columns if c != key and c in df.columns]
+    e = edits.select(key, *(F.col(c).alias(f"_{c}") for c in have))
+    return df.join(e, key, "left").select(*(F.coalesce(f"_{c}", c).alias(c) if c in have else F.col(c) for c in df.columns))
+
+
 def violations(df: DataFrame) -> DataFrame:
     """(check, key): one row for each error; ``cobertura`` rows are warnings."""
     row = lambda c, k: df.where(c).select(F.lit(k).alias("check"), F.col("poly_uid").alias("key"))

@@ -113,6 +113,8 @@ def _united(own: DataFrame, seams: DataFrame, keys) -> DataFrame:
     """``own(keys, _label, ...)`` with ``_root``, the smallest label that it reaches."""
     node = lambda c: F.struct(*keys, F.col(c).alias("at"))
     edges = written(seams.select(node("a").alias("a"), node("b").alias("b")))
+    if edges.isEmpty():
+        return own.withColumn("_root", F.col("_label"))
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     root = rounds.components(ends, edges).select(*(F.col(f"node.{k}").alias(k) for k in keys), F.col("node.at").alias("_label"), F.col("component.at").alias("_root"))
     return own.join(root, [*keys, "_label"], "left").withColumn("_root", F.coalesce("_root", "_label"))
@@ -293,7 +295,7 @@ def _joined(patches: DataFrame, touch: DataFrame, to: DataFrame, keys) -> tuple[
     met = written(touch.join(end("a"), [*keys, "a"]).join(end("b"), [*keys, "b"]).where("a_to != b_to").select(*keys, "a_to", "b_to", "a_v", "b_v").distinct())
     node = lambda c: F.struct(*keys, F.col(c).alias("at"))
     same = written(met.where("a_v = b_v").select(node("a_to").alias("a"), node("b_to").alias("b")))
-    one = rounds.components(same.select(F.col("a").alias("node")).distinct(), same)
+    one = same.select(F.col("a").alias("node"), F.col("a").alias("component")) if same.isEmpty() else rounds.components(same.select(F.col("a").alias("node")).distinct(), same)
     one = written(one.select(*(F.col(f"node.{k}").alias(k) for k in keys), F.col("node.at").alias("to"), F.col("component.at").alias("one")))
     became = written(now.join(one, [*keys, "to"], "left").select(*keys, "id", F.coalesce("one", "to").alias("now"), "v", "n"))
     # the first pixel of a united patch is that of its first member

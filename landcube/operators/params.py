@@ -39,6 +39,13 @@ def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def united_black_lists(jobs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, black_list): the sorted union of the black lists of rows that share the
+    keys; a scene counts once, map side, before a key's are gathered."""
+    rows = jobs.select(*keys, F.explode_outer("black_list").alias("_scene"))
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_set("_scene")).alias("black_list"))
+
+
 def expand(jobs: DataFrame, xwalk: DataFrame, min_frac: float = 0.0) -> DataFrame:
     """One job row becomes a row for each tile that its grid overlaps by
     ``min_frac`` or more; rows that meet on (tile, year, satellite) become one,

@@ -133,6 +133,14 @@ def _numbered(df: DataFrame, by: list[str], order: list, name: str = "_n") -> Da
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+def remaining(candidates: DataFrame, *used: DataFrame, key: str = "grid_id") -> DataFrame:
+    """Candidates that none of the earlier picks has used."""
+    out = candidates
+    for u in used:
+        out = out.join(u.select(key).distinct(), key, "left_anti")
+    return out
+
+
 def top_per_group(df: DataFrame, by: list[str], score: str, n: int) -> DataFrame:
     return _numbered(df, by, [F.desc(score), "grid_id"]).where(F.col("_n") <= n).drop("_n")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,19 +183,27 @@ def tile_corner(tile: Column) -> tuple[Column, Column, Column, Column]:
     low = -80 + 8 * index(BANDS, 3)
     south = low < 0
     # rows repeat every 2,000 km: the first at or above the band's lower edge
-    edge = F.floor(to_utm((zone * 6 - 183).cast("double"), low.cast("double"), zone)[1] / 100000) * 100000
+    edge = F.element_at(F.array(*map(F.lit, _band_edges())), index(BANDS, 3) + 1)
     y = row * 100000 + F.ceil(F.greatest(edge - row * 100000, F.lit(0)) / 2000000) * 2000000
     return zone, south, (column + 1) * 100000, y
 
 
+def _band_edges() -> list[int]:
+    """Northings of the bands' lower edges on a central meridian, in whole 100 km."""
+    lat = np.array([-80.0 + 8 * i for i in range(len(BANDS))])
+    y = to_utm(np.full(len(lat), -177.0), lat, 1, False, np)[1] + np.where(lat < 0, 10_000_000, 0)
+    return (np.floor(y / 100_000) * 100_000).astype(int).tolist()
+
+
 def tile_box(df: DataFrame, tile: str = "tile", km: float = 100.0) -> DataFrame:
     """``df`` with west, south, east, north in degrees: of the tile's lower left and
     upper right corners alone."""
     zone, south, x, y = tile_corner(F.col(tile))
-    out = df.withColumns({"_z": zone, "_s": south, "_x": x, "_y": y})
-    degrees = lambda dx: [F.when(F.col("_s"), a).otherwise(b) for a, b in zip(*(from_utm(F.col("_x") + dx, F.col("_y") + dx, F.col("_z"), s) for s in (True, False)))]
-    (lon0, lat0), (lon1, lat1) = degrees(0), degrees(km * 1000)
-    return out.withColumns({"west": F.least(lon0, lon1), "south": F.least(lat0, lat1), "east": F.greatest(lon0, lon1), "north": F.greatest(lat0, lat1)}).drop("_z", "_s", "_x", "_y")
+    # without the southern false northing both halves have one formula
+    out = df.withColumns({"_z": zone, "_x": x, "_y": y - F.when(south, 10_000_000).otherwise(0)})
+    (lon0, lat0), (lon1, lat1) = (from_utm(F.col("_x") + d, F.col("_y") + d, F.col("_z"), False) for d in (0, km * 1000))
+    out = out.withColumns({"_a": lon0, "_b": lat0, "_c": lon1, "_d": lat1})
+    return out.withColumns({"west": F.least("_a", "_c"), "south": F.least("_b", "_d"), "east": F.greatest("_a", "_c"), "north": F.greatest("_b", "_d")}).drop("_z", "_x", "_y", "_a", "_b", "_c", "_d")
 
 
 def random_points(boxes: DataFrame, n: int, seed: int = 42, holds=None, tries: int = 2000) -> DataFrame:

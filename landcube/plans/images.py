@@ -92,7 +92,7 @@ def _(df):
 
 @query("prj_08_tile_mask", OBS, "select tile, px, scene, qa, nir from r where px in (select px from r where qa = 7)")
 def _(df):
-    return df.join(df.where("qa = 7").select("px").distinct(), "px", "left_semi").select(*KEYS, "nir")
+    return M.tile_mask(df, df.groupBy("px").agg(F.max((F.col("qa") == 7).cast("int")).alias("mask")), ["px"]).select(*KEYS, "nir")
 
 
 @query("prj_09_typed_bands", OBS, "select tile, px, scene, qa, cast(least(greatest(trunc(nir), 0), 255) as smallint) as u8, cast(least(greatest(trunc(nir - 8000), -32768), 32767) as smallint) as i16, cast(least(greatest(trunc(red - 1000), 0), 65535) as int) as u16 from r")
@@ -293,12 +293,22 @@ def _(df):
 
 @query("agg_12_distinct_path_row", SCENES, "select distinct wrs_path, wrs_row from r")
 def _(df):
-    return df.select("wrs_path", "wrs_row").distinct()
+    return D.path_rows(df)
+
+
+@query("win_10_clearest_each", SCENES, "select scene_id, wrs_path, wrs_row from (select *, row_number() over (partition by wrs_path, wrs_row order by coalesce(cloud_cover, 999), scene_id) k from r) where k = 1")
+def _(df):
+    return D.clearest_each(df).select("scene_id", "wrs_path", "wrs_row")
+
+
+@query("agg_09_class_areas", GRID, "select tile, value class_id, round(sum(900.0 + elev) / 10000, 6) ha from r where value <> 0 group by tile, value")
+def _(df):
+    return D.class_areas(df.select("tile", F.col("value").alias("class_id"), (F.lit(900.0) + F.col("elev")).alias("m2"))).withColumn("ha", F.round("ha", 6))
 
 
 @query("set_01_union_collections", SCENES, "select scene_id from r where platform = 'l7' union all select scene_id from r where wrs_row < 3")
 def _(df):
-    return df.where("platform = 'l7'").select("scene_id").unionByName(df.where("wrs_row < 3").select("scene_id"))
+    return D.merged(df.where("platform = 'l7'"), df.where("wrs_row < 3")).select("scene_id")
 
 
 @query("jon_02_geo_09_box_overlap", SCENES, "select a.scene_id a_id, b.scene_id b_id, round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 6) area from p a join p b on a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1", "p as (select * from r where wrs_row = 2 and wrs_path = 11)")

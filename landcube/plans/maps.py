@@ -139,10 +139,22 @@ def _(df):
     return C.promote_median(stats, ["mbi"])
 
 
-@query("prj_11_reduced_bands", OBS, "select tile, px, median(blue) blue_median, min(blue) blue_min, max(blue) blue_max, max(blue) - min(blue) blue_amp from r group by tile, px")
+#: The statistics of a band as SQL, by its suffix.
+STATS = {
+    "median": "median({b})", "median_dry": "median({b}) filter (where ndvi <= q25)", "median_wet": "median({b}) filter (where ndvi >= q75)", "min": "min({b})", "max": "max({b})",
+    "amp": "max({b}) - min({b})", "stdDev": "stddev_pop({b})",
+}
+ALL_BANDS = ", ".join(f'round({STATS[k].format(b=b)}, 4) + 0.0 "{b}_{k}"' for b in W.REDUCED_BASES for k in W.REDUCED_STATS)
+
+
+@query("prj_11_reduced_bands", OBS, f"select px, {ALL_BANDS}, round(min(q25), 4) + 0.0 ndvi_p25, round(min(q75), 4) + 0.0 ndvi_p75 from t group by px",
+       """e as (select *, (nir - red) / nullif(nir + red, 0) ndvi, (nir - swir1) / nullif(nir + swir1, 0) ndwi from r),
+ t as (select e.*, q25, q75 from e join (select px, quantile_cont(ndvi, 0.25) q25, quantile_cont(ndvi, 0.75) q75 from e group by px) using (px))""")
 def _(df):
-    stats = df.groupBy("tile", "px").agg(F.median("blue").alias("blue_median"), F.min("blue").alias("blue_min"), F.max("blue").alias("blue_max"), (F.max("blue") - F.min("blue")).alias("blue_amp"), F.avg("tir").alias("tir_mean"))
-    return stats.select("tile", "px", *(b for b in W.reduced_bands() if b in stats.columns))
+    """All 58 bands of the reduced product, in its order."""
+    ratio = lambda a, b: F.try_divide(F.col(a) - F.col(b), F.col(a) + F.col(b))
+    out = C.seasonal(df.withColumns({"ndvi": ratio("nir", "red"), "ndwi": ratio("nir", "swir1")}), ["px"], W.REDUCED_BASES, "ndvi")
+    return out.select("px", *((F.round(b, 4) + 0.0).alias(b) for b in W.reduced_bands()))  # no negative zero
 
 
 @query("agg_46_band_series", OBS, "select yr as year, acq::varchar image, round(avg(red), 6) red_median, round(avg(nir), 6) nir_median from r where tile % 2 = 0 group by yr, acq")
@@ -159,11 +171,19 @@ def _(df):
 # --- tiles and points ------------------------------------------------------------
 
 
-@query("geo_03_tile_box", RECTS)
+#: Easting and northing of a tile's lower left corner from its letters, in zone 19 and band H.
+CORNER = """t as (select grid_id, '19H' || substr('ABCDEFGH', (1 + k % 8)::int, 1) || substr('ABCDEFGHJKLMNPQRSTUV', (1 + k % 20)::int, 1) tile, k % 8 c, k % 20 w from r),
+ q as (select *, (c + 1) * 100000 x, w * 100000 + ceil(greatest(5500000 - w * 100000, 0) / 2000000.0) * 2000000 y from t)"""
+
+
+@query("geo_03_tile_box", RECTS, "select grid_id, tile, x::bigint x0, y::bigint y0, (x + 100000)::bigint x1, (y + 100000)::bigint y1 from q", CORNER)
 def _(df):
+    """The corners in degrees, projected again, are those that the letters name."""
     letter = F.substring(F.lit("ABCDEFGH"), (1 + F.col("k") % 8).cast("int"), F.lit(1))
     row = F.substring(F.lit("ABCDEFGHJKLMNPQRSTUV"), (1 + F.col("k") % 20).cast("int"), F.lit(1))
-    return S.tile_box(df.select("grid_id", F.concat(F.lit("19H"), letter, row).alias("tile"))).select("grid_id", "tile", "west", "south", "east", "north")
+    box = S.tile_box(df.select("grid_id", F.concat(F.lit("19H"), letter, row).alias("tile")))
+    (x0, y0), (x1, y1) = (S.to_utm(F.col(a), F.col(b), F.lit(19), True) for a, b in (("west", "south"), ("east", "north")))
+    return box.select("grid_id", "tile", *(F.round(c).cast("long").alias(n) for c, n in ((x0, "x0"), (y0, "y0"), (x1, "x1"), (y1, "y1"))))
 
 
 @query("geo_07_random_points", RECTS, "select grid_id as key, count(*) n, true inside from r, range(5) group by grid_id")

@@ -30,7 +30,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import balance, images, jobs, maps, samples, workflow  # noqa: F401  each registers its queries
+    from . import balance, images, jobs, maps, samples, surface, workflow  # noqa: F401  each registers its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -246,7 +246,7 @@ def _(df):
 
 @query("jon_11_remaining", CANDS, "select grid_id from r where grid_id not in (select grid_id from r where k % 3 = 0)")
 def _(df):
-    return df.join(df.where("k % 3 = 0").select("grid_id"), "grid_id", "left_anti").select("grid_id")
+    return L.remaining(df, df.where("k % 3 = 0")).select("grid_id")
 
 
 @query("jon_07_reattach_scores", CANDS, "select s.grid_id, round(sc_e_h, 6) sc_e_h from (select grid_id from r where k % 5 = 0) s left join sc using (grid_id)", SCORES)

@@ -147,6 +147,25 @@ def means_only(df: DataFrame, keys) -> DataFrame:
     return df.select(*keys, *(F.col(c).alias(c.removesuffix("_mean")) for c in df.columns if c.endswith("_mean")))
 
 
+def quality_report(spark: SparkSession, path: str, utm: str | None = None) -> DataFrame:
+    """Means of a quality report whose first two lines are its header: names of metrics,
+    each over its statistics (an empty name repeats the one before), then a line of
+    index names. Numbers that are none are NULL; of one zone, if ``utm`` is given."""
+    text = spark.read.option("encoding", "UTF-8").csv(path)
+    # the driver sees the header alone
+    first, second = (list(r) for r in text.limit(2).collect())
+    names, metric = [], ""
+    for i, (m, stat) in enumerate(zip(first, second)):
+        metric = (m or metric).lstrip("\ufeff").strip()
+        names.append(("utm", "tipo_muestra")[i] if i < 2 else f"{metric}_{(stat or '').strip()}")
+    means = [(c, n.removesuffix("_mean")) for c, n in zip(text.columns, names) if n.endswith("_mean")]
+    utm_col, kind = (F.col(c) for c in text.columns[:2])
+    head = utm_col.eqNullSafe(F.lit(first[0])) & kind.eqNullSafe(F.lit(first[1]))
+    rows = text.where(~head & kind.isNotNull() & (utm_col != "utm"))
+    out = rows.select(utm_col.alias("utm"), kind.alias("tipo_muestra"), *(F.col(c).try_cast("double").alias(n) for c, n in means))
+    return out if utm is None else out.where(F.col("utm") == utm)
+
+
 def inspect(df: DataFrame) -> DataFrame:
     """One row: rows, and the names of the properties."""
     return df.agg(F.count("*").alias("rows")).withColumn("properties", F.array(*map(F.lit, sorted(df.columns))))

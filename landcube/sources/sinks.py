@@ -81,3 +81,45 @@ def short_names(columns: list[str], limit: int = 10) -> dict[str, str]:
         taken.add(n)
         out[c] = n
     return out
+
+
+def safe_file_name(grid_id: F.Column) -> F.Column:
+    """A rectangle's id without separators of paths."""
+    return F.regexp_replace(grid_id, r"[/\\\\]", "_")
+
+
+def label_paths(grid_id: F.Column, year: F.Column, base: str) -> tuple[F.Column, F.Column]:
+    """Paths of a rectangle-year's class raster and patch raster."""
+    stem = F.concat_ws("_", safe_file_name(grid_id), year.cast("string"))
+    at = lambda kind: F.concat(F.lit(f"{base.rstrip('/')}/raster/{kind}/"), stem, F.lit(f"_{kind}.tif"))
+    return at("classes"), at("labels")
+
+
+def output_paths(group: str, base: str, product: str | None = None, utm: str | None = None, layer: str | None = None) -> dict[str, str]:
+    """Folder, GeoPackage, layer and summary of a group's labels, or of a product's;
+    by zone, if one is given."""
+    name = product or f"subdivisiones_C2_{group}"
+    folder = "/".join(x for x in (base.rstrip("/"), None if product else group, utm) if x)
+    return {"folder": folder, "gpkg": f"{folder}/{name}.gpkg", "layer": layer or name, "summary": f"{folder}/resumen_{product or f'C2_{group}'}.csv"}
+
+
+def asset_id(group: str, base: str, asset: str | None = None, product: str | None = None) -> str:
+    """The asset's own id, else that of the product, else that of the group."""
+    return asset or f"{base.rstrip('/')}/{product or f'{group}/{group}'}"
+
+
+def legacy_clips(files: DataFrame, year: int) -> DataFrame:
+    """Of ``files(path)`` the clips ``*_{year}.tif`` of single rectangles that a mosaic
+    ``{year}.tif`` replaces."""
+    return files.where(F.element_at(F.split("path", "/"), -1).rlike(rf".*_{year}\.tif$"))
+
+
+def remove_legacy_clips(path: str, year: int) -> int:
+    """Delete those clips in a folder; how many they were."""
+    from .file_sink import list_files, open_uri
+
+    store, at = open_uri(path)
+    old = [p for p, _ in list_files(path, (f"_{year}.tif",)) if p.rsplit("/", 1)[0] == at.rstrip("/")]
+    for p in old:
+        store.delete_file(p)
+    return len(old)

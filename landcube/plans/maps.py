@@ -144,17 +144,17 @@ STATS = {
     "median": "median({b})", "median_dry": "median({b}) filter (where ndvi <= q25)", "median_wet": "median({b}) filter (where ndvi >= q75)", "min": "min({b})", "max": "max({b})",
     "amp": "max({b}) - min({b})", "stdDev": "stddev_pop({b})",
 }
-ALL_BANDS = ", ".join(f'round({STATS[k].format(b=b)}, 4) + 0.0 "{b}_{k}"' for b in W.REDUCED_BASES for k in W.REDUCED_STATS)
+ALL_BANDS = ", ".join(f'round({STATS[k].format(b=b)}, 6) + 0.0 "{b}_{k}"' for b in W.REDUCED_BASES for k in W.REDUCED_STATS)
 
 
-@query("prj_11_reduced_bands", OBS, f"select px, {ALL_BANDS}, round(min(q25), 4) + 0.0 ndvi_p25, round(min(q75), 4) + 0.0 ndvi_p75 from t group by px",
+@query("prj_11_reduced_bands", OBS, f"select px, {ALL_BANDS}, round(min(q25), 6) + 0.0 ndvi_p25, round(min(q75), 6) + 0.0 ndvi_p75 from t group by px",
        """e as (select *, (nir - red) / nullif(nir + red, 0) ndvi, (nir - swir1) / nullif(nir + swir1, 0) ndwi from r),
  t as (select e.*, q25, q75 from e join (select px, quantile_cont(ndvi, 0.25) q25, quantile_cont(ndvi, 0.75) q75 from e group by px) using (px))""")
 def _(df):
     """All 58 bands of the reduced product, in its order."""
     ratio = lambda a, b: F.try_divide(F.col(a) - F.col(b), F.col(a) + F.col(b))
     out = C.seasonal(df.withColumns({"ndvi": ratio("nir", "red"), "ndwi": ratio("nir", "swir1")}), ["px"], W.REDUCED_BASES, "ndvi")
-    return out.select("px", *((F.round(b, 4) + 0.0).alias(b) for b in W.reduced_bands()))  # no negative zero
+    return out.select("px", *((F.round(b, 6) + 0.0).alias(b) for b in W.reduced_bands()))  # no negative zero
 
 
 @query("agg_46_band_series", OBS, "select yr as year, acq::varchar image, round(avg(red), 6) red_median, round(avg(nir), 6) nir_median from r where tile % 2 = 0 group by yr, acq")

@@ -79,6 +79,18 @@ def test_templates_against_brute_force(spark):
     assert 50 < met < 240
 
 
+def test_logit_by_all_pairs():
+    """The factored sum is that of a double loop over pairs of terms."""
+    rng = np.random.default_rng(4)
+    m = 12
+    model = toxicity.Model(0.3, np.arange(m, dtype=np.uint32), rng.normal(size=m), rng.normal(size=(m, 5)))
+    for n in (0, 1, 2, 7, m):
+        at = sorted(int(i) for i in rng.permutation(m)[:n])
+        pairs = sum(float(model.factors[i] @ model.factors[j]) for i in at for j in at if i < j)
+        want = 0.3 + sum(float(model.weights[i]) for i in at) + (pairs / n if n else 0.0)
+        assert abs(model.logit(at) - want) < 1e-12
+
+
 def test_pairs_of_terms(spark):
     """An insult and the mention of a group are toxic together, each alone is not;
     nor does it hang on either word alone if it is just one of two that is."""

@@ -137,6 +137,13 @@ def test_other_layouts(order, compression):
     assert (whole(io.BytesIO(classic(f, order, compression, predictor=3)))[1] == f).all()
 
 
+def test_lzw_of_many_codes():
+    """Long enough for every width of codes and for cleared tables."""
+    rng = np.random.default_rng(9)
+    for data in (bytes(rng.integers(0, 256, 60_000, np.uint8)), bytes(rng.integers(0, 3, 60_000, np.uint8)), b"", b"a" * 30_000):
+        assert T._lzw(lzw(data)) == data
+
+
 def test_refused():
     with pytest.raises(ValueError):
         T.read_directory(io.BytesIO(b"GIF89a" + b"\0" * 40))

@@ -97,7 +97,7 @@ def label_paths(grid_id: F.Column, year: F.Column, base: str) -> tuple[F.Column,
 
 def output_paths(group: str, base: str, product: str | None = None, utm: str | None = None, layer: str | None = None) -> dict[str, str]:
     """Folder, GeoPackage, layer and summary of a group's labels, or of a product's;
-    by zone, if one is given."""
+    by zone, if one is given. The beginnings of the names are fixed values."""
     name = product or f"subdivisiones_C2_{group}"
     folder = "/".join(x for x in (base.rstrip("/"), None if product else group, utm) if x)
     return {"folder": folder, "gpkg": f"{folder}/{name}.gpkg", "layer": layer or name, "summary": f"{folder}/resumen_{product or f'C2_{group}'}.csv"}

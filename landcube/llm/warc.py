@@ -34,18 +34,20 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
 
 
-def _squeeze(kind: str):
-    def run(batches):
-        z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                data = [(x or "").encode() for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([hashlib.sha256(x).hexdigest() for x in data]), pa.array([z.compress(x) for x in data], pa.binary())],
-                    names=["page_id", "digest", "z"])
-
-    return run, f"page_id {kind}, digest string, z binary"
+def _squeeze(batches):
+    """(digest, z): each payload compressed once a task, however many copies it has there;
+    a task remembers 32 bytes for each payload of its partition."""
+    z, seen = zstandard.ZstdCompressor(level=3), set()
+    for b in batches:
+        for lo in range(0, b.num_rows, 256):
+            new = {}
+            for x in b.column(0).slice(lo, 256).to_pylist():
+                x = (x or "").encode()
+                d = hashlib.sha256(x).digest()
+                if d not in seen:
+                    seen.add(d)
+                    new[d.hex()] = z.compress(x)
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string()), pa.array(list(new.values()), pa.binary())], names=["digest", "z"])
 
 
 def _header(base: str = "urn:landcube:page:") -> F.Column:
@@ -80,11 +82,9 @@ def write_archive(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTE
     few = keepers.select("digest", "keeper")
     records = index.join(few, "digest").withColumn("revisit", (F.col("n") >= revisit_bytes) & F.coalesce(~F.col("page_id").eqNullSafe(F.col("keeper")), F.lit(True)) & F.col("keeper").isNotNull())
     records.select("page_id", "digest", _header().alias("header")).write.parquet(f"{path}/headers")
-    run, schema = _squeeze(dict(pages.dtypes)["page_id"])
-    bytes_ = pages.select("page_id", "html").mapInArrow(run, schema)
-    kept = few.withColumnRenamed("digest", "d")
-    (bytes_.join(kept, (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("keeper")))
-     .groupBy("digest", "page_id").agg(F.first("z").alias("z")).select("digest", "z").write.parquet(f"{path}/payloads"))
+    # equal payloads of several tasks are compressed alike: any of them may stay
+    bytes_ = pages.select("html").mapInArrow(_squeeze, "digest string, z binary")
+    bytes_.groupBy("digest").agg(F.first("z").alias("z")).write.parquet(f"{path}/payloads")
     store.drop(keepers)
 
 

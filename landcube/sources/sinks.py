@@ -95,17 +95,36 @@ def label_paths(grid_id: F.Column, year: F.Column, base: str) -> tuple[F.Column,
     return at("classes"), at("labels")
 
 
-def output_paths(group: str, base: str, product: str | None = None, utm: str | None = None, layer: str | None = None) -> dict[str, str]:
-    """Folder, GeoPackage, layer and summary of a group's labels, or of a product's;
-    by zone, if one is given. The beginnings of the names are fixed values."""
-    name = product or f"subdivisiones_C2_{group}"
-    folder = "/".join(x for x in (base.rstrip("/"), None if product else group, utm) if x)
-    return {"folder": folder, "gpkg": f"{folder}/{name}.gpkg", "layer": layer or name, "summary": f"{folder}/resumen_{product or f'C2_{group}'}.csv"}
+#: Beginnings of a group's names (fixed values).
+GROUP_STEM, GROUP_SUMMARY, GROUP_FOLDER = "subdivisiones_C2_", "resumen_C2_", "SAMPLES_SSL4EO"
+
+
+def output_paths(group: str, base: str, product: str | None = None, utm: str | None = None, layer: str | None = None, gpkg: str | None = None, summary: str | None = None) -> dict[str, str]:
+    """Folder, GeoPackage, layer and summary of labels: of a file that is named, else of
+    a product, else of a group, whose names are its own. Products and groups have a
+    folder for each zone, if one is given."""
+    base = base.rstrip("/")
+    if gpkg:
+        folder, _, file = gpkg.rpartition("/")
+        stem = file.rsplit(".", 1)[0]
+        report = f"{folder}/resumen_{stem}.csv" if folder else f"resumen_{stem}.csv"
+        return {"folder": folder, "gpkg": gpkg, "layer": layer or stem, "summary": summary or report}
+    folder = "/".join(x for x in (base, None if product else group, utm) if x)
+    if product:
+        return {"folder": folder, "gpkg": f"{folder}/{product}.gpkg", "layer": layer or product, "summary": f"{folder}/resumen_{product}.csv"}
+    stem = GROUP_STEM + group
+    return {"folder": folder, "gpkg": f"{folder}/{stem}.gpkg", "layer": stem, "summary": f"{folder}/{GROUP_SUMMARY}{group}.csv"}
 
 
 def asset_id(group: str, base: str, asset: str | None = None, product: str | None = None) -> str:
     """The asset's own id, else that of the product, else that of the group."""
-    return asset or f"{base.rstrip('/')}/{product or f'{group}/{group}'}"
+    return asset or f"{base.rstrip('/')}/{product or f'{group}/{GROUP_STEM}{group}'}"
+
+
+def asset_features(group: str, base: str, path: str | None = None, product: str | None = None) -> str:
+    """Path of the GeoJSON that an asset is made of, by the same order."""
+    base = base.rstrip("/")
+    return path or (f"{base}/{product}.geojson" if product else f"{base}/{GROUP_FOLDER}/{group}/{GROUP_STEM}{group}.geojson")
 
 
 def legacy_clips(files: DataFrame, year: int) -> DataFrame:

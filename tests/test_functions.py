@@ -87,7 +87,11 @@ def test_paths_and_clips(spark, tmp_path):
     assert tuple(df.select(*W.label_paths(F.col("g"), F.col("y"), "/out/")).first()) == ("/out/raster/classes/19H_a_b_2020_classes.tif", "/out/raster/labels/19H_a_b_2020_labels.tif")
     assert W.output_paths("anual", "/l/", utm="UTM18") == {"folder": "/l/anual/UTM18", "gpkg": "/l/anual/UTM18/subdivisiones_C2_anual.gpkg", "layer": "subdivisiones_C2_anual", "summary": "/l/anual/UTM18/resumen_C2_anual.csv"}
     assert W.output_paths("anual", "/l", product="p", layer="x") == {"folder": "/l", "gpkg": "/l/p.gpkg", "layer": "x", "summary": "/l/resumen_p.csv"}
-    assert (W.asset_id("g", "b/"), W.asset_id("g", "b", product="p"), W.asset_id("g", "b", asset="a")) == ("b/g/g", "b/p", "a")
+    assert (W.asset_id("g", "b/"), W.asset_id("g", "b", product="p"), W.asset_id("g", "b", asset="a")) == ("b/g/subdivisiones_C2_g", "b/p", "a")
+    assert W.output_paths("g", "/l", gpkg="/o/own.gpkg", product="p") == {"folder": "/o", "gpkg": "/o/own.gpkg", "layer": "own", "summary": "/o/resumen_own.csv"}
+    assert W.output_paths("g", "/l", gpkg="/o/own.gpkg", layer="x", summary="/s.csv") == {"folder": "/o", "gpkg": "/o/own.gpkg", "layer": "x", "summary": "/s.csv"}
+    assert W.output_paths("g", "/l", layer="x")["layer"] == "subdivisiones_C2_g" and W.output_paths("g", "/l", utm="UTM19", product="p")["gpkg"] == "/l/UTM19/p.gpkg"
+    assert (W.asset_features("g", "/l/"), W.asset_features("g", "/l", product="p"), W.asset_features("g", "/l", path="f")) == ("/l/SAMPLES_SSL4EO/g/subdivisiones_C2_g.geojson", "/l/p.geojson", "f")
     for n in ("2020.tif", "R1_2020.tif", "R2_2020.tif", "R1_2021.tif", "R1_2020.txt"):
         (tmp_path / n).write_bytes(b"")
     files = spark.createDataFrame([(str(p),) for p in tmp_path.iterdir()], "path string")

@@ -9,7 +9,7 @@ meeting is verified in double precision.
 Every vector carries its cells of all tables, so that of a pair that meets more
 than once exactly one meeting counts it: the first table's, and there the one
 whose finder has the larger id. Hence a cell returns a count for each vector and
-a spanning forest of its links, never the pairs: a dense cell costs arithmetic,
+its classes as stars, never the pairs: a dense cell costs arithmetic,
 not rows. Groups of cells that hold many vectors are split on both sides, by those
 that own the cells and by those that find them, into blocks of bounded size.
 
@@ -175,6 +175,24 @@ def _deal(p: Params, places_only: bool = False):
     return run
 
 
+def unite(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the classes of ``a`` and ``b``, pair by pair, in ``up``, which names each
+    row's class by its smallest row. Whole blocks at once: of every two classes that a
+    pair connects the larger takes the smallest name it meets, until none differ."""
+    while True:
+        x, y = up[a], up[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            top = up[up]
+            if (top == up).all():
+                break
+            up[:] = top
+
+
 def _meet(p: Params):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["t"].iloc[0])
@@ -183,14 +201,7 @@ def _meet(p: Params):
         code = np.frombuffer(b"".join(pdf["cells"]), np.int32).reshape(len(pdf), p.tables, 1 + p.probes)
         mine, found_by = np.flatnonzero(pdf["target"].to_numpy(bool)), np.flatnonzero(pdf["finder"].to_numpy(bool))
         cell = pdf.groupby(["label", "code"], sort=False).ngroup().to_numpy()
-        count, up, edges = np.zeros(len(pdf), np.int64), np.arange(len(pdf)), []
-
-        def find(i):
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
+        count, up = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
         for lo in range(0, len(mine), 256):
             own = mine[lo : lo + 256]
             for at in range(0, len(found_by), 2048):
@@ -207,13 +218,11 @@ def _meet(p: Params):
                     a, b = a[~met], b[~met]
                 np.add.at(count, a, copies[b])
                 np.add.at(count, b, copies[a])
-                for i, j in zip(a.tolist(), b.tolist()):
-                    x, y = find(i), find(j)
-                    if x != y:
-                        up[max(x, y)] = min(x, y)
-                        edges.append((rep[i], rep[j]))
-        some = np.flatnonzero(count)
-        return pd.DataFrame({"a": np.r_[rep[some], np.array([e[0] for e in edges], np.int64)], "b": pd.array([None] * len(some) + [int(e[1]) for e in edges], "Int64"), "n": np.r_[count[some], np.zeros(len(edges), np.int64)]})
+                unite(up, a, b)
+        some, joined = np.flatnonzero(count), np.flatnonzero(up != np.arange(len(up)))
+        b = pd.array(np.r_[np.zeros(len(some), np.int64), rep[up[joined]]], "Int64")
+        b[: len(some)] = pd.NA
+        return pd.DataFrame({"a": np.r_[rep[some], rep[joined]], "b": b, "n": np.r_[count[some], np.zeros(len(joined), np.int64)]})
 
     return run
 

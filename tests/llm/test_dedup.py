@@ -296,6 +296,16 @@ def test_lattice_links(spark):
     assert lattice.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+@pytest.mark.parametrize("pairs", [
+    [(i, i + 1) for i in range(199)], [(i + 1, i) for i in reversed(range(199))], [(0, i) for i in range(1, 200)], [(199, i) for i in range(199)],
+    [tuple(map(int, p)) for p in np.random.default_rng(8).integers(0, 200, (120, 2))], []])
+def test_classes_of_blocks_of_links(pairs):
+    up, a, b = np.arange(200), *np.array(pairs, np.int64).reshape(-1, 2).T
+    for lo in range(0, len(pairs), 50):
+        lattice.unite(up, a[lo : lo + 50], b[lo : lo + 50])
+    assert dict(enumerate(up.tolist())) == partition(pairs, range(200))
+
+
 @pytest.mark.parametrize("split", [4_000, 7])
 def test_lattice_nodes_are_vectors(spark, split):
     """Rows that share an id are vectors each; a dense cell split on both sides counts the same."""

@@ -49,3 +49,23 @@ def test_merge_edits_and_area(spark):
     out = {r.poly_uid: r for r in B.merge_edits(df, edits, rects).collect()}
     assert out["R|2000|59|1"].lbl_id == 33 and out["R|2000|66|2"].cov_rect == 75.0 and out["S|2000|59|1"].poly_qa == "rechazado" and out["S|2000|59|1"].cov_rect == 0.0
     assert B.violations(B.merge_edits(df, edits, rects)).count() == 0
+
+
+def test_scores_add_their_terms_from_left_to_right(spark):
+    """To the last bit, so that orders by score do not depend on how a sum is nested."""
+    import math
+    import random
+
+    rnd = random.Random(5)
+    whole = ["valid_area_pct", "eco_dom_pct", "stable_yr_pct", "lulc_mode_pct", "lulc_last_pct", "transition_pct", "critical_pct", "conf_risk_pct", *(f"{a}_{p}" for p in L.LENGTH for a in ("stb_p", "md_pct"))]
+    rows = [tuple(float(rnd.randrange(101)) for _ in whole) + (rnd.randrange(200) / 100, rnd.randrange(27), rnd.randrange(1, 9), *(rnd.randrange(7) for _ in L.LENGTH)) for _ in range(300)]
+    names = [*whole, "shannon_idx", "max_stab_run", "n_mode_classes", *(f"n_stb_{p}" for p in L.LENGTH)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'double' if n in whole or n == 'shannon_idx' else 'int'}" for n in names))
+    for r in L.scores(df).collect():
+        v, e = r.valid_area_pct / 100 * 2, r.eco_dom_pct / 100
+        few, norm = min(max(r.n_mode_classes, 2), 4) / 4.0, min(max(r.shannon_idx / math.log(19), 0.0), 1.0)
+        assert r.sc_e_h == r.max_stab_run / 26.0 * 5 + r.stable_yr_pct / 100 * 4 + r.lulc_mode_pct / 100 * 3 + (1 - norm) * 2 + v + e
+        assert r.sc_e_s == r.max_stab_run / 26.0 * 4 + r.stable_yr_pct / 100 * 3 + r.lulc_mode_pct / 100 * 3 + few * 2 + v + e
+        assert r.sc_a_h == max([0.0] + [r[f"n_stb_{p}"] / n * 5 + r[f"stb_p_{p}"] / 100 * 4 + r[f"md_pct_{p}"] / 100 * 3 + v + e for p, n in L.LENGTH.items() if r[f"n_stb_{p}"] >= 1])
+        assert r.sc_t_h == r.transition_pct / 100 * 5 + max(r.lulc_mode_pct, r.lulc_last_pct) / 100 * 4 + r.critical_pct / 100 * 2 + v + e
+        assert r.sc_t_s == r.transition_pct / 100 * 5 + few * 3 + r.conf_risk_pct / 100 * 3 + r.critical_pct / 100 * 2 + v + e

@@ -69,3 +69,25 @@ def test_scores_add_their_terms_from_left_to_right(spark):
         assert r.sc_a_h == max([0.0] + [r[f"n_stb_{p}"] / n * 5 + r[f"stb_p_{p}"] / 100 * 4 + r[f"md_pct_{p}"] / 100 * 3 + v + e for p, n in L.LENGTH.items() if r[f"n_stb_{p}"] >= 1])
         assert r.sc_t_h == r.transition_pct / 100 * 5 + max(r.lulc_mode_pct, r.lulc_last_pct) / 100 * 4 + r.critical_pct / 100 * 2 + v + e
         assert r.sc_t_s == r.transition_pct / 100 * 5 + few * 3 + r.conf_risk_pct / 100 * 3 + r.critical_pct / 100 * 2 + v + e
+
+
+def test_clusters_and_leaks_join_cells_and_not_rows(spark):
+    from landcube.operators.spatial import neighbour_cells
+
+    cells = [("A", 0, 0), ("A", 1, 1), ("A", 3, 3), ("B", 0, 0), ("B", 5, 0), ("B", 6, 0), ("A", -1, 0)]
+    rows = [(f"g{i:02d}", *cells[i * i % 7], (None, "train", "val", "test")[i % 4]) for i in range(60)]
+    df = spark.createDataFrame(rows, "grid_id string, mgrs string, col int, row int, split string")
+    near = lambda a, b: a[1] == b[1] and a[2:4] != b[2:4] and max(abs(a[2] - b[2]), abs(a[3] - b[3])) <= 1 and min(*a[2:4], *b[2:4]) >= 0
+    pairs = [(a, b) for a in rows for b in rows if near(a, b)]
+    leaks = sum(a[4] is not None and b[4] is not None and a[4] != b[4] for a, b in pairs)
+    assert tuple(L.split_leaks(df).first()) == (len(pairs), leaks // 2)
+    found = {r[0]: r[0] for r in rows}
+    for _ in rows:
+        for a, b in pairs:
+            found[b[0]] = min(found[a[0]], found[b[0]])
+    assert {r.grid_id: r.cluster for r in L.clusters(df).collect()} == found
+    # 300,000 rows in two cells: 45,000 million pairs of rows, two of cells
+    many = spark.range(300_000).selectExpr("concat('g', id) as grid_id", "'A' as mgrs", "cast(id % 2 as int) as col", "0 as row", "if(id % 3 = 0, 'train', 'val') as split")
+    assert neighbour_cells(many)[1].count() == 2
+    assert tuple(L.split_leaks(many).first()) == (2 * 150_000**2, 50_000 * 100_000 * 2)
+    assert L.clusters(many).where("cluster = 'g0'").count() == 300_000

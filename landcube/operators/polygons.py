@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .copies import classes, expanded
+
 RINGS = "array<array<array<double>>>"
 ARROW_RINGS = pa.list_(pa.list_(pa.list_(pa.float64())))
 
@@ -163,27 +165,36 @@ def pieces(df: DataFrame, key: str, cell: float) -> DataFrame:
 def overlaps(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     """(a_id, b_id, inter_area, a_area, b_area): pairs of polygons that share an area,
     once each, of ``a(a_id, parts)`` and ``b(b_id, parts)`` with distinct ids."""
-    left = pieces(a, "a_id", cell).select("a_id", "cx", "cy", F.col("area").alias("_a"), F.col("rings").alias("_p"))
-    right = pieces(b, "b_id", cell).select("b_id", "cx", "cy", F.col("area").alias("_b"), F.col("rings").alias("_q"))
+    (a_of, a_rows), (b_of, b_rows) = classes(a.select("a_id", "parts"), ["parts"]), classes(b.select("b_id", "parts"), ["parts"])
+    met = shape_overlaps(a_of, b_of, cell)
+    size = lambda df, end, name: df.select(F.col("_cls").alias(end), area(F.col("parts")).alias(name))
+    met = met.join(size(a_of, "_a", "a_area"), "_a").join(size(b_of, "_b", "b_area"), "_b")
+    return expanded(met, a_rows.drop("parts"), b_rows.drop("parts")).select("a_id", "b_id", "inter_area", "a_area", "b_area")
+
+
+def shape_overlaps(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
+    """(_a, _b, inter_area): pairs of the shapes ``a(_cls, parts)`` and ``b(_cls, parts)``
+    that share an area."""
+    left = pieces(a, "_cls", cell).select(F.col("_cls").alias("_a"), "cx", "cy", F.col("area").alias("_a_size"), F.col("rings").alias("_p"))
+    right = pieces(b, "_cls", cell).select(F.col("_cls").alias("_b"), "cx", "cy", F.col("area").alias("_b_size"), F.col("rings").alias("_q"))
     met = left.join(right, ["cx", "cy"])
 
     def run(batches):
         rings = lambda x: [np.asarray(r, float) for r in x]
         for t in batches:
             size = [common_area(rings(p), rings(q)) for p, q in zip(t.column(2).to_pylist(), t.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(size, pa.float64())], names=["a_id", "b_id", "_s"])
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(size, pa.float64())], names=["_a", "_b", "_s"])
 
-    kinds = f"a_id {dict(a.dtypes)['a_id']}, b_id {dict(b.dtypes)['b_id']}, _s double"
-    true = met.where("_p is not null and _q is not null").select("a_id", "b_id", "_p", "_q").mapInArrow(run, kinds)
+    true = met.where("_p is not null and _q is not null").select("_a", "_b", "_p", "_q").mapInArrow(run, "_a long, _b long, _s double")
     # in a cell that one of the two fills, the other's piece is what they share
-    full = met.where("_p is null or _q is null").select("a_id", "b_id", F.when(F.col("_p").isNull(), F.col("_b")).otherwise(F.col("_a")).alias("_s"))
-    pairs = true.unionByName(full).groupBy("a_id", "b_id").agg(F.sum("_s").alias("inter_area")).where("inter_area > 0")
-    size = lambda df, key, name: df.select(key, area(F.col("parts")).alias(name))
-    return pairs.join(size(a, "a_id", "a_area"), "a_id").join(size(b, "b_id", "b_area"), "b_id").select("a_id", "b_id", "inter_area", "a_area", "b_area")
+    full = met.where("_p is null or _q is null").select("_a", "_b", F.when(F.col("_p").isNull(), F.col("_b_size")).otherwise(F.col("_a_size")).alias("_s"))
+    return true.unionByName(full).groupBy("_a", "_b").agg(F.sum("_s").alias("inter_area")).where("inter_area > 0")
 
 
 def self_overlaps(df: DataFrame, key: str, cell: float, tolerance: float = 1.0) -> DataFrame:
     """(a_id, b_id, inter_area): pairs of one table, a before b, that share more than
     the tolerance."""
-    met = overlaps(df.withColumnRenamed(key, "a_id"), df.withColumnRenamed(key, "b_id"), cell)
-    return met.where((F.col("a_id") < F.col("b_id")) & (F.col("inter_area") > tolerance)).select("a_id", "b_id", "inter_area")
+    of, rows = classes(df.select(key, "parts"), ["parts"])
+    met = shape_overlaps(of, of, cell).where(F.col("inter_area") > tolerance)
+    end = lambda e: rows.select(F.col(key).alias(e), "_cls", "_n")
+    return expanded(met, end("a_id"), end("b_id")).where(F.col("a_id") < F.col("b_id")).select("a_id", "b_id", "inter_area")

@@ -174,3 +174,29 @@ def test_points_in_polygons(spark):
     assert len(by["thin"]) == len(by["wide"]) == 20 and not by["none"]
     assert all(inside(thin, np.array([r.x]), np.array([r.y]))[0] for r in by["thin"]) and all(not (4 < r.x < 6 and 4 < r.y < 6) for r in by["wide"])
     assert max(r.k for r in by["wide"]) < 40 < max(r.k for r in by["thin"])
+
+
+def test_equal_shapes_are_joined_once(spark):
+    """30,000 copies of three shapes: what is cut, held together and searched for are shapes."""
+    from landcube.operators.copies import classes, expanded
+
+    square = lambda x: [[[[x, 0.0], [x + 10.0, 0.0], [x + 10.0, 10.0], [x, 10.0], [x, 0.0]]]]
+    three = spark.createDataFrame([(s, square(x), x, 0.0, x + 10.0, 10.0) for s, x in enumerate((0.0, 4.0, 30.0))], f"s int, parts {PARTS}, x0 double, y0 double, x1 double, y1 double")
+    many = three.crossJoin(spark.range(10_000).withColumnRenamed("id", "i")).withColumn("grid_id", F.col("i") * 3 + F.col("s"))
+    of, rows = classes(many.select("grid_id", "parts"), ["parts"])
+    met = P.shape_overlaps(of, of, 7.0)
+    assert {(r.inter_area, n) for r, n in met.groupBy("inter_area").count().rdd.map(lambda r: (r, r["count"])).collect()} == {(100.0, 3), (60.0, 2)}
+    few = many.where("i < 40")
+    pairs = {(r.a_id, r.b_id): r.inter_area for r in P.self_overlaps(few, "grid_id", 7.0).collect()}
+    want = {(a, b): 100.0 if a % 3 == b % 3 else 60.0 for a in range(120) for b in range(a + 1, 120) if a % 3 == b % 3 or {a % 3, b % 3} == {0, 1}}
+    assert pairs == want
+    for cols in (["parts"], ["x0", "y0", "x1", "y1"]):  # 300 million pairs, as three sums
+        out = S.previous_overlap(many.select("grid_id", *cols), many.withColumn("grid_id", -F.col("grid_id") - 1).select("grid_id", *cols), 7.0, tolerance=1e9).groupBy("ovlp_m2").count().collect()
+        assert {tuple(r) for r in out} == {(1.6e6, 20_000), (1e6, 10_000)}
+    # blocks hold a bounded number of rows, and lose none
+    _, px = classes(few.select("grid_id", "x0"), ["x0"])
+    same = px.select(F.col("_cls").alias("_a"), F.col("_cls").alias("_b")).distinct()
+    out = expanded(same, px.withColumnRenamed("grid_id", "p").drop("x0"), px.withColumnRenamed("grid_id", "q").drop("x0"), 7)
+    assert {tuple(r) for r in out.collect()} == {(a, b) for a in range(120) for b in range(120) if a % 3 == b % 3}
+    near = S.near_points(few.select("grid_id", F.col("x0").alias("x"), F.col("y0").alias("y")), few.select(F.col("grid_id").alias("key"), F.col("x0").alias("px"), F.col("y0").alias("py")), 5.0)
+    assert {(r.grid_id, r.key) for r in near.collect()} == {(a, b) for a in range(120) for b in range(120) if a % 3 == b % 3 or {a % 3, b % 3} == {0, 1}}

@@ -6,7 +6,7 @@ the number of rows asked for.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,31 +175,34 @@ def reference_years(df: DataFrame, years: str = "years", by: str = "utm") -> Dat
     stable ``years`` each takes the one least used so far in its zone, ties by the
     sum of its id's characters; without any, -9999. Others have no reference.
 
-    Each choice depends on all before it, in order of id, so a zone is one group;
-    it holds a selection, whose size the quotas bound."""
+    Each choice depends on all before it, in order of id: a zone's annual rectangles
+    stream through one task, sorted by Spark, which keeps the uses of each year alone."""
     kept = [c for c in df.columns if c not in ("ref_year", "ref_period", "ref_sensor")]
     kinds = dict(df.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("grid_id", kind="stable")
-        used: dict[int, int] = {}
-        out = []
-        for grid_id, kind, own in zip(pdf["grid_id"], pdf["dim_temporal"], pdf[years]):
-            own = sorted(set(int(y) for y in own)) if kind == "anual" and own is not None else []
-            year = -9999
-            if own and not used:
-                year = own[-1]
-            elif own:
-                low = min(used.get(y, 0) for y in own)
-                best = [y for y in own if used.get(y, 0) == low]
-                year = best[sum(map(ord, grid_id)) % len(best)]
-            if year > 0:
-                used[year] = used.get(year, 0) + 1
-            out.append(year)
-        return pdf.assign(ref_year=pd.Series(out, index=pdf.index, dtype="int32"))
+    def run(batches):
+        zone, used = None, {}
+        for b in batches:
+            out = []
+            for now, grid_id, own in zip(b.column(by).to_pylist(), b.column("grid_id").to_pylist(), b.column(years).to_pylist()):
+                if now != zone:
+                    zone, used = now, {}
+                own, year = sorted(set(int(y) for y in own)), -9999
+                if own and not used:
+                    year = own[-1]
+                elif own:
+                    low = min(used.get(y, 0) for y in own)
+                    best = [y for y in own if used.get(y, 0) == low]
+                    year = best[sum(map(ord, grid_id)) % len(best)]
+                if year > 0:
+                    used[year] = used.get(year, 0) + 1
+                out.append(year)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[*b.schema.names, "ref_year"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", ref_year int"
-    out = df.select(*kept).groupBy(by).applyInPandas(run, schema)
+    chosen = F.coalesce((F.col("dim_temporal") == "anual") & F.col(years).isNotNull() & (F.size(years) > 0), F.lit(False))
+    some = df.select(*kept).where(chosen).repartition(by).sortWithinPartitions(by, "grid_id")
+    out = some.mapInArrow(run, schema).unionByName(df.select(*kept).where(~chosen).withColumn("ref_year", F.lit(-9999)))
     period = S.period_of(F.col("ref_year"))
     return out.withColumns({"ref_period": F.coalesce(period, F.lit("")), "ref_sensor": F.coalesce(*(F.when(period == p, s) for p, s in REF_SENSORS.items()), F.lit(""))})
 

@@ -169,19 +169,21 @@ def top_k(vectors: DataFrame, p: Params = Params()) -> DataFrame:
     columns = ["q_ids", "q_flat", "q_norms", "ids", "flat", "norms", "theta"]
     asked = _asked(_dealt(query, ["dim"], "vec_id", p.block_rows, "block", p)[0].withColumn("th", F.lit(None).cast("double")), ["dim", "block"])
     asked = asked.withColumn("salt", F.pmod("block", F.lit(p.spread)))
-    one = store.write(asked.join(head, ["dim", "salt"]).select(*columns).mapInPandas(run, out), "first")
+    # vectors take far less room in files than in memory: by the size of its file Spark
+    # would broadcast, through the driver, what does not fit there
+    one = store.write(asked.hint("merge").join(head, ["dim", "salt"]).select(*columns).mapInPandas(run, out), "first")
     kth = one.groupBy("query_id").agg(F.array_sort(F.collect_list("score")).alias("s")).where(F.size("s") >= p.k)  # at most k rows a query
     kth = kth.select(F.col("query_id").alias("vec_id"), F.element_at("s", -p.k).cast("double").alias("th"))
     # a vector of less than this length can't reach the score
     reach = F.when((F.col("th") > 0) & (F.col("norm") > 0), F.col("th") / F.col("norm") * (1 - 1e-6)).otherwise(0.0)
-    known = query.join(kth, "vec_id", "left").withColumn("need", _length(reach, p))
+    known = query.hint("merge").join(kth, "vec_id", "left").withColumn("need", _length(reach, p))
     known = store.write(_dealt(known, ["dim", "need"], "vec_id", p.block_rows, "block", p)[0], "known")
     key = ["dim", "need", "block"]
     left = lengths.where(~F.col("first") | (F.col("pieces") > 1)).groupBy("dim").agg(F.collect_list(F.struct("length", "pieces", "first")).alias("all"))
     todo = known.select(*key).distinct().join(left, "dim").withColumn("to", F.explode(F.filter("all", lambda b: b["length"] >= F.col("need"))))
-    todo = todo.select(*key, "to.*").join(_asked(known, key), key)
+    todo = todo.select(*key, "to.*").join(_asked(known, key).hint("merge"), key)
     todo = todo.withColumn("sub", F.explode(F.sequence(F.col("first").cast("int"), F.col("pieces") - 1))).drop("first", "pieces", "longest")
-    two = todo.join(packed, ["dim", "length", "sub"]).select(*columns).mapInPandas(run, out)
+    two = todo.join(packed.hint("merge"), ["dim", "length", "sub"]).select(*columns).mapInPandas(run, out)
     return _ranked(one.unionByName(two), p)
 
 
@@ -189,7 +191,7 @@ def _asked(queries: DataFrame, key: list[str]) -> DataFrame:
     """Blocks of queries, each with the scores that they have to reach."""
     theta = queries.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("vec_id", "th"))).alias("t")).select(*key, F.transform("t", lambda r: r["th"]).alias("theta"))
     packed = _packed(queries, key, ["vec_id"]).select(*key, F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.col("norms").alias("q_norms"))
-    return packed.join(theta, key)
+    return packed.hint("merge").join(theta, key)
 
 
 def _ranked(scores: DataFrame, p: Params) -> DataFrame:

@@ -55,3 +55,23 @@ def test_patches_are_ringed_many_at_a_time(spark):
     assert plan(out).count("FlatMapGroupsInPandas") == 1  # blocks alone, not patches
     key = lambda r: (r.patch_id, r.class_id, r.n_pixels, r.rings)
     assert sorted(map(key, out.collect())) == sorted(map(key, R.polygonize(df, connectivity=4, block=50).collect()))
+
+
+def test_vectors_are_not_broadcast(spark):
+    """Copies take little room in files, and much in memory."""
+    from landcube.llm import norm_topk as N
+
+    rng = np.random.default_rng(1)
+    few = [rng.standard_normal(16).tolist() for _ in range(8)]
+    df = spark.createDataFrame([(i, few[i % 8]) for i in range(3_000)], "vec_id long, embedding array<double>")
+    p = N.Params(bucket_rows=100, block_rows=8)
+    out = N.top_k(df, p)
+    text = plan(out)
+    assert text.count("SortMergeJoin") >= 3
+    x = np.floor(np.array(few) * 256).astype(np.int64)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 3_000, 50):
+        want = sorted(((-int(x[q % 8] @ x[i % 8]), i) for i in range(3_000) if i != q))[:5]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]

@@ -256,6 +256,42 @@ def test_all_pairs_of_a_large_bucket(spark):
     assert len(pairs) >= 200 and len(set(want.values())) >= 100 and got == want
 
 
+@pytest.mark.parametrize("n", [1, 9, 60, 400])
+def test_maps_refuse_no_near_pair(spark, n):
+    """Bit maps let every pair at the threshold pass, repeats included, and refuse most others
+    that have no repeats."""
+    rng = np.random.default_rng(n)
+    pairs = [near_pair(rng, n, share, letters, how) for share in (0.3, 0.5, 0.8, 0.81, 0.9) for letters, how in ((LATIN, "end"), (LATIN, "longer"), (CJK, "end")) for _ in range(8)]
+    pairs += [(x * 3, y * 3 + "z") for x, y in pairs]
+    texts = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "id long, norm string")
+    got = {r.a // 2 for r in line_dedup.possible(spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(len(pairs))], "a long, b long"), line_dedup.sketches(texts)).collect()}
+    sets = [(shingle_set(x), shingle_set(y)) for x, y in pairs]
+    share = [len(x & y) / len(x | y) for x, y in sets]
+    assert {i for i, s in enumerate(share) if s >= 0.8} <= got
+    far = [i for i, s in enumerate(share) if s < 0.6 and i < len(pairs) // 2]  # repeats make the bound wide
+    assert len(got & set(far)) <= 0.1 * len(far)
+    near = {r.a // 2 for r in line_dedup.links(spark.createDataFrame([(2 * i, 2 * i + 1) for i in got], "a long, b long"), texts).collect()}
+    assert near == {i for i, s in enumerate(share) if s >= 0.8 - 1e-9}
+
+
+def test_templates_do_not_meet(spark, monkeypatch):
+    """Lines of many templates, with more own shingles than a near pair may have, are
+    not tried against each other in the join of large buckets."""
+    rng = np.random.default_rng(31)
+    draw = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), n))
+    text = [t + draw(40) for t in (draw(140) for _ in range(100)) for _ in range(8)]
+    tried, put = [], line_dedup.Written.write
+
+    def write(self, df, name="t"):
+        out = put(self, df, name)
+        tried.extend([out.count()] if name == "tried" else [])
+        return out
+
+    monkeypatch.setattr(line_dedup.Written, "write", write)
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    assert line_dedup.duplicate_lines(docs, line_dedup.Params(full=4)).where("kept").count() == len(text) and sum(tried) == 0
+
+
 # --- vectors --------------------------------------------------------------------
 
 

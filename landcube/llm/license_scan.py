@@ -62,8 +62,9 @@ def ascii_lower(c: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """All words of a text, in order."""
-    return F.regexp_extract_all(text, F.lit(f"({LETTER}+)"), F.lit(1))
+    """All words of a text, in order: what stands between other characters. One
+    split costs a fifth of a match per word."""
+    return F.array_remove(F.split(text, f"{APART}+"), "")
 
 
 def _words_of(text: str) -> list[str]:
@@ -84,7 +85,7 @@ def phrase_places(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     counts = {p: f"_n{i}" for i, p in enumerate(PHRASES)}
-    out = docs.withColumn("n_words", F.regexp_count(text, F.lit(f"{LETTER}+")).cast("long"))
+    out = docs.withColumn("n_words", F.size(words(text)).cast("long"))
     any_ = "(?:" + "|".join(_phrase(p) for p in PHRASES) + ")"
     hit = text.rlike(any_)
     out = out.withColumn("_hit", hit)

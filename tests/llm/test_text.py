@@ -173,3 +173,14 @@ def test_pipeline(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[1:-1]:
         assert {r.text for r in stage(spark, twice, str(tmp_path)).collect()} == {r.text for r in twice.collect()}, name
     assert ids == {*range(30), 101, 102} and len(corpus_pipeline.STAGES) == 4
+
+
+def test_license_words_are_split(spark):
+    """Words of whole texts come from one split, not from a match for each."""
+    texts = ["", " ", "a", " a", "a ", "..A-b\n\nc9..", "\x00x\x7f", "é\u00a0ñ 日本 🙂🙂-x", "[^_^]`z{", "a\n" * 3000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in df.select("doc_id", license_scan.words(F.col("text")).alias("w")).collect()}
+    want = {i: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t) for i, t in enumerate(texts)}
+    assert {i: r.w for i, r in got.items()} == want
+    assert {r.doc_id: r.n_words for r in license_scan.phrase_places(df).collect()} == {i: len(w) for i, w in want.items()}
+    assert "regexp_extract_all" not in str(license_scan.words(F.col("text")))

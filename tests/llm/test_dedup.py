@@ -292,6 +292,35 @@ def test_templates_do_not_meet(spark, monkeypatch):
     assert line_dedup.duplicate_lines(docs, line_dedup.Params(full=4)).where("kept").count() == len(text) and sum(tried) == 0
 
 
+def test_a_spread_family_is_not_tried_by_all_pairs(spark, monkeypatch):
+    """Lines of one sentence that replace one to six of its words, some by words that a
+    second line has too: the same links as brute force, from few pairs."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghinos"), 5)) for _ in range(300)]
+    base, text = list(rng.choice(words, 60)), []
+    for i in range(300):
+        v = list(base)
+        for k in rng.choice(60, 1 + i % 6, replace=False):
+            v[int(k)] = f"x{i:04d}"
+        text.append(" ".join(v))
+        if i % 10 == 5:  # a near copy of a line that is far from the others
+            text.append(text[-1].replace(base[-1], "other"))
+    text = list(dict.fromkeys(text))
+    tried, put = [], line_dedup.Written.write
+
+    def write(self, df, name="t"):
+        out = put(self, df, name)
+        tried.extend([out.count()] if name == "tried" else [])
+        return out
+
+    monkeypatch.setattr(line_dedup.Written, "write", write)
+    pairs, want = line_classes(text)
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    got = {r.doc_id: r.first_doc_id for r in line_dedup.duplicate_lines(docs, line_dedup.Params(full=4)).collect()}
+    assert got == want and len(pairs) > 3_000 and 100 < len(set(want.values())) < 250
+    assert sum(tried) <= 2 * len(text)
+
+
 # --- vectors --------------------------------------------------------------------
 
 

@@ -321,6 +321,36 @@ def test_a_spread_family_is_not_tried_by_all_pairs(spark, monkeypatch):
     assert sum(tried) <= 2 * len(text)
 
 
+def test_families_of_one_chain_meet_at_little(spark, monkeypatch):
+    """Two sentences with many variants, and lines that hold a passage of both, so that
+    their buckets form a chain: the links of brute force, from few pairs and rows."""
+    rng = np.random.default_rng(23)
+    words = ["".join(rng.choice(list("abcdefghinos"), 5)) for _ in range(400)]
+    bases, text = [list(rng.choice(words, 120)) for _ in range(2)], []
+    for i in range(400):
+        v = list(bases[i % 2])
+        for k in rng.choice(120, 2 + i // 2 % 8, replace=False):
+            v[int(k)] = str(rng.choice(words))
+        text.append(" ".join(v))
+    for _ in range(16):
+        a, b = rng.integers(0, 40, 2)
+        text += [" ".join([*bases[0][a : a + 80], f"number{i}", *bases[1][b : b + 80]]) for i in range(6)]
+    wrote, put = {"tried": 0, "open": 0}, line_dedup.Written.write
+
+    def write(self, df, name="t"):
+        out = put(self, df, name)
+        if name in wrote:
+            wrote[name] += out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup.Written, "write", write)
+    pairs, want = line_classes(text)
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    got = {r.doc_id: r.first_doc_id for r in line_dedup.duplicate_lines(docs, line_dedup.Params(full=4)).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want) and len(pairs) > 5_000
+    assert wrote["tried"] <= 4 * len(text) and wrote["open"] <= 160 * len(text), wrote
+
+
 # --- vectors --------------------------------------------------------------------
 
 

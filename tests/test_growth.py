@@ -75,3 +75,16 @@ def test_vectors_are_not_broadcast(spark):
     for q in range(0, 3_000, 50):
         want = sorted(((-int(x[q % 8] @ x[i % 8]), i) for i in range(3_000) if i != q))[:5]
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
+def test_areas_are_rounded_once_for_equal_boxes(spark):
+    """Rows that lie alike have the areas of their pairs rounded before the rows are paired."""
+    from landcube.plans import registry
+
+    tree = registry.queries()["jon_02_geo_09_box_overlap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    rounded, paired = ([k for k, x in enumerate(tree) if what in x] for what in ("round(", "Generate explode(_a_rows"))
+    assert rounded and paired and min(rounded) > max(paired)
+    a = spark.createDataFrame([(i, float(i % 3), 0.0, i % 3 + 1.00000049, 1.0) for i in range(40)], "i long, x0 double, y0 double, x1 double, y1 double")
+    out = S.overlaps(a.withColumnRenamed("i", "a_id"), a.withColumnRenamed("i", "b_id"), 10.0, 6).collect()
+    met = [(i, j, 1.0 if i % 3 == j % 3 else 0.0) for i in range(40) for j in range(40) if abs(i % 3 - j % 3) <= 1]
+    assert sorted((r.a_id, r.b_id, r.inter_area) for r in out) == met
